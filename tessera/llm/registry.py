@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exactdedup, sharding
+from tessera.llm import exactdedup, langid, mixing, sharding
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_language_id": langid.query,
     "op5_exact_dedup": exactdedup.query,
     "op9_sharding": sharding.query,
 }

@@ -66,15 +66,15 @@ def string_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `most` bytes of text each; one longer text is a slice of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 19, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `most` bytes of text each and at most so many rows; one longer text is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, off = string_buffer(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 
@@ -159,3 +159,19 @@ def signed(x: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list array from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+_SHAPE = np.full(256, 5, dtype=np.uint8)
+_SHAPE[[*range(97, 123)]] = 0
+_SHAPE[[*range(65, 91)]] = 1
+_SHAPE[[*range(48, 58)]] = 2
+_SHAPE[[9, 10, 13, 32]] = 3
+_SHAPE[[ord(c) for c in ".,;:'\"-()?"]] = 4
+_SHAPE[128:] = 6
+#: Kinds of bytes: small and capital letters, digits, space, usual punctuation, other symbols, beyond ASCII.
+SHAPES = 7
+
+
+def shapes(raw: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Bytes of each kind for each of n owners."""
+    return np.bincount(owner * SHAPES + _SHAPE[raw], minlength=n * SHAPES).reshape(n, SHAPES)
