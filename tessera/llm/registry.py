@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import exactdedup, langid, mixing, sharding
+from tessera.llm import exactdedup, jaccard, langid, mixing, sharding
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_language_id": langid.query,
     "op5_exact_dedup": exactdedup.query,
     "op9_sharding": sharding.query,
+    "op10_ngram_jaccard": jaccard.query,
 }
 ORACLES = {
     "op5_exact_dedup": exactdedup.ORACLE,
+    "op10_ngram_jaccard": jaccard.ORACLE,
 }
