@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exactdedup, jaccard, langid, mixing, sharding
+from tessera.llm import decontaminate, exactdedup, jaccard, langid, mixing, sharding
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_language_id": langid.query,
     "op5_exact_dedup": exactdedup.query,
+    "op7_decontamination": decontaminate.query,
     "op9_sharding": sharding.query,
     "op10_ngram_jaccard": jaccard.query,
 }
