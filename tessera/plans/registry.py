@@ -1,6 +1,8 @@
-"""Named queries over the given tables, each with its DuckDB counterpart."""
+"""Queries of the engine's own operators, by name, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans.oracles import ORACLES
+from tessera.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

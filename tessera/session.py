@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,3 +32,18 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
 def load(spark: SparkSession, sf_dir: str, name: str):
     """One of the given tables; a directory or a single file."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, checkpointed to the folder that all executors share; cuts the lineage and outlives executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not folder:  # tests only; a cluster names its own
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
