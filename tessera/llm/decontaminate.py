@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.cluster import small_batches
-from tessera.llm.textcore import Words, chunks
+from tessera.llm.cluster import lean, small_batches
+from tessera.llm.textcore import Lookup, Words, chunks
 
 N = 3
 #: How many times per document a seed may be met by chance.
@@ -44,26 +44,6 @@ LEAST = 0.4
 PART_WORDS = 2_000_000
 
 
-class Lookup:
-    """Positions of 64-bit hashes in a sorted array, by a table on their top bits first."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values
-        self.bits = max(10, min(22, int(np.ceil(np.log2(max(1, len(values))))) + 5))
-        self.shift = np.uint64(64 - self.bits)
-        self.maybe = np.zeros(1 << self.bits, bool)
-        self.maybe[(values >> self.shift).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of those hashes that are there, and their places among the values."""
-        if not len(self.values):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.maybe[(hashes >> self.shift).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.values, hashes[at]), len(self.values) - 1)
-        right = self.values[place] == hashes[at]
-        return at[right], place[right]
-
-
 def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Occurrences of each word (sorted hashes) over all of docs, all words, and documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -80,7 +60,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     out = np.zeros(size, np.int64)
-    for at, n in docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+    for at, n in docs.select("text").mapInArrow(lean(run), "at long, n long").groupBy("at").agg(F.sum("n")).collect():
         out[at] = n
     return out[:-2], int(out[-2]), int(out[-1])
 
@@ -186,7 +166,7 @@ def _finder(shared, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         table = Lookup(items.seeds)
-        for b in chunks(batches, most=2 << 20, rows=2000):
+        for b in chunks(batches, rows=2000):
             words = Words(b.column("text"))
             found = windows_of(words, items, table)
             score = scored(words, items, found)
@@ -224,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, chance: float = CHA
     found = None
     for items in item_parts(benchmark, n):
         items.choose(*word_counts(docs, items.vocabulary), chance)
-        part = docs.select("doc_id", "text").mapInArrow(_finder(spark.sparkContext.broadcast(items), least), schema)
+        part = docs.select("doc_id", "text").mapInArrow(lean(_finder(spark.sparkContext.broadcast(items), least)), schema)
         found = part if found is None else found.union(part)
     return spark.createDataFrame([], schema) if found is None else found
 
@@ -235,7 +215,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = N, chance: float
     small_batches(spark)
     for items in item_parts(benchmark, n):
         items.choose(*word_counts(docs, items.vocabulary), chance)
-        docs = docs.mapInArrow(_keeper(spark.sparkContext.broadcast(items), least), docs.schema)
+        docs = docs.mapInArrow(lean(_keeper(spark.sparkContext.broadcast(items), least)), docs.schema)
     return docs
 
 
@@ -243,7 +223,7 @@ def _keeper(shared, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         table = Lookup(items.seeds)
-        for b in chunks(batches, most=2 << 20, rows=2000):
+        for b in chunks(batches, rows=2000):
             words = Words(b.column("text"))
             found = windows_of(words, items, table)
             bad = np.zeros(b.num_rows, bool)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.cluster import written
+from tessera.llm.cluster import lean, written
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,18 +42,18 @@ def forest(edges: DataFrame) -> DataFrame:
             child = node != root
             yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(root[child])], ["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, component) for every node of edges (a, b); component: the smallest node connected to it.
+    """(key, component) for every node of edges (a, b), best given as a forest of each partition; component: the smallest node connected to it.
 
     Alternating stars: all larger neighbours of a node move to its smallest one,
     then the smaller ones do. Rounds grow with the logarithm of the diameter, and
     each reads and writes a narrow table.
     """
     own = Window.partitionBy("a")
-    now = written(forest(edges).where("a <> b").distinct(), "edges")
+    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
