@@ -2,32 +2,40 @@
 
 An item (an n-gram, a line, an anchor) is a 64-bit hash. Its top bits name the
 column block it belongs to, 32 more bits tell it from the others of its block.
-A task packs the items of many documents into one row for each block, so an
-exchange costs about four bytes an item and hardly any rows. The number of
-blocks follows the size of the corpus, so a block holds about as many items at
-any scale, and the chance that two items of a block look alike stays the same.
+A task gathers the items of a few thousand documents into a batch and sends one
+row for each block, which names documents by their number in the batch; keys
+and sizes of the documents travel once, in a row of their own. So an exchange
+costs little more than four bytes an item, however many blocks there are. The
+number of blocks follows the size of the corpus, so a block holds about as many
+items at any scale, and the chance that two items of a block look alike stays
+the same. What a block marks returns to the batches.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.cluster import lean
 from tessera.llm.textcore import chunks
 
 #: Bytes of text for each column block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+#: Items that a task gathers before it sends them, and documents.
+BATCH_ITEMS, BATCH_DOCS = 1 << 20, 4096
 #: Column blocks, at most; the top bits of an item.
 MOST_BITS = 16
 
-PACKED = "block int, keys binary, sizes binary, counts binary, items binary"
-_PACKED = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())])
-FLAGGED = "bucket int, block int, keys binary, sizes binary, counts binary, items binary, marks binary"
-_FLAGGED = pa.schema([("bucket", pa.int32()), *_PACKED, ("marks", pa.binary())])
+# rows with head: keys and sizes in a and b; the others: gaps between numbers of documents, counts, items, and marks in a to d
+PACKED = "batch long, block int, head boolean, a binary, b binary, c binary, d binary"
+_PACKED = pa.schema([("batch", pa.int64()), ("block", pa.int32()), ("head", pa.bool_()), *((n, pa.binary()) for n in "abcd")])
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -48,10 +56,22 @@ def item_ids(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(32 - bits)
 
 
-def pack(keys: np.ndarray, owner: np.ndarray, hashes: np.ndarray, bits: int) -> Iterator[dict]:
-    """Rows of a chunk of fewer than 4096 documents; owner: the document of each item. Items are distinct within a document."""
-    ids = item_ids(hashes, bits)
-    both = ((ids >> np.uint64(32)) << np.uint64(44)) | (owner.astype(np.uint64) << np.uint64(32)) | (ids & np.uint64(0xFFFFFFFF))
+def planes(x: np.ndarray, n: int) -> bytes:
+    """Small numbers as n planes of bytes; the upper ones are mostly zero and compress to nothing."""
+    return b"".join((x >> (8 * k)).astype(np.uint8).tobytes() for k in range(n))
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(n, -1).astype(np.int64)
+    return sum(parts[k] << (8 * k) for k in range(n))
+
+
+def _row(batch: int, block: int, doc: np.ndarray, count: np.ndarray, items: np.ndarray, marks: np.ndarray | None) -> dict:
+    return {"batch": batch, "block": block, "head": False, "a": planes(np.diff(doc, prepend=0), 2), "b": planes(count, 3), "c": items.tobytes(), "d": b"" if marks is None else marks.tobytes()}
+
+
+def pack(keys: np.ndarray, both: np.ndarray, bits: int) -> Iterator[dict]:
+    """Rows of a batch. both: block, number of the document, and 32 bits of each item, from the top."""
     both.sort()
     if len(both):
         new = np.empty(len(both), bool)
@@ -60,115 +80,118 @@ def pack(keys: np.ndarray, owner: np.ndarray, hashes: np.ndarray, bits: int) ->
         both = both[new]
     where = (both >> np.uint64(32)).astype(np.int64)
     sizes = np.bincount(where & 4095, minlength=len(keys)).astype(np.uint32)
+    task = TaskContext.get()
+    batch = xxhash.xxh3_64_intdigest(keys.tobytes(), seed=task.partitionId() if task else 0) >> 1
+    yield {"batch": batch, "block": batch & ((1 << bits) - 1), "head": True, "a": keys.tobytes(), "b": sizes.tobytes(), "c": b"", "d": b""}
     starts = np.flatnonzero(np.diff(where, prepend=-1))
-    counts = np.diff(np.append(starts, len(where))).astype(np.uint32)
+    ends = np.append(starts, len(where))
+    counts = np.diff(ends)
     block, doc = where[starts] >> 12, where[starts] & 4095
     items = both.astype(np.uint32)
     cut = np.flatnonzero(np.diff(block, prepend=-1))
-    ends = np.append(starts, len(items))
-    for a, b in zip(cut, np.append(cut[1:], len(block))):
-        yield {"block": int(block[a]), "keys": keys[doc[a:b]].tobytes(), "sizes": sizes[doc[a:b]].tobytes(), "counts": counts[a:b].tobytes(), "items": items[ends[a] : ends[b]].tobytes()}
+    for a, z in zip(cut, np.append(cut[1:], len(block))):
+        yield _row(batch, int(block[a]), doc[a:z], counts[a:z], items[ends[a] : ends[z]], None)
 
 
 def scatter(docs: DataFrame, key: str, items: Callable, bits: int) -> DataFrame:
     """Packed items of every document. items(texts) gives (owner, hashes) of an Arrow array of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, most=4 << 20, rows=4000):
+        keys: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        docs = size = 0
+        for b in chunks(batches, rows=1024):
+            if docs + b.num_rows > BATCH_DOCS or size > BATCH_ITEMS:
+                yield pa.RecordBatch.from_pylist(list(pack(np.concatenate(keys), np.concatenate(held), bits)), schema=_PACKED)
+                keys, held, docs, size = [], [], 0, 0
             owner, hashes = items(b.column("text"))
-            rows = list(pack(b.column(key).to_numpy(), owner, hashes, bits))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
+            ids = item_ids(hashes, bits)
+            held.append(((ids >> np.uint64(32)) << np.uint64(44)) | ((owner + docs).astype(np.uint64) << np.uint64(32)) | (ids & np.uint64(0xFFFFFFFF)))
+            keys.append(b.column(key).to_numpy())
+            docs, size = docs + b.num_rows, size + len(ids)
+        if keys:
+            yield pa.RecordBatch.from_pylist(list(pack(np.concatenate(keys), np.concatenate(held), bits)), schema=_PACKED)
 
-    return docs.select(key, "text").mapInArrow(run, PACKED)
+    return docs.select(key, "text").mapInArrow(lean(run), PACKED)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], *names: str) -> dict[str, list]:
-    held: dict[str, list] = {n: [] for n in names}
-    for b in batches:
-        for n in names:
-            held[n] += b.column(n).to_pylist()
-    return held
-
+def judge(packed: DataFrame, bits: int, verdict: Callable) -> DataFrame:
+    """Items that verdict(items) marks with more than 0 (an array of bytes, over all of a block's items), packed as they came."""
 
-def _joined(parts: list[bytes], kind) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[dict]] = defaultdict(list)
+        for b in batches:
+            heads = b.column("head").to_pylist()
+            for i, head in enumerate(heads):
+                if head:
+                    yield b.slice(i, 1)
+                else:
+                    rows[b.column("block")[i].as_py()].append({n: b.column(n)[i].as_py() for n in ("batch", "a", "b", "c")})
+        for block, parts in rows.items():  # one, as blocks are partitions
+            marks = verdict(np.frombuffer(b"".join(r["c"] for r in parts), np.uint32))
+            out, at = [], 0
+            for r in parts:
+                items, count = np.frombuffer(r["c"], np.uint32), from_planes(r["b"], 3)
+                mark = marks[at : at + len(items)]
+                at += len(items)
+                hit = mark > 0
+                left = np.bincount(np.repeat(np.arange(len(count)), count)[hit], minlength=len(count))
+                some = np.flatnonzero(left)
+                if len(some):
+                    out.append(_row(r["batch"], block, np.cumsum(from_planes(r["a"], 2))[some], left[some], items[hit], mark[hit]))
+                if len(out) >= 256:
+                    yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
+
+    return packed.repartitionById(1 << bits, F.col("block")).mapInArrow(lean(run), PACKED)
+
+
+def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each batch of documents: keys, sizes, and for each marked item its document (sorted), id and mark."""
+    heads: dict[int, tuple] = {}
+    parts: dict[int, list[tuple]] = defaultdict(list)
+    for b in batches:
+        for r in b.to_pylist():
+            if r["head"]:
+                heads[r["batch"]] = (np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.uint32).astype(np.int64))
+            else:
+                parts[r["batch"]].append((r["block"], r["a"], r["b"], r["c"], r["d"]))
+    for batch, (keys, sizes) in heads.items():
+        some = parts.pop(batch, [])
+        count = [from_planes(b, 3) for _, _, b, _, _ in some]
+        doc = np.concatenate([np.repeat(np.cumsum(from_planes(a, 2)), n) for (_, a, _, _, _), n in zip(some, count, strict=True)]) if some else np.zeros(0, np.int64)
+        ids = np.concatenate([np.frombuffer(c, np.uint32).astype(np.uint64) | np.uint64(block << 32) for block, _, _, c, _ in some]) if some else np.zeros(0, np.uint64)
+        marks = np.frombuffer(b"".join(d for *_, d in some), np.uint8)
+        order = np.argsort(doc, kind="stable")
+        yield keys, sizes, doc[order], ids[order], marks[order]
+
+
+def by_batch(judged: DataFrame, bits: int, run: Callable, schema: str) -> DataFrame:
+    """run over all rows of some batches."""
+    return judged.repartition(1 << bits, "batch").mapInArrow(lean(run), schema)
+
+
+def flagged_items(judged: DataFrame, bits: int) -> DataFrame:
+    """(key, ids): the marked items of each document that has some."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, doc, ids, _ in assembled(batches):
+            ends = np.searchsorted(doc, np.arange(len(keys) + 1))
+            some = np.flatnonzero(np.diff(ends))
+            for a in range(0, len(some), 1000):
+                part = some[a : a + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array([ids[ends[i] : ends[i + 1]].tobytes() for i in part], pa.binary())], ["key", "ids"])
 
-def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a document, by its key."""
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
+    return by_batch(judged, bits, run, "key long, ids binary").dropDuplicates(["key"])
 
 
-def judge(packed: DataFrame, bits: int, buckets: int, verdict: Callable) -> DataFrame:
-    """Items that verdict(items) marks with more than 0 (an array of bytes, over all of a block's items), packed by bucket of documents."""
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Identifiers of at most 48 bits in six bytes each."""
+    return (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + planes((ids >> np.uint64(32)).astype(np.int64), 2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _gather(batches, "block", "keys", "sizes", "counts", "items")
-        if not held["block"]:
-            return
-        whose = np.repeat(np.array(held["block"]), [len(k) // 8 for k in held["keys"]])
-        keys, sizes, counts, items = _joined(held["keys"], np.int64), _joined(held["sizes"], np.uint32), _joined(held["counts"], np.uint32), _joined(held["items"], np.uint32)
-        held.clear()
-        for block in np.unique(whose):  # one, as blocks are partitions
-            mine = whose == block
-            of = np.repeat(mine, counts)
-            part = items if mine.all() else items[of]
-            marks = verdict(part)
-            hit = marks > 0
-            doc = np.repeat(np.arange(int(mine.sum())), counts[mine])
-            left = np.bincount(doc[hit], minlength=int(mine.sum()))
-            some = np.flatnonzero(left)
-            at = buckets_of(keys[mine][some], buckets)
-            order = np.argsort(at, kind="stable")
-            some, at = some[order], at[order]
-            start = np.concatenate([[0], np.cumsum(left)])[:-1][some]
-            n = left[some]
-            take = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
-            chosen, mark = part[hit][take], marks[hit][take]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            k, s = keys[mine][some], sizes[mine][some]
-            cut = np.flatnonzero(np.diff(at, prepend=-1))
-            rows = [
-                {"bucket": int(at[a]), "block": int(block), "keys": k[a:b].tobytes(), "sizes": s[a:b].tobytes(), "counts": n[a:b].astype(np.uint32).tobytes(), "items": chosen[ends[a] : ends[b]].tobytes(), "marks": mark[ends[a] : ends[b]].tobytes()}
-                for a, b in zip(cut, np.append(cut[1:], len(at)))
-            ]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_FLAGGED)
-
-    return packed.repartitionById(1 << bits, F.col("block")).mapInArrow(run, FLAGGED)
-
-
-def assembled(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From all rows of a bucket: distinct keys, their sizes, and for each marked item its document (sorted), id and mark."""
-    held = _gather(batches, "block", "keys", "sizes", "counts", "items", "marks")
-    keys, counts = _joined(held["keys"], np.int64), _joined(held["counts"], np.uint32)
-    sizes = _joined(held["sizes"], np.uint32)
-    low, marks = _joined(held["items"], np.uint32), _joined(held["marks"], np.uint8)
-    block = np.repeat(np.array(held["block"], np.uint64), [len(x) // 4 for x in held["items"]])
-    names, first, back = np.unique(keys, return_index=True, return_inverse=True)
-    doc = np.repeat(back, counts)
-    ids = (block << np.uint64(32)) | low
-    part = back.astype(np.int64) << 17 | np.repeat(np.array(held["block"], np.int64), [len(k) // 8 for k in held["keys"]])
-    _, once = np.unique(part, return_index=True)
-    if len(once) < len(part):  # repeated rows are one document
-        keep = np.zeros(len(part), bool)
-        keep[once] = True
-        keep = np.repeat(keep, counts)
-        doc, ids, marks = doc[keep], ids[keep], marks[keep]
-    order = np.argsort(doc, kind="stable")
-    return names, sizes[first].astype(np.int64), doc[order], ids[order], marks[order]
-
-
-def flagged_items(flagged: DataFrame, buckets: int) -> DataFrame:
-    """(key, ids): the marked items of each document that has some."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, _, doc, ids, _ = assembled(batches)
-        ends = np.searchsorted(doc, np.arange(len(keys) + 1))
-        for a in range(0, len(keys), 1000):
-            b = min(a + 1000, len(keys))
-            blobs = [ids[ends[i] : ends[i + 1]].tobytes() for i in range(a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(blobs, pa.binary())], ["key", "ids"])
-
-    return flagged.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "key long, ids binary")
+def unpacked_ids(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint32, n).astype(np.uint64) | (from_planes(data[4 * n :], 2).astype(np.uint64) << np.uint64(32))

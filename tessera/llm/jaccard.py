@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import blocks
-from tessera.llm.cluster import doc_key, free_name, small_batches, written
-from tessera.llm.graph import components, forest, local_components
+from tessera.llm.cluster import doc_key, free_name, lean, small_batches, written
+from tessera.llm.graph import components, local_components
 from tessera.llm.textcore import Words, mix, span_hashes
 
 N = 3
@@ -77,46 +77,56 @@ def _degrees(items: np.ndarray) -> np.ndarray:
 
 def _survivors(p: int, q: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, doc, ids, marks = blocks.assembled(batches)
-        shared = np.bincount(doc, minlength=len(keys))
-        able = shared * q >= p * sizes
-        keep = able[doc]
-        doc, ids, marks = doc[keep], ids[keep], marks[keep]
-        order = np.lexsort((ids, marks, doc))
-        ids = ids[order]
-        ends = np.searchsorted(doc, np.arange(len(keys) + 1))
-        sums = np.zeros(len(ids) + 1, np.uint64)
-        np.cumsum(mix(ids), out=sums[1:])
-        prefix = sizes - -(-p * sizes // q) + 1 - (sizes - shared)
-        some = np.flatnonzero(able)
-        for a in range(0, len(some), 500):
-            part = some[a : a + 500]
-            whole = shared[part] == sizes[part]
-            same = np.where(whole, mix(sums[ends[part + 1]] - sums[ends[part]] + sizes[part].astype(np.uint64)), keys[part].view(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[part]), pa.array(sizes[part]), pa.array(prefix[part]), pa.array(same.view(np.int64)), pa.array([ids[ends[i] : ends[i + 1]].tobytes() for i in part], pa.binary())],
-                ["key", "size", "prefix", "same", "grams"],
-            )
+        for keys, sizes, doc, ids, marks in blocks.assembled(batches):
+            shared = np.bincount(doc, minlength=len(keys))
+            able = (shared > 0) & (shared * q >= p * sizes)
+            keep = able[doc]
+            doc, ids, marks = doc[keep], ids[keep], marks[keep]
+            order = np.lexsort((ids, marks, doc))
+            ids = ids[order]
+            ends = np.searchsorted(doc, np.arange(len(keys) + 1))
+            sums = np.zeros(len(ids) + 1, np.uint64)
+            np.cumsum(mix(ids), out=sums[1:])
+            prefix = sizes - -(-p * sizes // q) + 1 - (sizes - shared)
+            some = np.flatnonzero(able)
+            for a in range(0, len(some), 500):
+                part = some[a : a + 500]
+                whole = shared[part] == sizes[part]
+                same = np.where(whole, mix(sums[ends[part + 1]] - sums[ends[part]] + sizes[part].astype(np.uint64)), keys[part].view(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[part]), pa.array(sizes[part]), pa.array(prefix[part]), pa.array(same.view(np.int64)), pa.array([blocks.packed_ids(ids[ends[i] : ends[i + 1]]) for i in part], pa.binary())],
+                    ["key", "size", "prefix", "same", "grams"],
+                )
 
     return run
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix of each document, and its whole as one more column; equal documents that a task sees share one prefix."""
+    seen: set[int] = set()
     for b in batches:
-        parts = [np.frombuffer(g, np.int64)[:n] for g, n in zip(b.column("grams").to_pylist(), b.column("prefix").to_pylist(), strict=True)]
+        key, same = b.column("key").to_numpy(), b.column("same").to_numpy()
+        new = np.zeros(len(key), bool)
+        for i, x in enumerate(same.tolist()):
+            new[i] = x not in seen
+            seen.add(x)
+        parts = [blocks.unpacked_ids(g)[:n].view(np.int64) if fresh else np.zeros(0, np.int64) for g, n, fresh in zip(b.column("grams").to_pylist(), b.column("prefix").to_pylist(), new, strict=True)]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(b.column("key").to_numpy(), [len(x) for x in parts]))], ["gram", "key"])
+            gram = np.concatenate([*parts, same | np.int64(-(1 << 63))])  # never an n-gram, those have 48 bits
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.concatenate([np.repeat(key, [len(x) for x in parts]), key]))], ["gram", "key"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between documents that follow each other in a column."""
+    """A forest of the documents that share columns here."""
     held = [(b.column("gram").to_numpy(), b.column("key").to_numpy()) for b in batches if b.num_rows]
     if held:
         gram, key = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
         order = np.argsort(gram, kind="stable")
         gram, key = gram[order], key[order]
         met = gram[1:] == gram[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[1:][met]), pa.array(key[:-1][met])], ["a", "b"])
+        node, root = local_components(key[1:][met], key[:-1][met])
+        child = node != root
+        yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(root[child])], ["a", "b"])
 
 
 def overlaps(ids: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
@@ -126,13 +136,17 @@ def overlaps(ids: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
     ids, doc = ids[order], doc[order].astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     count = np.diff(np.append(start, len(ids)))
-    codes = []
+    codes, held = [], 0
     for length in range(2, SPARSE + 1):
         at = start[count == length]
         for i in range(length):
             for j in range(i + 1, length):
                 if len(at):
                     codes.append(doc[at + i] * m + doc[at + j])
+                    held += len(at)
+                if held > 1 << 20:
+                    total += np.bincount(np.concatenate(codes), minlength=m * m).reshape(m, m).astype(np.int32)
+                    codes, held = [], 0
     if codes:
         total += np.bincount(np.concatenate(codes), minlength=m * m).reshape(m, m).astype(np.int32)
     dense = np.flatnonzero(count > SPARSE)
@@ -145,28 +159,24 @@ def overlaps(ids: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
     return np.triu(total, 1) + np.tril(total, -1).T
 
 
-def multiply(rows: list[tuple], p: int, q: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows (size, same, grams) at or above p/q, and their overlap; with left, only pairs of one of the first `left` and one of the others."""
-    sizes = np.array([r[0] for r in rows], np.int64)
-    kinds, first, back = np.unique(np.array([r[1] for r in rows], np.int64), return_index=True, return_inverse=True)
-    parts = [np.frombuffer(rows[i][2], np.uint64) for i in first]
+def multiply(sizes: np.ndarray, grams: list[bytes], p: int, q: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of different documents at or above p/q, and their overlap; with left, only pairs of one of the first `left` and one of the others."""
+    parts = [blocks.unpacked_ids(g) for g in grams]
     found = overlaps(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), len(parts))
-    size = sizes[first].astype(np.int64)
-    found = found + np.diag(size).astype(np.int32) + np.triu(found, 1).T
-    ok = found.astype(np.int64) * (p + q) >= p * (size[:, None] + size[None, :])
-    if len(kinds) == len(rows):
-        i, j = np.nonzero(np.triu(ok, 1))
-        overlap = found[i, j]
-        i, j = first[i], first[j]
-    else:
-        wide = ok[back][:, back]
-        i, j = np.nonzero(np.triu(wide, 1))
-        overlap = found[back[i], back[j]]
-    i, j = np.minimum(i, j), np.maximum(i, j)
+    ok = found.astype(np.int64) * (p + q) >= p * (sizes[:, None] + sizes[None, :])
     if left is not None:
-        cross = (i < left) & (j >= left)
-        i, j, overlap = i[cross], j[cross], overlap[cross]
-    return i, j, overlap
+        ok[left:] = False
+        ok[:, :left] = False
+    i, j = np.nonzero(np.triu(ok, 1))
+    return i, j, found[i, j]
+
+
+def _crossed(i: np.ndarray, j: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs (i, j) of groups all pairs of their members, and the pair that each comes from."""
+    n = count[i] * count[j]
+    of = np.repeat(np.arange(len(i)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return start[i][of] + at // count[j][of], start[j][of] + at % count[j][of], of
 
 
 _EDGE = ["a", "b", "a_id", "b_id", "overlap", "a_size", "b_size"]
@@ -174,46 +184,61 @@ _EDGE_SCHEMA = "a long, b long, a_id long, b_id long, overlap long, a_size long,
 
 
 def _products(p: int, q: int, spanning: bool) -> Callable:
-    """Rows sorted by group, and within it by side; a group with two sides is a product of two tiles."""
-
-    def emit(rows: list[tuple], left: int | None) -> pa.RecordBatch:
-        i, j, overlap = multiply([r[2:] for r in rows], p, q, left)
-        key, ids, size = [np.array([r[k] for r in rows], object if k == 1 else np.int64) for k in (0, 1, 2)]
-        if spanning and len(i):  # a tree for each connected part is enough
+    """Rows sorted by group, and within it by side; a group with two sides is a product of two tiles. Members of a row have the same n-grams."""
+
+    def emit(rows: list[tuple], left: int | None) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([r[1] for r in rows], np.int64)
+        i, j, overlap = multiply(sizes, [r[2] for r in rows], p, q, left)
+        count = np.array([len(r[0]) for r in rows])
+        start = np.cumsum(count) - count
+        key = np.array([m["key"] for r in rows for m in r[0]], np.int64)
+        ids = pa.array([m["doc_id"] for r in rows for m in r[0]], pa.int64())
+        of = np.repeat(np.arange(len(rows)), count)
+        if spanning:  # a tree for each connected part is enough
             node, root = local_components(i, j)
             child = node != root
-            i, j = root[child], node[child]
-            overlap = np.zeros(len(i), np.int64)
-        cols = [pa.array(key[i]), pa.array(key[j]), pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(overlap.astype(np.int64)), pa.array(size[i]), pa.array(size[j])]
-        return pa.RecordBatch.from_arrays(cols, _EDGE)
+            a, b = start[root[child]], start[node[child]]
+            overlap = np.zeros(len(a), np.int64)
+        else:
+            a, b, pair = _crossed(i, j, start, count)
+            overlap = overlap[pair].astype(np.int64)
+        if left is None:  # copies of each other
+            for r in np.flatnonzero(count > 1):
+                x, y = (np.zeros(count[r] - 1, np.int64), np.arange(1, count[r])) if spanning else np.triu_indices(count[r], 1)
+                a, b = np.concatenate([a, start[r] + x]), np.concatenate([b, start[r] + y])
+                overlap = np.concatenate([overlap, np.full(len(x), sizes[r])])
+        for k in range(0, len(a), 100_000):
+            x, y = a[k : k + 100_000], b[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y]), ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(overlap[k : k + 100_000]), pa.array(sizes[of[x]]), pa.array(sizes[of[y]])], _EDGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole small groups, multiplied together
         rows: list[tuple] = []
-        group, items = None, 0
+        group, items, last = None, 0, None
 
         def close():
             nonlocal held, rows, items
             if rows and rows[0][-1] is not None:  # two tiles
-                left = sum(r[-1] == 0 for r in rows)
-                yield emit([r[:-1] for r in rows], left)
+                yield from emit(rows, sum(r[-1] == 0 for r in rows))
             else:
-                held += [r[:-1] for r in rows]
-                if len(held) >= TILE // 2 or items > 1 << 21:
-                    yield emit(held, None)
+                held += rows
+                if len(held) >= TILE // 2 or items > 1 << 20:
+                    yield from emit(held, None)
                     held, items = [], 0
             rows = []
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("group", "key", "doc_id", "size", "same", "grams", "side")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("group", "members", "size", "grams", "side", "key")), strict=True):
                 if r[0] != group:
                     yield from close()
-                    group = r[0]
-                rows.append(r[1:])
-                items += len(r[5]) // 8
+                    group, last = r[0], None
+                if last != r[4:]:  # else a repeated row
+                    rows.append(r[1:5])
+                    items += len(r[3]) // 6
+                last = r[4:]
         yield from close()
         if held:
-            yield emit(held, None)
+            yield from emit(held, None)
 
     return run
 
@@ -225,21 +250,21 @@ def similar(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD,
     p, q = threshold
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", doc_key())
     bits = blocks.bits_for(blocks.text_bytes(docs))
-    buckets = 1 << bits
-    flagged = blocks.judge(blocks.scatter(keyed, "key", gram_items(n), bits), bits, buckets, _degrees)
-    able = written(flagged.repartitionById(buckets, F.col("bucket")).mapInArrow(_survivors(p, q), "key long, size long, prefix long, same long, grams binary"), "able")
-    meetings = able.select("key", "prefix", "grams").mapInArrow(_postings, "gram long, key long").repartition("gram").mapInArrow(_meetings, "a long, b long")
-    label = components(forest(meetings))
-    names = keyed.select("key", "doc_id").distinct()
-    rows = written(label.join(names, "key").join(able.select("key", "size"), "key"), "labels")
+    judged = blocks.judge(blocks.scatter(keyed, "key", gram_items(n), bits), bits, _degrees)
+    able = written(blocks.by_batch(judged, bits, _survivors(p, q), "key long, size long, prefix long, same long, grams binary"), "able")
+    meetings = able.select("key", "prefix", "same", "grams").mapInArrow(lean(_postings), "gram long, key long").repartition("gram").mapInArrow(lean(_meetings), "a long, b long")
+    label = components(meetings)
+    # one row for all documents with the same n-grams
+    who = able.select("key", "same", "size").join(keyed.select("key", "doc_id"), "key").groupBy("same").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.collect_set(F.struct("key", "doc_id")).alias("members"))
+    rows = written(who.drop("same").join(label, "key"), "rows")
     big = rows.groupBy("component").count().where(F.col("count") > TILE)
     many = big.count()
     small = rows if not many else rows.join(big, "component", "left_anti")
-    parts = small.select("key", "doc_id", F.col("component").alias("group"), F.lit(None).cast("int").alias("side"))
+    parts = small.select("key", "members", F.col("component").alias("group"), F.lit(None).cast("int").alias("side"))
     if many:
         parts = parts.union(_tiled(rows.join(big.select("component"), "component"), p, q))
-    placed = parts.join(able.select("key", "size", "same", "grams"), "key").repartition("group").sortWithinPartitions("group", "side")
-    return placed.select("group", "key", "doc_id", "size", "same", "grams", "side").mapInArrow(_products(p, q, spanning), _EDGE_SCHEMA)
+    placed = parts.join(able.select("key", "size", "grams"), "key").repartition("group").sortWithinPartitions("group", "side", "key")
+    return placed.select("group", "key", "members", "size", "grams", "side").mapInArrow(lean(_products(p, q, spanning)), _EDGE_SCHEMA)
 
 
 def _tiled(rows: DataFrame, p: int, q: int) -> DataFrame:
@@ -252,7 +277,7 @@ def _tiled(rows: DataFrame, p: int, q: int) -> DataFrame:
     near = near.withColumn("group", F.xxhash64("component", "tile", "other"))
     ends = near.select("component", "group", F.when(F.col("tile") != F.col("other"), F.lit(0)).cast("int").alias("side"), "tile")
     ends = ends.union(near.where("tile <> other").select("component", "group", F.lit(1).alias("side"), F.col("other").alias("tile")))
-    return rows.join(ends, ["component", "tile"]).select("key", "doc_id", "group", "side")
+    return rows.join(ends, ["component", "tile"]).select("key", "members", "group", "side")
 
 
 def near_copies(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

@@ -137,8 +137,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     keyed = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", doc_key())
     bits = blocks.bits_for(blocks.text_bytes(docs), 4 * blocks.BLOCK_BYTES)
-    buckets = 1 << bits
-    flags = blocks.flagged_items(blocks.judge(blocks.scatter(keyed, "key", _items, bits), bits, buckets, seen_twice), buckets)
+    flags = blocks.flagged_items(blocks.judge(blocks.scatter(keyed, "key", _items, bits), bits, seen_twice), bits)
     suspects = keyed.join(flags, "key", "left").select("doc_id", "key", "text", "ids").mapInArrow(_suspects(bits), "doc_id long, key long, line_no long, content binary")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line_no")
     first = suspects.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")

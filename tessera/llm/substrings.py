@@ -192,13 +192,12 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     small_batches(spark)
     keyed = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", doc_key())
     bits = blocks.bits_for(blocks.text_bytes(docs))
-    buckets = 1 << bits
 
     def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         w = Windows(texts, size)
         return w.picked_owner, w.picked
 
-    flags = blocks.flagged_items(blocks.judge(blocks.scatter(keyed, "key", anchors, bits), bits, buckets, estimated_repeats), buckets).withColumnRenamed("ids", "flags")
+    flags = blocks.flagged_items(blocks.judge(blocks.scatter(keyed, "key", anchors, bits), bits, estimated_repeats), bits).withColumnRenamed("ids", "flags")
     runs = keyed.join(flags, "key", "left").select("doc_id", "key", "text", "flags").mapInArrow(_candidates(size, bits), RUNS)
     spans = runs.repartitionById(1 << bits, F.col("block")).mapInArrow(_exact, "doc_id long, key long, start long, n long, first_doc_id long, is_first boolean")
     within = Window.partitionBy("key").orderBy("start")
