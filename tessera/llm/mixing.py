@@ -1,7 +1,8 @@
 """Mixing a corpus to target weights with soft memberships.
 
-A softmax classifier, fitted on documents that the labels table names, gives
-every document a posterior over domains, p. Rates r >= 0, one for each
+A softmax classifier, fitted on documents that the labels table names, on the
+words that tell their domains apart, gives every document a posterior over
+domains, p. Rates r >= 0, one for each
 document, then make the expected domain tokens sum(r_i * n_i * p_id) meet their
 targets in weighted least squares, found by projected gradient descent with
 momentum, from equal rates, in the metric where a token counts the same in a
@@ -33,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.cluster import free_name, small_batches, written
+from tessera.llm.cluster import free_name, lean, small_batches, written
 from tessera.llm.learn import fit_softmax, hash_order, sample_by_class, softmax
-from tessera.llm.textcore import Words, chunks, shapes, string_buffer
+from tessera.llm.textcore import SHAPES, Lookup, Words, chunks, shapes, string_buffer
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the tokens that the mix is to have.
@@ -47,38 +48,58 @@ BOUND = 3000
 ROUNDS = 60
 TOLERANCE = 1e-4
 
-BITS = 16
-_EXTRA = 8
-WIDTH = (1 << BITS) + _EXTRA
+#: Words that the classifier may look for, at most, and the least z-score of their difference in document frequency.
+FEATURES, Z = 3000, 4.0
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (row, column, value) and the words of each text."""
+def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words with the text of each, the words of each text, and shares of kinds of bytes."""
     words = Words(texts)
     n = len(texts)
-    count = words.counts()
-    owner = words.owner()
-    cols = (words.hash >> np.uint64(64 - BITS)).astype(np.int64)
-    vals = 1 / np.sqrt(np.maximum(1, count))[owner]
     raw, off = string_buffer(texts)
     form = shapes(raw, np.repeat(np.arange(n), np.diff(off)), n)
-    form = form / np.maximum(1, form.sum(1, keepdims=True))
-    rows = np.concatenate([owner, np.repeat(np.arange(n), form.shape[1])])
-    cols = np.concatenate([cols, np.tile((1 << BITS) + np.arange(form.shape[1]), n)])
-    return rows, cols, np.concatenate([vals, 4 * np.sqrt(form).ravel()]), count
+    return words.hash, words.owner(), words.counts(), 4 * np.sqrt(form / np.maximum(1, form.sum(1, keepdims=True)))
 
 
 class Classifier:
-    def __init__(self, w: np.ndarray, b: np.ndarray):
-        self.w, self.b = w, b
+    """Softmax regression on which of some words a text has, each scaled by how much it tells, and on its kinds of bytes."""
+
+    def __init__(self, words: np.ndarray, scale: np.ndarray, w: np.ndarray, b: np.ndarray):
+        self.words, self.scale, self.w, self.b = words, scale, w, b
+        self.table = Lookup(words)
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols, vals, count = features(texts)
-        z = np.stack([np.bincount(rows, vals * self.w[cols, k], len(texts)) for k in range(len(self.b))], 1)
+        hashes, owner, count, form = pieces(texts)
+        at, which = self.table.find(hashes)
+        has = np.unique(owner[at] * np.int64(len(self.words) + 1) + which)
+        row, which = has // (len(self.words) + 1), has % (len(self.words) + 1)
+        z = form @ self.w[len(self.words) :]
+        for k in range(len(self.b)):
+            z[:, k] += np.bincount(row, self.scale[which] * self.w[which, k], len(texts))
         z[count == 0] = 0
         return softmax(z + self.b), count
 
 
+def telling(rows: np.ndarray, hashes: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words whose document frequency differs most between a class and the rest, and by how much its logarithm does; (rows, hashes) are the distinct words of documents."""
+    words, back = np.unique(hashes, return_inverse=True)
+    have = np.bincount(back * k + y[rows], minlength=len(words) * k).reshape(-1, k).astype(np.float64)
+    n = np.bincount(y, minlength=k).astype(np.float64)
+    best, gap = np.zeros(len(words)), np.zeros(len(words))
+    for c in range(k):
+        rest = n.sum() - n[c]
+        if not n[c] or not rest:
+            continue
+        p, q = (have[:, c] + 0.5) / (n[c] + 1), (have.sum(1) - have[:, c] + 0.5) / (rest + 1)
+        z = np.abs(p - q) / np.sqrt(p * (1 - p) / n[c] + q * (1 - q) / rest)
+        log = np.abs(np.log(p / (1 - p)) - np.log(q / (1 - q)))
+        gap = np.where(z > best, log, gap)
+        best = np.maximum(best, z)
+    some = np.sort(np.argsort(-best, kind="stable")[:FEATURES])
+    some = some[best[some] >= Z]
+    return words[some], gap[some]
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Classifier:
     """The classifier from documents that labels name."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
@@ -90,28 +111,28 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Classifier:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            r, c, v, count = features(b.column("text"))
-            key, back = np.unique(r * WIDTH + c, return_inverse=True)
-            total = np.bincount(back, v)
-            at = np.searchsorted(key // WIDTH, np.arange(b.num_rows + 1))
-            cols, vals = (key % WIDTH).astype(np.int32), total.astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("named_id"), b.column("domain"), pa.array([cols[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()), pa.array([vals[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
-                ["named_id", "domain", "cols", "vals"],
-            )
-
-    got = rows.mapInArrow(run, "named_id long, domain int, cols binary, vals binary").toArrow().sort_by([("named_id", "ascending"), ("domain", "ascending")])
-    n = got.num_rows
-    k = len(DOMAINS)
+            hashes, owner, _, form = pieces(b.column("text"))
+            ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            kinds = [np.unique(hashes[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("named_id"), b.column("domain"), pa.array(kinds, pa.binary()), pa.array([f.tobytes() for f in form], pa.binary())], ["named_id", "domain", "words", "form"])
+
+    got = rows.mapInArrow(lean(run), "named_id long, domain int, words binary, form binary").toArrow().sort_by([("named_id", "ascending"), ("domain", "ascending")])
+    n, k = got.num_rows, len(DOMAINS)
     if not n:
-        return Classifier(np.zeros((WIDTH, k)), np.zeros(k))
-    cols = [np.frombuffer(x, np.int32) for x in got.column("cols").to_pylist()]
-    vals = np.concatenate([np.frombuffer(x, np.float32) for x in got.column("vals").to_pylist()]).astype(np.float64)
-    at = np.repeat(np.arange(n), [len(x) for x in cols])
+        return Classifier(np.zeros(0, np.uint64), np.zeros(0), np.zeros((SHAPES, k)), np.zeros(k))
     y = got.column("domain").to_numpy()
-    w, b = fit_softmax(at, np.concatenate(cols).astype(np.int64), vals, n, WIDTH, y, k)
+    parts = [np.frombuffer(x, np.uint64) for x in got.column("words").to_pylist()]
+    hashes, owner = np.concatenate(parts), np.repeat(np.arange(n), [len(x) for x in parts])
+    words, scale = telling(owner, hashes, y, k)
+    at, which = Lookup(words).find(hashes)
+    form = np.frombuffer(b"".join(got.column("form").to_pylist())).reshape(n, SHAPES)
+    cell = np.arange(SHAPES)
+    w, b = fit_softmax(
+        np.concatenate([owner[at], np.repeat(np.arange(n), SHAPES)]), np.concatenate([which, np.tile(len(words) + cell, n)]), np.concatenate([scale[which], form.ravel()]),
+        n, len(words) + SHAPES, y, k, rounds=300,
+    )
     b = np.where(np.bincount(y, minlength=k) > 0, b, -30.0)  # a domain without labels can't be predicted
-    return Classifier(w, b)
+    return Classifier(words, scale, w, b)
 
 
 def priors(labels: DataFrame) -> np.ndarray:
@@ -143,7 +164,7 @@ def _sums(narrow: DataFrame, of: Callable, size: int) -> np.ndarray:
             total += of(p, b.column("n_tokens").to_numpy().astype(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["at", "total"])
 
-    got = narrow.mapInArrow(run, "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
+    got = narrow.mapInArrow(lean(run), "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
     out = np.zeros(size)
     for at, total in got:
         out[at] = total
@@ -203,7 +224,7 @@ def posterior_table(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(count), *(pa.array(np.ascontiguousarray(x)) for x in p.T)], names)
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS)])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), schema)
 
 
 def rated(narrow: DataFrame, plan: Plan) -> DataFrame:
@@ -245,7 +266,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
             out = b.take(pa.array(np.repeat(np.arange(b.num_rows), times)))
             yield out.drop_columns([coin])
 
-    return tossed.mapInArrow(run, docs.schema)
+    return tossed.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
