@@ -72,7 +72,7 @@ def codewords(k: int) -> np.ndarray:
         return np.zeros((k, 0), np.float32)
     if k <= 5:
         bits = 2 ** (k - 1) - 1
-        words = [[1] * bits] + [[1 if (c + 1) >> i & 1 else -1 for c in range(bits)] for i in range(k - 1)]
+        words = [[1] * bits] + [[1 if c >> i & 1 else -1 for c in range(bits)] for i in range(k - 1)]
         return np.array(words, np.float32)
     rng = np.random.Generator(np.random.PCG64(k))
     best, apart = None, -1
