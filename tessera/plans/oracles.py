@@ -143,4 +143,10 @@ SELECT doc_id, (start // 64)::INT AS window_no, start::INT AS start, len(w[start
 SELECT p_partkey, round((least(len(list_filter(string_split(substr(name, 1, 1) || regexp_replace(substr(name, 2), '([A-Z])', '_\1', 'g'), '_'), lambda x: x <> '')) / 6.0::DOUBLE, 1) + least(length(name) / 30.0::DOUBLE, 1)) / 2, 4) AS descriptiveness,
 CASE WHEN starts_with(name, '__') AND NOT ends_with(name, '__') THEN 'private' WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END AS visibility, regexp_matches(name, '^[A-Z][A-Z0-9_]*$') AS is_constant FROM n""",
     "vector_pairs": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], head::DOUBLE[]), 6) AS similarity FROM embeddings JOIN (SELECT label, min_by(embedding, vec_id) AS head FROM embeddings GROUP BY label) USING (label)",
+    "html_section_nodes": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS heads FROM pages WHERE html IS NOT NULL),
+r AS (SELECT page_id, (k - 1)::INT AS spot, heads[k] AS head, regexp_extract(heads[k], '(?i)^<h([1-6])', 1)::INT AS level FROM (SELECT *, unnest(range(1, len(heads) + 1)) AS k FROM h))
+SELECT page_id, spot AS "at", level, trim(regexp_replace(regexp_replace(head, '(?is)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title,
+CASE level {levels} END AS parent_at FROM r WINDOW w AS (PARTITION BY page_id ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""".replace(
+        "{levels}", " ".join(f"WHEN {k} THEN max(CASE WHEN level < {k} THEN spot END) OVER w" for k in range(2, 7))
+    ),
 }

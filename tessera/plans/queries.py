@@ -300,8 +300,11 @@ def html_section_nodes(spark: SparkSession, d: str) -> DataFrame:
     heads = F.regexp_extract_all("html", F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>)"), F.lit(1))
     rows = pages.select("page_id", F.posexplode(heads).alias("at", "head")).withColumn("level", F.regexp_extract("head", r"(?i)^<h([1-6])", 1).cast("int"))
     title = F.trim(F.regexp_replace(F.regexp_replace("head", r"(?is)<[^>]*>", ""), r"\s+", " "))
-    above = F.last(F.when(F.col("level") < 2, F.col("at")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("above", F.when(F.col("level") > 1, above)).select("page_id", "at", "level", title.alias("title"), F.col("above").alias("parent_at"))
+    before = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.lit(None).cast("int")
+    for level in range(2, 7):
+        above = F.when(F.col("level") == level, F.max(F.when(F.col("level") < level, F.col("at"))).over(before)).otherwise(above)
+    return rows.select("page_id", "at", "level", title.alias("title"), above.alias("parent_at"))
 
 
 QUERIES = {
