@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import blocks
-from tessera.llm.cluster import doc_key, free_name, lean, small_batches, written
+from tessera.llm.cluster import doc_key, free_name, lean, small_batches, with_small_side, written
 from tessera.llm.graph import components, local_components
 from tessera.llm.textcore import Words, mix, span_hashes
 
@@ -302,7 +302,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD
     first = Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "key")
     gone = written(group.join(ids, "key").withColumn("nth", F.row_number().over(first)).where("nth > 1").select("key"), "gone")
     key = free_name(docs, "near_key")
-    return docs.withColumn(key, doc_key()).join(gone.withColumnRenamed("key", key), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.withColumn(key, doc_key()).join(with_small_side(gone.withColumnRenamed("key", key), 1_000_000), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
