@@ -6,7 +6,12 @@ domains, p. Rates r >= 0, one for each
 document, then make the expected domain tokens sum(r_i * n_i * p_id) meet their
 targets in weighted least squares, found by projected gradient descent with
 momentum, from equal rates, in the metric where a token counts the same in a
-long document as in a short one. Posteriors and lengths are written once as a
+long document as in a short one. Where ROUNDS of these haven't met the targets,
+as in skewed corpora, Newton's method finds the rates nearest to equal ones that
+meet them (`_finish`); it ends when every target is met within TOLERANCE, or
+when a lower bound on what any rates leave shows that they can't be met and no
+rates come closer than SLACK, and then gives the shortfall as a warning; if
+neither can be shown, it fails. Posteriors and lengths are written once as a
 narrow table; an iteration reads it, and only one number for each domain comes
 back to the driver. A document's rate follows from its own row and the
 gradients so far, so rates are never shuffled or stored between iterations.
@@ -20,12 +25,13 @@ texts get equal rates. Null and empty texts have no tokens, the classifier's
 prior as posterior, and change no total. Labels with nulls, without a document
 or given twice in contradiction are left out or used as they are. Without any
 usable label the posterior is uniform. A domain that no text can supply stays
-short of its target. An empty table gives no rows. Other columns are kept or
+short of its target, with a warning. An empty table gives no rows. Other columns are kept or
 ignored as the function says.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,8 +51,12 @@ TARGETS = {"good": 0.93, "poor": 0.06, "toxic": 0.01}
 SCALE = 1.1
 #: Labelled documents that the classifier is fitted on, at most.
 BOUND = 3000
+#: Rounds of gradient descent, after which Newton's method goes on.
 ROUNDS = 60
+#: Distance from a target within which it is met, as a share of all tokens of the mix.
 TOLERANCE = 1e-4
+#: If the targets can't be met: how much of the weighted squares that are left may be due to stopping.
+SLACK = 0.01
 
 #: Words that the classifier may look for, at most, and the least z-score of their difference in document frequency.
 FEATURES, Z = 3000, 4.0
@@ -172,11 +182,82 @@ def _sums(narrow: DataFrame, of: Callable, size: int) -> np.ndarray:
 
 
 class Plan:
-    """What rates depend on besides the posteriors of a document."""
-
-    def __init__(self, start: float, step: float, gradients: list[np.ndarray], totals: np.ndarray, targets: np.ndarray, reached: np.ndarray):
-        self.start, self.step, self.gradients = start, step, gradients
-        self.totals, self.targets, self.reached = totals, targets, reached
+    """What rates depend on besides the posteriors of a document: gradients, or the slope of Newton's method. missed: the targets less what is reached, where they can't be met; else None."""
+
+    def __init__(self, start: float, step: float, gradients: list[np.ndarray], totals: np.ndarray, targets: np.ndarray, reached: np.ndarray, slope: np.ndarray | None = None, missed: np.ndarray | None = None):
+        self.start, self.step, self.gradients, self.slope = start, step, gradients, slope
+        self.totals, self.targets, self.reached, self.missed = totals, targets, reached, missed
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        if self.slope is not None:
+            return np.maximum(0.0, self.start + p @ self.slope)
+        return rates_after(p, self.start, self.step, self.gradients)[0]
+
+
+def least_left(gradient: np.ndarray, lowest: float, want: np.ndarray, weight: np.ndarray) -> float:
+    """A bound below half the weighted squares that any rates leave, by duality; lowest: the least product of the gradient and a document's posterior."""
+    u = gradient + max(0.0, -lowest)  # posteriors add up to 1, so now no document has a negative product
+    short = -(u @ want)
+    return short * short / (2 * (u * u / weight).sum()) if short > 0 else 0.0
+
+
+def _finish(narrow: DataFrame, start: float, want: np.ndarray, weight: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The slope v of rates max(0, start + p @ v), what they reach, and whether that meets the targets.
+
+    Such rates are the best of the weighted squares with a pull to equal rates;
+    v is found by Newton's method on the dual, a convex function of as many
+    numbers as there are domains, for an ever weaker pull. One pass tries all
+    lengths of a Newton step.
+    """
+    k = len(want)
+    lengths = 0.5 ** np.arange(24)
+    v, along = np.zeros(k), np.zeros(k)
+    pull, reached = 1e-2, np.zeros(k)
+
+    def tried(v: np.ndarray, along: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each length: half the squares of the rates, what they reach, and the matrix of the documents in use."""
+
+        def of(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+            base, more, out = start + p @ v, p @ along, []
+            for x in lengths:
+                r = np.maximum(0.0, base + x * more)
+                out += [[(n * r * r).sum() / 2], n * r @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()]
+            return np.concatenate(out)
+
+        return _sums(narrow, of, len(lengths) * (1 + k + k * k)).reshape(len(lengths), -1)
+
+    while pull >= 1e-14:
+        at = tried(v, along, lengths[:1])[0]
+        while True:
+            reached = at[1 : 1 + k]
+            if np.abs(reached - want).max() <= tolerance * want.sum():
+                return v, reached, True
+            gradient = reached - want + pull * v / weight
+            matrix = at[1 + k :].reshape(k, k) + np.diag(pull / weight)
+            along = -np.linalg.solve(matrix, gradient)
+            slope = gradient @ along
+            value = at[0] - v @ want + pull * (v * v / weight).sum() / 2
+            if np.abs(gradient).max() <= 1e-3 * np.abs(reached - want).max() or -slope <= 1e-13 * abs(value):
+                break
+            found = tried(v, along, lengths)
+            to = v + lengths[:, None] * along
+            values = found[:, 0] - to @ want + pull * (to * to / weight).sum(1) / 2
+            best = int(np.argmin(values))
+            if not values[best] < value:
+                break  # no better in floating point
+            v, at = to[best], found[best]
+        along = np.zeros(k)
+        left = weight * (reached - want)
+        if least_left(left, _lowest(narrow, left), want, weight) >= (1 - SLACK) * (left * (reached - want)).sum() / 2:
+            return v, reached, False
+        pull /= 10
+    raise RuntimeError(f"mixing: no fit; reached {reached.tolist()} of {want.tolist()} tokens")
+
+
+def _lowest(narrow: DataFrame, u: np.ndarray) -> float:
+    """The least product of u and the posterior of a document with tokens."""
+    product = sum((F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS, u, strict=True)), F.lit(0.0))
+    return narrow.where("n_tokens > 0").agg(F.min(product)).first()[0]
 
 
 def solve(narrow: DataFrame, targets: dict[str, float] = TARGETS, scale: float = SCALE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Plan:
@@ -193,16 +274,20 @@ def solve(narrow: DataFrame, targets: dict[str, float] = TARGETS, scale: float =
     root = np.sqrt(weight)
     step = 1 / max(np.linalg.eigvalsh(gram * root[:, None] * root[None, :]).max(), 1e-12)
     gradients: list[np.ndarray] = []
-    reached = totals * scale
     for _ in range(rounds):
         # the gradient at the point ahead
         start, held = scale, list(gradients)
         at = _sums(narrow, lambda p, n: np.concatenate([(r := rates_after(p, start, step, held))[1] * n @ p, r[0] * n @ p]), 2 * k)
         reached = at[k:]
         if np.abs(reached - want).max() <= tolerance * want.sum():
-            break
+            return Plan(scale, step, gradients, totals, want, reached)
         gradients.append(weight * (at[:k] - want))
-    return Plan(scale, step, gradients, totals, want, reached)
+    slope, reached, met = _finish(narrow, scale, want, weight, tolerance)
+    if met:
+        return Plan(scale, step, [], totals, want, reached, slope)
+    missed = want - reached
+    warnings.warn("mixing: no rates meet the targets; short of them, in shares of all tokens: " + ", ".join(f"{d} {m / want.sum():.4f}" for d, m in zip(DOMAINS, missed, strict=True)), stacklevel=2)
+    return Plan(scale, step, [], totals, want, reached, slope, missed)
 
 
 def calibrated(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Classifier:
@@ -229,12 +314,10 @@ def posterior_table(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame
 
 def rated(narrow: DataFrame, plan: Plan) -> DataFrame:
     """narrow with domain, its likeliest, and rate."""
-    start, step, gradients = plan.start, plan.step, plan.gradients
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = np.stack([b.column(f"p_{d}").to_numpy() for d in DOMAINS], 1)
-            rate = rates_after(p, start, step, gradients)[0]
+            rate = plan.rates(p)
             domain = pa.array(DOMAINS).take(pa.array(p.argmax(1)))
             yield pa.RecordBatch.from_arrays([*b.columns, domain, pa.array(rate)], [*b.schema.names, "domain", "rate"])
 
@@ -252,15 +335,15 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     small_batches(docs.sparkSession)
     model = calibrated(docs, labels, bound)
     plan = solve(written(posterior_table(docs, model, "doc_id"), "mixing"), targets, scale)
-    shared = docs.sparkSession.sparkContext.broadcast((model, plan.start, plan.step, plan.gradients))
+    shared = docs.sparkSession.sparkContext.broadcast((model, plan))
     coin = free_name(docs, "coin")
     tossed = docs.withColumn(coin, hash_order("doc_id", "text") / F.lit(float(1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, start, step, gradients = shared.value
+        model, plan = shared.value
         for b in chunks(batches):
             p, _ = model.posteriors(b.column("text"))
-            rate = rates_after(p, start, step, gradients)[0]
+            rate = plan.rates(p)
             whole = np.floor(rate)
             times = (whole + (b.column(coin).to_numpy() < rate - whole)).astype(np.int64)
             out = b.take(pa.array(np.repeat(np.arange(b.num_rows), times)))

@@ -97,6 +97,27 @@ def test_mixing_of_odd_rows(odd, empty, labels):
     assert all(abs(r.p_good - 1 / 3) < 0.7 for r in none)
 
 
+@pytest.mark.parametrize("shares", [(0.02, 0.90, 0.08), (0.001, 0.90, 0.099), (0.30, 0.50, 0.20)])
+def test_rates_of_a_mostly_poor_corpus(spark, shares):
+    domain = np.repeat(range(3), np.round(np.array(shares) * 1000).astype(int))
+    rows = [(i, 100, *map(float, np.eye(3)[d])) for i, d in enumerate(domain)]
+    narrow = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double")
+    plan = mixing.solve(narrow)
+    assert plan.missed is None
+    total = mixing.rated(narrow, plan).groupBy("domain").agg(F.sum(F.col("rate") * F.col("n_tokens"))).collect()
+    got = np.array([dict(map(tuple, total))[d] for d in mixing.DOMAINS])
+    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * 100_000 * mixing.SCALE
+    assert np.abs(got - want).max() <= mixing.TOLERANCE * want.sum() * 1.001
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    rows = [(i, 100, p, 0.9 - p, 0.1) for i, p in enumerate([0.3, 0.4, 0.5, 0.6])]
+    narrow = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double")
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        plan = mixing.solve(narrow)
+    assert plan.missed[0] > 0 and np.allclose(plan.reached + plan.missed, plan.targets)
+
+
 # decontamination
 
 
