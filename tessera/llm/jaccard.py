@@ -184,7 +184,7 @@ _EDGE_SCHEMA = "a long, b long, a_id long, b_id long, overlap long, a_size long,
 
 
 def _products(p: int, q: int, spanning: bool) -> Callable:
-    """Rows sorted by group, and within it by side; a group with two sides is a product of two tiles. Members of a row have the same n-grams."""
+    """Rows sorted by group, and within it by side; a group with sides 0 and 1 is a product of two tiles, side 2 a tile times itself, and none a whole row block. Members of a row have the same n-grams."""
 
     def emit(rows: list[tuple], left: int | None) -> Iterator[pa.RecordBatch]:
         sizes = np.array([r[1] for r in rows], np.int64)
@@ -218,7 +218,10 @@ def _products(p: int, q: int, spanning: bool) -> Callable:
 
         def close():
             nonlocal held, rows, items
-            if rows and rows[0][-1] is not None:  # two tiles
+            if rows and rows[0][-1] == 2:  # one tile by itself; with another of its component its pairs would come twice
+                yield from emit(rows, None)
+                items -= sum(len(r[2]) // 6 for r in rows)
+            elif rows and rows[0][-1] is not None:  # two tiles
                 yield from emit(rows, sum(r[-1] == 0 for r in rows))
             else:
                 held += rows
@@ -275,7 +278,7 @@ def _tiled(rows: DataFrame, p: int, q: int) -> DataFrame:
     other = tiles.select("component", F.col("tile").alias("other"), F.col("least").alias("other_least"))
     near = tiles.join(other, "component").where(F.col("other") >= F.col("tile")).where(F.col("other_least") * F.lit(p) <= F.col("most") * F.lit(q))
     near = near.withColumn("group", F.xxhash64("component", "tile", "other"))
-    ends = near.select("component", "group", F.when(F.col("tile") != F.col("other"), F.lit(0)).cast("int").alias("side"), "tile")
+    ends = near.select("component", "group", F.when(F.col("tile") != F.col("other"), F.lit(0)).otherwise(F.lit(2)).cast("int").alias("side"), "tile")
     ends = ends.union(near.where("tile <> other").select("component", "group", F.lit(1).alias("side"), F.col("other").alias("tile")))
     return rows.join(ends, ["component", "tile"]).select("key", "members", "group", "side")
 

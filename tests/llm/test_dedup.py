@@ -54,6 +54,25 @@ def test_jaccard_tiles_of_a_large_row_block(near, monkeypatch):
     assert rows_of(jaccard.near_copies(docs)) == want
 
 
+def test_jaccard_pairs_of_many_tiles_come_once(spark, make, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(6):  # row blocks of two and a half tiles
+        base = sentence(rng, 60, 10**6)
+        rows += [(len(rows) + i, f"{base} {sentence(rng, 1 + i, 10**6)}") for i in range(10)]
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = [r[:2] for r in rows_of(jaccard.near_copies(make(rows)))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    p, q = jaccard.THRESHOLD
+    sets = {i: grams(t, jaccard.N) for i, t in rows}
+    want = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) * q >= p * len(sets[i] | sets[j])]
+    assert sorted(got) == sorted(want) and len(want) == 6 * 45
+
+
 def test_overlaps_dense_and_sparse():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(25)]
