@@ -5,7 +5,8 @@ bytes of each into a compressed radix trie, so equality is decided by bytes and
 never by a hash. A terminal node holds the identifiers that arrived with its
 text; the smallest is the one that stays. If a trie outgrows its bound, its
 largest subtree is written to the shared folder; later texts on that path
-follow it there, and it is built anew, by itself, when the rest is done.
+follow it there, and it is built anew, by itself, when the rest is done. What is
+spilled is never all that the trie holds, so each rebuilding has less to do.
 
 Before the exchange a task folds equal texts that it sees close together, so a
 text with very many copies isn't sent once for each of them.
@@ -67,6 +68,7 @@ class PatriciaTrie:
     def __init__(self, bound: int = TRIE_BYTES, spill: Callable | None = None):
         self.root = _Node(b"", 0, 0)
         self.bytes = self.files = 0
+        self.inside: dict[int, list[int]] = {}  # numbers of subtrees spilled earlier, by the one that they are part of
         self.bound, self.spill = bound, spill
 
     def insert(self, key: bytes, ids: list) -> None:
@@ -110,20 +112,30 @@ class PatriciaTrie:
                 stack.extend((x, before) for x in node.below.values())
 
     def _spill_largest(self) -> None:
-        """Empty the largest subtree that holds at most all but one of the root's edges, or the only one."""
-        best, most = None, -1
-        for child in (self.root.below or {}).values():
-            size = 0 if child.spilled is not None else sum(len(k) for k, _ in self.entries(child))
-            if size > most:
-                best, most = child, size
-        if best is None or most <= 0:
+        """Empty the first subtree with at most half of what is held, going down by the largest, or the last one; a single text stays."""
+        nodes, size = [self.root], {}
+        for node in nodes:
+            nodes.extend((node.below or {}).values())
+        for node in reversed(nodes):
+            size[node] = (node.end if node.ids is not None else 0) + sum(size[x] for x in (node.below or {}).values())
+        best = self.root
+        while best.below and (best is self.root or 2 * size[best] > size[self.root]):
+            child = max(best.below.values(), key=size.get)
+            if not size[child]:
+                break
+            best = child
+        if not 0 < size[best] < size[self.root]:
             return
         number = self.files
         self.files += 1
+        part = [best]
+        for node in part:
+            part.extend((node.below or {}).values())
+        self.inside[number] = [node.spilled for node in part if node.spilled is not None]
         self.spill(number, list(self.entries(best)))
         best.below, best.ids, best.spilled = None, None, number
         best.key = best.key[: best.end]
-        self.bytes = sum(len(k) for k, _ in self.entries())
+        self.bytes = size[self.root] - size[best]
 
 
 class _Spills:
@@ -173,11 +185,20 @@ def owners(entries: Iterator[tuple[bytes, list]], base: str, bound: int) -> Iter
     for key, ids in entries:
         trie.insert(key, ids)
     yield from trie.entries()
-    files = trie.files
+    files, inside = trie.files, trie.inside
     del trie
+    within = {x for some in inside.values() for x in some}
+
+    def whole(number: int) -> Iterator[tuple[bytes, list]]:
+        todo = [number]
+        for x in todo:
+            yield from spills.subtree(x)
+            todo.extend(inside[x])
+
     for number in range(files):
-        part = list_bounded(spills.subtree(number), bound)
-        yield from (merge_small(part) if isinstance(part, list) else owners(part, base, max(bound, 2 * max_key(spills.subtree(number)))))
+        if number not in within:
+            part = list_bounded(whole(number), bound)
+            yield from (merge_small(part) if isinstance(part, list) else owners(part, base, max(bound, 2 * max_key(whole(number)))))
     spills.clear()
 
 

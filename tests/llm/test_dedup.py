@@ -124,6 +124,20 @@ def test_exact_against_brute_force(make, odd, empty):
     assert rows_of(exactdedup.exact_copies(empty)) == []
 
 
+@pytest.mark.parametrize("start", [b"one prefix of all ", b""])
+def test_texts_far_beyond_the_bound_of_a_trie(start, tmp_path):
+    rng = random.Random(9)
+    texts = [start + sentence(rng, 4).encode() for _ in range(800)] + [start + b"a" * n for n in range(60)] + [start + b"b" * 150]
+    entries = [(t, [i]) for i, t in enumerate(texts + texts[::2])]
+    want = defaultdict(list)
+    for t, ids in entries:
+        want[t] += ids
+    rng.shuffle(entries)
+    got = list(exactdedup.owners(iter(entries), f"file://{tmp_path}", 600))
+    assert len(got) == len(want) and {t: sorted(ids) for t, ids in got} == {t: sorted(ids) for t, ids in want.items()}
+    assert not list(tmp_path.iterdir())
+
+
 def test_trie_holds_prefixes_and_empty_keys():
     trie = exactdedup.PatriciaTrie()
     for k, i in ((b"", 1), (b"ab", 2), (b"abc", 3), (b"ab", 4), (b"a", 5), (b"x", 6), (b"", 7)):
