@@ -5,13 +5,15 @@ they have in license templates. Hits of one document and template vote for
 their diagonal, the place in the document less that in the template: a verbatim
 copy has all its hits on one, an edited one on a few close to each other.
 Neighbouring diagonals are merged, and a merged span is verified by the share
-of the template's words that its hits cover, and by its length.
+of the template's words that its hits cover, and by its length. Copies that
+follow each other closely are merged too; they are parted where the template
+starts over, and if two or more of the parts are licenses, or the whole isn't,
+the parts that are count instead. (The SQL doesn't part them.)
 
 Defined results. A row for each verified span, in words from 0, end exclusive.
 Rows equal in doc_id and text are one document. Null and empty texts have no
 spans. Words are compared in lower case. A template found several times in a
-document gives several rows if the copies are more than `slack` diagonals
-apart. Templates with fewer than k words are never found. Whole texts are read,
+document gives a row for each copy. Templates with fewer than k words are never found. Whole texts are read,
 however long. Other columns are passed over. An empty table gives no rows.
 """
 
@@ -91,15 +93,24 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int
     rolling = keyed.mapInArrow(_rolling(k), "doc_id long, key long, place int, hash long")
     hits = rolling.join(with_small_side(template_grams(spark, templates, k)), "hash")
     of = ["doc_id", "key", "license", "n_template"]
-    votes = hits.groupBy(*of, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.min("place").alias("a"), F.max("place").alias("z"), F.collect_set("at").alias("at"))
+    votes = hits.groupBy(*of, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"))
     along = Window.partitionBy("key", "license").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= slack, 0).otherwise(1)
     merged = votes.withColumn("fresh", fresh).withColumn("copy", F.sum("fresh").over(along))
-    spans = merged.groupBy(*of, "copy").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.flatten(F.collect_list("at")).alias("at"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + k - 1)))))
-    rows = spans.withColumn("covered", covered).withColumn("score", F.col("covered") / F.col("n_template")).withColumn("end_word", F.col("z") + k)
-    good = rows.where((F.col("score") >= least) & (F.col("end_word") - F.col("a") <= F.col("n_template") * F.lit(longest)))
-    return good.select("doc_id", "license", F.col("a").alias("start_word"), "end_word", "covered", "score")
+    placed = merged.select(*of, "copy", "diagonal", F.explode("at").alias("at")).withColumn("place", F.col("diagonal") + F.col("at"))
+    # in copies one after the other the template starts over
+    on = Window.partitionBy("key", "license", "copy").orderBy("place", "at")
+    again = placed.withColumn("again", F.when(F.col("at") <= F.lag("at").over(on), 1).otherwise(0)).withColumn("part", F.sum("again").over(on))
+    span = F.struct("a", (F.col("z") + k).alias("end_word"), F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + k - 1))))).alias("covered"))
+
+    def good(x):
+        return (x["covered"] / F.col("n_template") >= least) & (x["end_word"] - x["a"] <= F.col("n_template") * F.lit(longest))
+
+    parts = again.groupBy(*of, "copy", "part").agg(F.min("place").alias("a"), F.max("place").alias("z"), F.collect_set("at").alias("at")).withColumn("span", span)
+    parts = parts.groupBy(*of, "copy").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.collect_list("span").alias("parts"))
+    parts = parts.withColumn("parts", F.filter("parts", good)).withColumn("span", span)
+    rows = parts.withColumn("span", F.explode(F.when((F.size("parts") < 2) & good(F.col("span")), F.array("span")).otherwise(F.col("parts"))))
+    return rows.select("doc_id", "license", F.col("span.a").alias("start_word"), "span.end_word", "span.covered", (F.col("span.covered") / F.col("n_template")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

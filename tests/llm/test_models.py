@@ -231,6 +231,14 @@ def test_licenses_verbatim_and_edited(make, odd, empty):
     assert licenses.license_spans(odd).count() == 0 and licenses.license_spans(empty).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 3, 50])
+def test_licenses_one_after_the_other(make, copies):
+    lines = {1: ("reserved", 3), 2: ("CC-BY-4.0", 6), 3: ("MIT short", 5), 4: ("MIT statement", 5)}
+    rows = [(i, "before it\n" + "\n".join([licenses.TEMPLATES[name]] * copies) + "\nand after") for i, (name, _) in lines.items()]
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in licenses.license_spans(make(rows)).collect() if r.license == lines[r.doc_id][0])
+    assert got == [(i, 2 + c * n, 2 + c * n + n) for i, (_, n) in lines.items() for c in range(copies)]
+
+
 # sharding
 
 
