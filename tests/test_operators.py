@@ -140,3 +140,11 @@ def test_tables(spark, tmp_path):
     catalog.write("t", base)
     catalog.write("t", tables.upserted(catalog.read("t"), new.where("id = 2"), ["id"]))
     assert catalog.versions("t") == [1, 2] and rows_of(catalog.read("t"))[1] == (2, "B", "x") and catalog.read("t", 1).count() == 3
+
+
+def test_token_budget_over_all_documents(spark, tmp_path):
+    spark.range(1500).selectExpr("id AS doc_id", "'word' AS text", "4L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    from tessera.plans.queries import token_budget_prefix
+
+    got = token_budget_prefix(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.running) for r in got) == [(i, i + 1) for i in range(1500)]
