@@ -19,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where it is unset, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset; on a cluster it has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,18 +32,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    kept(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, path: str) -> None:
+    """Have release() delete path."""
+    _written.append((spark, path))
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written(); all that is made of them has to be written by now."""
+    for df in tables:
+        spark = df.sparkSession
+        paths = {"/".join(f.split("/")[:-1]) for f in df.inputFiles()[:1]}
+        for own in [x for x in _written if x[1].split("/")[-1] in {p.split("/")[-1] for p in paths}]:
+            _written.remove(own)
+            _delete(spark, own[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release() -> None:
     """Delete all that written() has written; results that are still to be computed from it become unreadable."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the folder belongs to the cluster
             return
 
@@ -75,6 +96,20 @@ def small(df: DataFrame, rows: int) -> bool:
     return len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows
 
 
+#: Keys that are joined by broadcast at most.
+HOT = 1000
+
+
+def joined_by_size(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """left joined to right, which has one row for each key and in `weight` how many of the `total` rows of left have it.
+
+    Keys of more than a HOT-th of all rows, fewer than HOT by arithmetic, are
+    broadcast; the others are shuffled, and none of them is larger than that.
+    """
+    hot = F.col(weight) * F.lit(HOT) > F.lit(total)
+    return left.join(F.broadcast(right.where(hot)), keys).unionByName(left.join(right.where(~hot), keys))
+
+
 def with_small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, marked to be broadcast if it has been found to have few rows; otherwise Spark chooses a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df

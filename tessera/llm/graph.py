@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.cluster import lean, written
+from tessera.llm.cluster import dropped, joined_by_size, written
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,38 +31,45 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
             label = up
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with b < a that connect within each partition what edges (a, b) connect there."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer edges (child, root), root < child, that connect what (a, b) connect."""
+    node, root = local_components(a, b)
+    child = node != root
+    return node[child], root[child]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
-        if held:
-            node, root = local_components(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            child = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(root[child])], ["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(lean(run), "a long, b long")
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        a, b = forest(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b) with m, the smallest of a and all its b; a node with very many edges is no task of its own."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("m", "a").alias("m"), "n")
+    return joined_by_size(edges, least, ["a"], "n", total)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, component) for every node of edges (a, b), best given as a forest of each partition; component: the smallest node connected to it.
+    """(key, component) for every node of edges (a, b); component: the smallest node connected to it.
 
     Alternating stars: all larger neighbours of a node move to its smallest one,
     then the smaller ones do. Rounds grow with the logarithm of the diameter, and
     each reads and writes a narrow table.
     """
-    own = Window.partitionBy("a")
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
+    now = written(edges.select("a", "b").where("a <> b").mapInArrow(_folded, "a long, b long"), "edges")
+    while n := now.count():
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        star = both.withColumn("m", F.least(F.min("b").over(own), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = star.withColumn("m", F.min("b").over(own))
+        star = written(_with_least(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
+        low = _with_least(star, star.count())
         flat = low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = written(flat, "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
-        if state == seen:
+        after = written(flat, "edges")
+        dropped(now, star)
+        now = after
+        # done when what is left are stars: each node has one edge up or some down, never both
+        ends = now.select("a").union(now.select("b").distinct())
+        if not ends.groupBy("a").count().where("count > 1").take(1):
             break
-        seen = state
     top = now.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("key"), F.col("b").alias("component")).union(top)

@@ -6,20 +6,27 @@ the blocks finds each column's degree, and a document whose shared n-grams are
 fewer than the threshold's share of its size is discarded: no partner can reach
 the bound. What is left is ordered by degree, rarest first, and two documents
 that can reach the threshold then meet in the first few of their n-grams.
-Documents that meet, directly or by others, form a row block; there the product
-is taken exactly, frequent columns by dense matrix products and the others by
-adding up pairs, and pairs whose overlap is below the bound that follows from
-their sizes are discarded. A row block with very many documents is cut into
-tiles by size, and tiles too different in size are never multiplied.
-
-All pairs at or above the threshold are found.
-
-Defined results. A document is told by doc_id and text, and rows equal in both
-are one document; with one doc_id and two texts there are two. A null doc_id is
-named as null and comes after all others. Texts with fewer than n words have
-one n-gram, all their words; null texts and those without words have none and
-no partner. Words are compared in lower case. Other columns are passed over. An
-empty table gives no rows.
+Documents with the same n-grams are one row of the matrix. Rows that meet,
+directly or by others, form a row block; there the product is taken exactly,
+frequent columns by dense matrix products and the others by adding up pairs, and
+pairs whose overlap is below the bound that follows from their sizes are
+discarded. A row block with very many rows is cut into tiles by size, and tiles
+too different in size are never multiplied. The n-grams of a row travel once for
+each product that it takes part in.
+
+The result has a row for each document with a link: its class, by the smallest
+doc_id that links lead to, and the sums of its links. No link is lost; links are
+counted, never listed, so the result grows as the documents do.
+
+N-grams are told apart by 35 to 64 bits of hash, at least as many as keep false
+twins in a block below one in a thousand items; a false twin could only change
+an overlap by one.
+
+Defined results. Every row of docs is a document of its own, so repeated rows are
+copies of each other. A null doc_id is named as null and comes after all others.
+Texts with fewer than n words have one n-gram, all their words; null texts and
+those without words have none and no partner. Words are compared in lower case.
+Other columns are passed over. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,18 +37,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm import blocks
-from tessera.llm.cluster import doc_key, free_name, lean, small_batches, with_small_side, written
-from tessera.llm.graph import components, local_components
+from tessera.llm import beside, blocks
+from tessera.llm.cluster import doc_key, free_name, joined_by_size, lean, small_batches, written
+from tessera.llm.graph import components, forest
 from tessera.llm.textcore import Words, mix, span_hashes
 
 N = 3
 #: Least Jaccard similarity, as a fraction.
 THRESHOLD = (11, 20)
-#: Documents of a row block that are multiplied at once; a larger one is tiled.
-TILE = 768
+#: Rows of a row block that are multiplied at once; a larger one is tiled.
+TILE = 1024
 #: Columns with at most so many documents add up pairs; the others are dense.
 SPARSE = 10
 
@@ -69,64 +75,91 @@ def _degrees(items: np.ndarray) -> np.ndarray:
     kind = (both >> np.uint64(32)).astype(np.uint32)
     start = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
     count = np.diff(np.append(start, len(kind)))
-    level = np.minimum(255, (8 * np.log2(count)).astype(np.int64)).astype(np.uint8)
+    level = np.minimum(255, (8 * np.log2(np.maximum(1, count))).astype(np.int64)).astype(np.uint8)
     out = np.empty(len(items), np.uint8)
     out[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.repeat(level, count)
     return out
 
 
-def _survivors(p: int, q: int) -> Callable:
+ABLE = "file long, row long, doc_id long, key long, kind long, size long, prefix long, has boolean, grams binary"
+_ABLE = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("kind", pa.int64()), ("size", pa.int64()), ("prefix", pa.int64()), ("has", pa.bool_()), ("grams", pa.binary())])
+
+
+def _survivors(marks: blocks.Marks, n: int, p: int, q: int) -> Callable:
+    """Documents that can have a partner; `kind` is the same for those with the same n-grams, and the first that a task sees of a kind has them, rarest first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sizes, doc, ids, marks in blocks.assembled(batches):
-            shared = np.bincount(doc, minlength=len(keys))
+        seen: set[int] = set()
+        items = gram_items(n)
+        for file, window, b in beside.windows(batches):
+            marks.go(file, window)
+            owner, ids = marks.layout.distinct(*items(b.column("text")))
+            sizes = np.bincount(owner, minlength=b.num_rows)
+            at, level = marks.find(ids)
+            doc = owner[at]
+            shared = np.bincount(doc, minlength=b.num_rows)
             able = (shared > 0) & (shared * q >= p * sizes)
             keep = able[doc]
-            doc, ids, marks = doc[keep], ids[keep], marks[keep]
-            order = np.lexsort((ids, marks, doc))
+            doc, ids, level = doc[keep], ids[at][keep], level[keep]
+            order = np.lexsort((ids, level, doc))
             ids = ids[order]
-            ends = np.searchsorted(doc, np.arange(len(keys) + 1))
+            ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
             sums = np.zeros(len(ids) + 1, np.uint64)
-            np.cumsum(mix(ids), out=sums[1:])
-            prefix = sizes - -(-p * sizes // q) + 1 - (sizes - shared)
+            np.cumsum(mix(ids + np.uint64(1)), out=sums[1:])
             some = np.flatnonzero(able)
-            for a in range(0, len(some), 500):
-                part = some[a : a + 500]
-                whole = shared[part] == sizes[part]
-                same = np.where(whole, mix(sums[ends[part + 1]] - sums[ends[part]] + sizes[part].astype(np.uint64)), keys[part].view(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[part]), pa.array(sizes[part]), pa.array(prefix[part]), pa.array(same.view(np.int64)), pa.array([blocks.packed_ids(ids[ends[i] : ends[i + 1]]) for i in part], pa.binary())],
-                    ["key", "size", "prefix", "same", "grams"],
-                )
+            if not len(some):
+                continue
+            row = b.column("row").to_numpy()
+            alone = mix(row.astype(np.uint64) ^ mix(np.full(1, file, np.int64).view(np.uint64)))
+            kind = np.where(shared == sizes, mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64)), alone).view(np.int64)
+            prefix = sizes - -(-p * sizes // q) + 1 - (sizes - shared)
+            has = np.zeros(len(some), bool)
+            for i, x in enumerate(kind[some].tolist()):
+                has[i] = x not in seen
+                seen.add(x)
+            grams = [ids[ends[i] : ends[i + 1]].tobytes() if h else None for i, h in zip(some.tolist(), has.tolist(), strict=True)]
+            take = pa.array(some)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(take) for c in ("file", "row", "doc_id", "key")), *(pa.array(x[some]) for x in (kind, sizes, prefix)), pa.array(has), pa.array(grams, pa.binary())], schema=_ABLE
+            )
 
     return run
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix of each document, and its whole as one more column; equal documents that a task sees share one prefix."""
-    seen: set[int] = set()
+    """(gram, a, b): the first n-grams of the kinds of a task, each once with one kind (b null), and edges that connect the kinds that share one here."""
+    gram, kind = [], []
     for b in batches:
-        key, same = b.column("key").to_numpy(), b.column("same").to_numpy()
-        new = np.zeros(len(key), bool)
-        for i, x in enumerate(same.tolist()):
-            new[i] = x not in seen
-            seen.add(x)
-        parts = [blocks.unpacked_ids(g)[:n].view(np.int64) if fresh else np.zeros(0, np.int64) for g, n, fresh in zip(b.column("grams").to_pylist(), b.column("prefix").to_pylist(), new, strict=True)]
-        if parts:
-            gram = np.concatenate([*parts, same | np.int64(-(1 << 63))])  # never an n-gram, those have 48 bits
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.concatenate([np.repeat(key, [len(x) for x in parts]), key]))], ["gram", "key"])
+        for g, n, k in zip(b.column("grams").to_pylist(), b.column("prefix").to_pylist(), b.column("kind").to_pylist(), strict=True):
+            gram.append(np.frombuffer(g, np.int64)[:n])
+            kind.append(np.full(len(gram[-1]), k))
+    if gram:
+        gram, kind = np.concatenate(gram), np.concatenate(kind)
+        order = np.argsort(gram, kind="stable")
+        gram, kind = gram[order], kind[order]
+        met = gram[1:] == gram[:-1]
+        a, b = forest(kind[1:][met], kind[:-1][met])
+        new = np.concatenate([[True], ~met])
+        gram, kind = gram[new], kind[new]
+        for at in range(0, len(gram), 100_000):
+            s = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(kind[s]), pa.nulls(len(gram[s]), pa.int64())], ["gram", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), pa.array(b)], ["gram", "a", "b"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the documents that share columns here."""
-    held = [(b.column("gram").to_numpy(), b.column("key").to_numpy()) for b in batches if b.num_rows]
+    """A forest of the kinds that share n-grams here, or are connected by an edge already."""
+    held = [tuple(b.column(c) for c in range(3)) for b in batches if b.num_rows]
     if held:
-        gram, key = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        gram, a = (np.concatenate([x[k].to_numpy() for x in held]) for k in (0, 1))
+        b = np.concatenate([x[2].fill_null(0).to_numpy() for x in held])
+        edge = ~np.concatenate([x[2].is_null().to_numpy(zero_copy_only=False) for x in held])
+        gram, node = gram[~edge], a[~edge]
         order = np.argsort(gram, kind="stable")
-        gram, key = gram[order], key[order]
+        gram, node = gram[order], node[order]
         met = gram[1:] == gram[:-1]
-        node, root = local_components(key[1:][met], key[:-1][met])
-        child = node != root
-        yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(root[child])], ["a", "b"])
+        a, b = forest(np.concatenate([node[1:][met], a[edge]]), np.concatenate([node[:-1][met], b[edge]]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def overlaps(ids: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
@@ -160,85 +193,94 @@ def overlaps(ids: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
 
 
 def multiply(sizes: np.ndarray, grams: list[bytes], p: int, q: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of different documents at or above p/q, and their overlap; with left, only pairs of one of the first `left` and one of the others."""
-    parts = [blocks.unpacked_ids(g) for g in grams]
+    """Pairs (i, j), i < j, of different rows at or above p/q, and their overlap; with left, only pairs of one of the first `left` and one of the others."""
+    parts = [np.frombuffer(g, np.uint64) for g in grams]
     found = overlaps(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), len(parts))
     ok = found.astype(np.int64) * (p + q) >= p * (sizes[:, None] + sizes[None, :])
     if left is not None:
         ok[left:] = False
         ok[:, :left] = False
     i, j = np.nonzero(np.triu(ok, 1))
-    return i, j, found[i, j]
+    return i, j, found[i, j].astype(np.int64)
+
+
+def _beside_grams(side: beside.Side) -> Callable:
+    """The n-grams of chosen rows, once for each product that they take part in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, got = None, None, None
+        for file, window, b in beside.windows(batches, rows=4096, most=4 << 20, column="grams"):
+            if at != (file, window):
+                at, got = (file, window), side.read(file, window)
+                rows = None if got is None else got.column("row").to_numpy()
+            if got is None:
+                continue
+            place = b.column("row").to_numpy()
+            first, last = np.searchsorted(rows, place), np.searchsorted(rows, place, "right")
+            n = last - first
+            mine = np.repeat(np.arange(len(place)), n)
+            take = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(mine))
+            for a in range(0, len(mine), 1024):
+                s = slice(a, a + 1024)
+                its, own = got.take(pa.array(take[s])).combine_chunks(), b.take(pa.array(mine[s]))
+                yield pa.RecordBatch.from_arrays([*(its.column(c).combine_chunks().cast(t) for c, t in (("group", pa.int64()), ("side", pa.int32()))), own.column("kind"), its.column("n").combine_chunks(), own.column("size"), own.column("grams")], ["group", "side", "kind", "n", "size", "grams"])
 
+    return run
 
-def _crossed(i: np.ndarray, j: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For pairs (i, j) of groups all pairs of their members, and the pair that each comes from."""
-    n = count[i] * count[j]
-    of = np.repeat(np.arange(len(i)), n)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    return start[i][of] + at // count[j][of], start[j][of] + at % count[j][of], of
 
+PRODUCT = "kind long, other long, links long, overlap long, best double"
+_PRODUCT = pa.schema([("kind", pa.int64()), ("other", pa.int64()), ("links", pa.int64()), ("overlap", pa.int64()), ("best", pa.float64())])
 
-_EDGE = ["a", "b", "a_id", "b_id", "overlap", "a_size", "b_size"]
-_EDGE_SCHEMA = "a long, b long, a_id long, b_id long, overlap long, a_size long, b_size long"
 
+def _products(p: int, q: int) -> Callable:
+    """For each row the sums of its links in a product (other null), and edges (kind, other) that connect the rows which links connect.
 
-def _products(p: int, q: int, spanning: bool) -> Callable:
-    """Rows sorted by group, and within it by side; a group with sides 0 and 1 is a product of two tiles, side 2 a tile times itself, and none a whole row block. Members of a row have the same n-grams."""
+    Input is sorted by group, and within it by side; a group with sides 0 and 1 is a product of two tiles, side 2 a tile times itself, and none a whole row block.
+    """
 
     def emit(rows: list[tuple], left: int | None) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([r[1] for r in rows], np.int64)
-        i, j, overlap = multiply(sizes, [r[2] for r in rows], p, q, left)
-        count = np.array([len(r[0]) for r in rows])
-        start = np.cumsum(count) - count
-        key = np.array([m["key"] for r in rows for m in r[0]], np.int64)
-        ids = pa.array([m["doc_id"] for r in rows for m in r[0]], pa.int64())
-        of = np.repeat(np.arange(len(rows)), count)
-        if spanning:  # a tree for each connected part is enough
-            node, root = local_components(i, j)
-            child = node != root
-            a, b = start[root[child]], start[node[child]]
-            overlap = np.zeros(len(a), np.int64)
-        else:
-            a, b, pair = _crossed(i, j, start, count)
-            overlap = overlap[pair].astype(np.int64)
-        if left is None:  # copies of each other
-            for r in np.flatnonzero(count > 1):
-                x, y = (np.zeros(count[r] - 1, np.int64), np.arange(1, count[r])) if spanning else np.triu_indices(count[r], 1)
-                a, b = np.concatenate([a, start[r] + x]), np.concatenate([b, start[r] + y])
-                overlap = np.concatenate([overlap, np.full(len(x), sizes[r])])
-        for k in range(0, len(a), 100_000):
-            x, y = a[k : k + 100_000], b[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y]), ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(overlap[k : k + 100_000]), pa.array(sizes[of[x]]), pa.array(sizes[of[y]])], _EDGE)
+        kind, n, sizes = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        i, j, overlap = multiply(sizes, [r[3] for r in rows], p, q, left)
+        if not len(i):
+            return
+        m = len(rows)
+        share = overlap / (sizes[i] + sizes[j] - overlap)
+        links, sums, best = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
+        for x, y in ((i, j), (j, i)):
+            np.add.at(links, x, n[y])
+            np.add.at(sums, x, n[y] * overlap)
+            np.maximum.at(best, x, share)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(kind[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some]), pa.array(sums[some]), pa.array(best[some])], schema=_PRODUCT)
+        a, b = forest(kind[i], kind[j])
+        none = np.zeros(len(a), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none), pa.array(none), pa.array(none.astype(np.float64))], schema=_PRODUCT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole small groups, multiplied together
         rows: list[tuple] = []
-        group, items, last = None, 0, None
+        group, items = None, 0
 
         def close():
             nonlocal held, rows, items
             if rows and rows[0][-1] == 2:  # one tile by itself; with another of its component its pairs would come twice
                 yield from emit(rows, None)
-                items -= sum(len(r[2]) // 6 for r in rows)
             elif rows and rows[0][-1] is not None:  # two tiles
                 yield from emit(rows, sum(r[-1] == 0 for r in rows))
             else:
                 held += rows
+                items += sum(len(r[3]) // 8 for r in rows)
                 if len(held) >= TILE // 2 or items > 1 << 20:
                     yield from emit(held, None)
                     held, items = [], 0
             rows = []
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("group", "members", "size", "grams", "side", "key")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("group", "kind", "n", "size", "grams", "side")), strict=True):
                 if r[0] != group:
                     yield from close()
-                    group, last = r[0], None
-                if last != r[4:]:  # else a repeated row
-                    rows.append(r[1:5])
-                    items += len(r[3]) // 6
-                last = r[4:]
+                    group = r[0]
+                rows.append(r[1:])
         yield from close()
         if held:
             yield from emit(held, None)
@@ -246,66 +288,100 @@ def _products(p: int, q: int, spanning: bool) -> Callable:
     return run
 
 
-def similar(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, spanning: bool = False) -> DataFrame:
-    """Pairs of documents at or above the threshold, with keys, overlap and sizes; with spanning, only as many as connect each group."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _tiled(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """Rows of large row blocks with the groups of the products that they take part in.
+
+    Sizes fall into steps by the threshold, so that only rows of one step or of
+    neighbouring ones can be similar; a step is cut into tiles by hash. A pair of
+    tiles is a group, and so is a tile with itself.
+    """
+    step = F.floor(F.ln(F.col("size").cast("double")) / F.lit(float(np.log(q / p * 1.0001)))).cast("int")
+    rows = rows.withColumn("step", step)
+    counts = written(rows.groupBy("component", "step").agg(F.count("*").alias("many")).withColumn("tiles", F.ceil(F.col("many") / F.lit(TILE // 2)).cast("int")), "steps")
+    near = lambda by, name: counts.select("component", (F.col("step") + by).alias("step"), F.col("tiles").alias(name))
+    around = counts.join(near(-1, "above"), ["component", "step"], "left").join(near(1, "below"), ["component", "step"], "left")
+    own = joined_by_size(rows, around, ["component", "step"], "many", rows.count()).withColumn("tile", F.pmod(F.xxhash64("kind"), F.col("tiles")).cast("int"))
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    name = lambda step, tile, other_step, other: F.xxhash64("component", step, tile, other_step, other).alias("group")
+    s, t = F.col("step"), F.col("tile")
+    same = F.transform(upto(F.col("tiles")), lambda x: F.struct(name(s, F.least(t, x), s, F.greatest(t, x)), F.when(x == t, 2).when(t < x, 0).otherwise(1).alias("side")))
+    above = F.transform(upto(F.col("above")), lambda x: F.struct(name(s, t, s + 1, x), F.lit(0).alias("side")))
+    below = F.transform(upto(F.col("below")), lambda x: F.struct(name(s - 1, x, s, t), F.lit(1).alias("side")))
+    return own.select("*", F.explode(F.concat(same, above, below)).alias("g")).select("file", "row", "n", "g.group", "g.side")
+
+
+def linked(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Documents that can have a partner, of docs with doc_id, text, file and row: (file, row, doc_id, key, kind). And their kinds with at least one link: n, links, overlap, best, and the first document of the class."""
+    small_batches(docs.sparkSession)
     p, q = threshold
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", doc_key())
-    bits = blocks.bits_for(blocks.text_bytes(docs))
-    judged = blocks.judge(blocks.scatter(keyed, "key", gram_items(n), bits), bits, _degrees)
-    able = written(blocks.by_batch(judged, bits, _survivors(p, q), "key long, size long, prefix long, same long, grams binary"), "able")
-    meetings = able.select("key", "prefix", "same", "grams").mapInArrow(lean(_postings), "gram long, key long").repartition("gram").mapInArrow(lean(_meetings), "a long, b long")
-    label = components(meetings)
-    # one row for all documents with the same n-grams
-    who = able.select("key", "same", "size").join(keyed.select("key", "doc_id"), "key").groupBy("same").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.collect_set(F.struct("key", "doc_id")).alias("members"))
-    rows = written(who.drop("same").join(label, "key"), "rows")
-    big = rows.groupBy("component").count().where(F.col("count") > TILE)
-    many = big.count()
-    small = rows if not many else rows.join(big, "component", "left_anti")
-    parts = small.select("key", "members", F.col("component").alias("group"), F.lit(None).cast("int").alias("side"))
-    if many:
-        parts = parts.union(_tiled(rows.join(big.select("component"), "component"), p, q))
-    placed = parts.join(able.select("key", "size", "grams"), "key").repartition("group").sortWithinPartitions("group", "side", "key")
-    return placed.select("group", "key", "members", "size", "grams", "side").mapInArrow(lean(_products(p, q, spanning)), _EDGE_SCHEMA)
+    base = docs.withColumn("key", doc_key())
+    layout = blocks.Layout(blocks.text_bytes(docs))
+    grams = gram_items(n)
+    marks = blocks.recurring(base, lambda texts: layout.distinct(*grams(texts))[1], layout, _degrees, "degrees")
+    able = written(base.select("file", "row", "doc_id", "key", "text").mapInArrow(lean(_survivors(marks, n, p, q)), ABLE), "able")
+    held = able.where("has")
+    postings = held.select("kind", "prefix", "grams").mapInArrow(lean(_postings), "gram long, a long, b long")
+    label = components(postings.repartition(layout.blocks, "gram").mapInArrow(lean(_meetings), "a long, b long"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "file", "row")
+    stored = beside.placed(able, "at_file", "at_row")
+    kinds = stored.groupBy("kind").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min(place).alias("first"), F.min(F.when(F.col("has"), F.struct("at_file", "at_row"))).alias("at"))
+    kinds = written(kinds, "kinds")
+    rows = written(kinds.join(label.withColumnRenamed("key", "kind"), "kind").select("kind", "component", "n", "size", F.col("at.at_file").alias("file"), F.col("at.at_row").alias("row")), "rows")
+    big = written(rows.groupBy("component").agg(F.count("*").alias("many")), "sizes")
+    sized = joined_by_size(rows, big, ["component"], "many", rows.count())
+    parts = sized.where(F.col("many") <= TILE).select("file", "row", "n", F.col("component").alias("group"), F.lit(None).cast("int").alias("side"))
+    if big.where(F.col("many") > TILE).take(1):
+        parts = parts.unionByName(_tiled(sized.where(F.col("many") > TILE).drop("many"), p, q))
+    side = beside.lay(parts, "groups", layout.blocks)
+    named = stored.where("has").select(F.col("at_file").alias("file"), F.col("at_row").alias("row"), "kind", "size", "grams")
+    placed = named.mapInArrow(lean(_beside_grams(side)), "group long, side int, kind long, n long, size long, grams binary").repartition(layout.blocks, "group").sortWithinPartitions("group", "side", "kind")
+    found = written(placed.mapInArrow(lean(_products(p, q)), PRODUCT), "products")
+    sums = found.where("other IS NULL").groupBy("kind").agg(F.sum("links").alias("links"), F.sum("overlap").alias("overlap"), F.max("best").alias("best"))
+    label = components(found.where("other IS NOT NULL").select(F.col("kind").alias("a"), F.col("other").alias("b"))).withColumnRenamed("key", "kind")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    copies = F.col("n") - 1
+    whole = kinds.join(sums, "kind", "left").join(label, "kind", "left").where("n > 1 OR links > 0")
+    whole = whole.select("kind", "n", "first", (copies + zero("links")).alias("links"), (copies * F.col("size") + zero("overlap")).alias("overlap"), F.greatest(F.when(copies > 0, F.lit(1.0)), "best").alias("best"), F.coalesce("component", "kind").alias("component"))
+    whole = written(whole, "linked")
+    firsts = whole.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("many"))
+    return able.select("file", "row", "doc_id", "key", "kind"), written(joined_by_size(whole.drop("first"), firsts, ["component"], "many", whole.count()), "classes")
+
+
+def _of_documents(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    return joined_by_size(rows, kinds, ["kind"], "n", rows.count())
 
 
-def _tiled(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """Rows of large row blocks, once for each product of tiles that they take part in."""
-    by_size = Window.partitionBy("component").orderBy("size", "key")
-    rows = written(rows.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / F.lit(TILE // 2)).cast("int")), "tiles")
-    tiles = rows.groupBy("component", "tile").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    other = tiles.select("component", F.col("tile").alias("other"), F.col("least").alias("other_least"))
-    near = tiles.join(other, "component").where(F.col("other") >= F.col("tile")).where(F.col("other_least") * F.lit(p) <= F.col("most") * F.lit(q))
-    near = near.withColumn("group", F.xxhash64("component", "tile", "other"))
-    ends = near.select("component", "group", F.when(F.col("tile") != F.col("other"), F.lit(0)).otherwise(F.lit(2)).cast("int").alias("side"), "tile")
-    ends = ends.union(near.where("tile <> other").select("component", "group", F.lit(1).alias("side"), F.col("other").alias("tile")))
-    return rows.join(ends, ["component", "tile"]).select("key", "members", "group", "side")
+def near_copies(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links, sum_overlap, best_jaccard) of every document with a link.
 
+    A link is another document at or above the threshold; n_links counts them,
+    sum_overlap adds up the n-grams shared with each, and best_jaccard is the
+    highest similarity. class_id is the smallest doc_id that links lead to.
+    """
+    found = _of_documents(*linked(beside.placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), n, threshold))
+    return found.select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("links").alias("n_links"), F.col("overlap").alias("sum_overlap"), F.col("best").alias("best_jaccard"))
 
-def near_copies(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, overlap, jaccard) of all pairs at or above the threshold, doc_a <= doc_b."""
-    found = similar(docs, n, threshold)
-    turn = F.col("a_id").isNull() | (F.col("b_id") < F.col("a_id"))
-    return found.select(
-        F.when(turn, F.col("b_id")).otherwise(F.col("a_id")).alias("doc_a"),
-        F.when(turn, F.col("a_id")).otherwise(F.col("b_id")).alias("doc_b"),
-        F.col("overlap"),
-        (F.col("overlap") / (F.col("a_size") + F.col("b_size") - F.col("overlap"))).alias("jaccard"),
-    )
+
+def _absent(side: beside.Side, file: str, row: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gone = None, np.zeros(0, np.int64)
+        for f, window, b in beside.windows(batches, file=file, row=row):
+            if at != (f, window):
+                at, got = (f, window), side.read(f, window)
+                gone = np.zeros(0, np.int64) if got is None else got.column("row").to_numpy()
+            yield b.filter(pa.array(~np.isin(b.column(row).to_numpy(), gone))).drop_columns([file, row])
+
+    return run
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The rows of docs without those that are connected by near copies to a document with a smaller doc_id (nulls last, then by key)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    pairs = written(similar(docs, n, threshold, spanning=True), "pairs")
-    group = components(pairs.select("a", "b"))
-    ids = pairs.select(F.col("a").alias("key"), F.col("a_id").alias("doc_id")).union(pairs.select("b", "b_id")).distinct()
-    first = Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "key")
-    gone = written(group.join(ids, "key").withColumn("nth", F.row_number().over(first)).where("nth > 1").select("key"), "gone")
-    key = free_name(docs, "near_key")
-    return docs.withColumn(key, doc_key()).join(with_small_side(gone.withColumnRenamed("key", key), 1_000_000), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs without those that links connect to a document with a smaller doc_id (nulls last, then by the text's hash, then by place)."""
+    file, row = free_name(docs, "in_file"), free_name(docs, "in_row")
+    stored = beside.placed(docs, file, row)
+    rows, kinds = linked(stored.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(file).alias("file"), F.col(row).alias("row")), n, threshold)
+    gone = _of_documents(rows, kinds).where((F.col("head.file") != F.col("file")) | (F.col("head.row") != F.col("row"))).select("file", "row")
+    side = beside.lay(gone, "gone", blocks.Layout(blocks.text_bytes(docs)).blocks)
+    return stored.mapInArrow(lean(_absent(side, file, row)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,17 +392,22 @@ def oracle(n: int = N, threshold: tuple[int, int] = THRESHOLD) -> str:
     p, q = threshold
     last = n - 1
     return rf"""
-WITH d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w
-           FROM documents WHERE text IS NOT NULL),
-numbered AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS k, doc_id, w FROM d WHERE len(w) > 0),
-grams AS (SELECT DISTINCT k, doc_id, CASE WHEN len(w) < {n} THEN array_to_string(w, ' ')
+WITH RECURSIVE numbered AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS k, doc_id, w
+           FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL)
+           WHERE len(w) > 0),
+grams AS (SELECT DISTINCT k, CASE WHEN len(w) < {n} THEN array_to_string(w, ' ')
                  ELSE array_to_string(w[i:i + {last}], ' ') END AS g
-          FROM (SELECT k, doc_id, w, unnest(range(1, greatest(len(w) - {last}, 1) + 1)) AS i FROM numbered)),
-sizes AS (SELECT k, doc_id, count(*) AS size FROM grams GROUP BY k, doc_id),
-pairs AS (SELECT a.k AS ka, b.k AS kb, count(*) AS overlap FROM grams a JOIN grams b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2)
-SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, overlap, overlap::DOUBLE / (x.size + y.size - overlap) AS jaccard
-FROM pairs JOIN sizes x ON x.k = ka JOIN sizes y ON y.k = kb
-WHERE overlap * {p + q} >= {p} * (x.size + y.size)
+          FROM (SELECT k, w, unnest(range(1, greatest(len(w) - {last}, 1) + 1)) AS i FROM numbered)),
+sizes AS (SELECT k, count(*) AS size FROM grams GROUP BY k),
+counted AS (SELECT a.k AS ka, b.k AS kb, count(*) AS overlap FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+links AS (SELECT ka, kb, overlap, overlap::DOUBLE / (x.size + y.size - overlap) AS jaccard
+          FROM counted JOIN sizes x ON x.k = ka JOIN sizes y ON y.k = kb
+          WHERE overlap * {p + q} >= {p} * (x.size + y.size)),
+reach(a, b) AS (SELECT ka, kb FROM links UNION SELECT a, kb FROM reach JOIN links ON ka = b)
+SELECT n.doc_id, c.class_id, l.n_links, l.sum_overlap, l.best_jaccard
+FROM (SELECT ka AS k, count(*) AS n_links, sum(overlap)::BIGINT AS sum_overlap, max(jaccard) AS best_jaccard FROM links GROUP BY ka) l
+JOIN (SELECT a AS k, min(doc_id) AS class_id FROM reach JOIN numbered ON k = b GROUP BY a) c USING (k)
+JOIN numbered n USING (k)
 """
 
 

@@ -2,12 +2,14 @@
 
 Hashes of lines go, packed, to the owner of their range. An owner has two Bloom
 filters: a line whose bits are all in the first has been seen before, and is put
-into the second; any other goes into the first. Lines of a document that the
-second filter holds are suspected repeats, and their identities return to the
-document. Only suspected lines are then shuffled with their bytes: equal ones
-are counted exactly and the first occurrence is chosen, by doc_id, then line
-number. A Bloom filter has no misses, so no repeat is lost; false alarms end in
-the exact count.
+into the second; any other goes into the first. Lines that the second filter
+holds are suspected repeats; their hashes return and are laid beside the windows
+of documents that they came from, where a second scan meets them. Only suspected
+lines are shuffled with their bytes: equal ones are counted exactly and the first
+occurrence is chosen, by doc_id, then line number. A Bloom filter has no misses,
+so no repeat is lost; false alarms end in the exact count. First occurrences go
+back to the lines by 128 bits of hash of the line, those of very frequent lines
+by a broadcast of fewer than HOT rows.
 
 Lines are parted by newlines and compared byte by byte; those of white space
 only are never repeats.
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import blocks
-from tessera.llm.cluster import doc_key, small_batches
-from tessera.llm.textcore import _BYTE, _P, chunks, mix, powers, string_buffer
+from tessera.llm import beside, blocks
+from tessera.llm.cluster import doc_key, joined_by_size, lean, small_batches, written
+from tessera.llm.textcore import _BYTE, _P, mix, powers, string_buffer
 
 #: Bits of a filter for each line, and hash functions.
 FILTER_BITS, PROBES = 12, 3
@@ -60,12 +62,6 @@ def line_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * powers(_P, len(raw) + 1, True)[start] + (end - start).astype(np.uint64))
 
 
-def _items(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lines of each text; those repeated within it are found there, without a filter."""
-    raw, start, end, owner, _ = line_spans(texts)
-    return owner, line_hashes(raw, start, end)
-
-
 class Bloom:
     """A Bloom filter over 32-bit items."""
 
@@ -103,28 +99,17 @@ def seen_twice(items: np.ndarray, step: int = 1 << 16) -> np.ndarray:
 _SUSPECT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("line_no", pa.int64()), ("content", pa.binary())])
 
 
-def _suspects(bits: int):
+def _suspects(marks: blocks.Marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, most=1 << 20, rows=2000):
+        for file, window, b in beside.windows(batches, most=1 << 20, rows=2000):
             raw, start, end, owner, number = line_spans(b.column("text"))
-            hashes = line_hashes(raw, start, end)
-            known = b.column("ids").to_pylist()
-            ids = blocks.item_ids(hashes, bits)
-            flag = np.zeros(len(ids), bool)
-            ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            for i, blob in enumerate(known):
-                mine = slice(ends[i], ends[i + 1])
-                if blob:
-                    flag[mine] = np.isin(ids[mine], np.frombuffer(blob, np.uint64))
-            both = np.lexsort((hashes, owner))  # repeats within a text
-            same = (owner[both][1:] == owner[both][:-1]) & (hashes[both][1:] == hashes[both][:-1])
-            flag[both[1:][same]] = True
-            flag[both[:-1][same]] = True
-            at = np.flatnonzero(flag)
+            marks.go(file, window)
+            at, _ = marks.find(marks.layout.ids(line_hashes(raw, start, end)))
             if len(at):
                 text = raw.tobytes()
+                mine = pa.array(owner[at])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(owner[at])), b.column("key").take(pa.array(owner[at])), pa.array(number[at]), pa.array([text[x:y] for x, y in zip(start[at], end[at])], pa.binary())],
+                    [b.column("doc_id").take(mine), b.column("key").take(mine), pa.array(number[at]), pa.array([text[x:y] for x, y in zip(start[at], end[at], strict=True)], pa.binary())],
                     schema=_SUSPECT,
                 )
 
@@ -133,15 +118,21 @@ def _suspects(bits: int):
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no) of every line that has occurred before; lines count from 0."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    keyed = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", doc_key())
-    bits = blocks.bits_for(blocks.text_bytes(docs), 4 * blocks.BLOCK_BYTES)
-    flags = blocks.flagged_items(blocks.judge(blocks.scatter(keyed, "key", _items, bits), bits, seen_twice), bits)
-    suspects = keyed.join(flags, "key", "left").select("doc_id", "key", "text", "ids").mapInArrow(_suspects(bits), "doc_id long, key long, line_no long, content binary")
+    small_batches(docs.sparkSession)
+    keyed = beside.placed(docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("key", doc_key())
+    layout = blocks.Layout(blocks.text_bytes(docs), 4 * blocks.BLOCK_BYTES)
+
+    def items(texts: pa.Array) -> np.ndarray:
+        raw, start, end, _, _ = line_spans(texts)
+        return layout.ids(line_hashes(raw, start, end))
+
+    marks = blocks.recurring(keyed, items, layout, seen_twice, "lines")
+    suspects = written(keyed.mapInArrow(lean(_suspects(marks)), "doc_id long, key long, line_no long, content binary"), "suspects")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line_no")
-    first = suspects.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")
-    return suspects.join(first, "content").where(place > F.col("first")).select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
+    named = [F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(1), "content").alias("h2")]
+    first = suspects.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(*named, "first", "n")
+    found = joined_by_size(suspects.select("doc_id", "key", "line_no", *named), first, ["h1", "h2"], "n", suspects.count())
+    return found.where(place > F.col("first")).select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest_llm import rows_of, sentence
 
-from tessera.llm import exactdedup, jaccard, linededup, substrings
+from tessera.llm import blocks, exactdedup, jaccard, linededup, substrings
 
 
 def words(text):
@@ -33,28 +33,42 @@ def near(make):
     return make(rows), rows
 
 
+def links_of(rows):
+    """The rows of near_copies, by comparing all pairs."""
+    p, q = jaccard.THRESHOLD
+    sets = [grams(t, jaccard.N) for _, t in rows]
+    links = {k: {} for k in range(len(rows))}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            o = len(a & b)
+            if i != j and o and o * (p + q) >= p * (len(a) + len(b)):
+                links[i][j] = (o, o / len(a | b))
+    out = []
+    for i, some in links.items():
+        seen, todo = {i}, [i]
+        for x in todo:
+            todo += [y for y in links[x] if y not in seen]
+            seen |= set(links[x])
+        if some:
+            ids = [rows[x][0] for x in seen if rows[x][0] is not None]
+            out.append((rows[i][0], min(ids, default=None), len(some), sum(o for o, _ in some.values()), max(j for _, j in some.values())))
+    return sorted(out, key=repr)
+
+
 def test_jaccard_against_brute_force(near):
     docs, rows = near
-    p, q = jaccard.THRESHOLD
-    want = []
-    sets = {i: grams(t, jaccard.N) for i, t in rows}
-    for i in sets:
-        for j in sets:
-            o = len(sets[i] & sets[j])
-            if i < j and o and o * q >= p * len(sets[i] | sets[j]):
-                want.append((i, j, o))
-    got = [(a, b, o) for a, b, o, _ in rows_of(jaccard.near_copies(docs))]
-    assert sorted(got) == sorted(want) and len(want) > 50
+    want = links_of(rows)
+    assert rows_of(jaccard.near_copies(docs)) == want and sum(r[2] for r in want) > 100
 
 
-def test_jaccard_tiles_of_a_large_row_block(near, monkeypatch):
-    docs, _ = near
-    want = rows_of(jaccard.near_copies(docs))
-    monkeypatch.setattr(jaccard, "TILE", 4)
-    assert rows_of(jaccard.near_copies(docs)) == want
+@pytest.mark.parametrize("tile", [2, 4, 16])
+def test_jaccard_tiles_of_a_large_row_block(near, monkeypatch, tile):
+    docs, rows = near
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    assert rows_of(jaccard.near_copies(docs)) == links_of(rows)
 
 
-def test_jaccard_pairs_of_many_tiles_come_once(spark, make, monkeypatch):
+def test_jaccard_links_of_many_tiles_come_once(spark, make, monkeypatch):
     rng = random.Random(8)
     rows = []
     for _ in range(6):  # row blocks of two and a half tiles
@@ -64,13 +78,28 @@ def test_jaccard_pairs_of_many_tiles_come_once(spark, make, monkeypatch):
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        got = [r[:2] for r in rows_of(jaccard.near_copies(make(rows)))]
+        got = rows_of(jaccard.near_copies(make(rows)))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-    p, q = jaccard.THRESHOLD
-    sets = {i: grams(t, jaccard.N) for i, t in rows}
-    want = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) * q >= p * len(sets[i] | sets[j])]
-    assert sorted(got) == sorted(want) and len(want) == 6 * 45
+    assert got == links_of(rows) and sum(r[2] for r in got) == 6 * 90
+
+
+def test_jaccard_with_more_bits_than_blocks(near, monkeypatch):
+    docs, rows = near
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(blocks, "MOST_BITS", 3)
+    monkeypatch.setattr(blocks, "BATCH_ITEMS", 500)
+    assert blocks.Layout(20_000, 64).more > 3
+    assert rows_of(jaccard.near_copies(docs)) == links_of(rows)
+
+
+def test_jaccard_of_a_hot_group(make):
+    rng = random.Random(12)
+    base, passage = sentence(rng, 40), sentence(rng, 12)
+    rows = [(i, base) for i in range(300)] + [(300 + i, f"{passage} {sentence(rng, 30)}") for i in range(150)] + [(450 + i, sentence(rng, 40)) for i in range(150)] + [(600, base + " and more")]
+    got = rows_of(jaccard.near_copies(make(rows)))
+    assert got == links_of(rows) and len(got) == 301
+    assert sorted(r.doc_id for r in jaccard.keep_one(make(rows)).collect()) == [0, *range(300, 600)]
 
 
 def test_overlaps_dense_and_sparse():
@@ -86,27 +115,18 @@ def test_overlaps_dense_and_sparse():
 
 def test_keep_one_of_each_group(near):
     docs, rows = near
-    parent = {i: i for i, _ in rows}
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b, _, _ in rows_of(jaccard.near_copies(docs)):
-        x, y = sorted((top(a), top(b)))
-        parent[y] = x
+    linked = {r[0]: r[1] for r in links_of(rows)}
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({top(i) for i, _ in rows})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if linked.get(i, i) == i)
 
 
 def test_jaccard_of_odd_rows(odd, empty):
-    pairs = [r[:2] for r in rows_of(jaccard.near_copies(odd))]
-    assert sorted(pairs, key=repr) == [(1, 2), (6, None), (8, 9)]
+    got = [r[:3] for r in rows_of(jaccard.near_copies(odd))]
+    assert sorted(got, key=repr) == sorted([(1, 1, 2), (1, 1, 2), (2, 1, 2), (6, 6, 1), (None, 6, 1), (8, 8, 1), (9, 8, 1)], key=repr)
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 10: 2, 11: 1, None: 1})
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 10: 2, 11: 1, None: 1})
     assert rows_of(jaccard.near_copies(empty)) == [] and jaccard.keep_one(empty).count() == 0
 
 
