@@ -2,14 +2,17 @@
 
 Texts go to owners by their length and content hash. An owner inserts the full
 bytes of each into a compressed radix trie, so equality is decided by bytes and
-never by a hash. A terminal node holds the identifiers that arrived with its
-text; the smallest is the one that stays. If a trie outgrows its bound, its
+never by a hash. A terminal node holds the smallest identifier that arrived with
+its text, and where its texts came from. If a trie outgrows its bound, its
 largest subtree is written to the shared folder; later texts on that path
 follow it there, and it is built anew, by itself, when the rest is done. What is
 spilled is never all that the trie holds, so each rebuilding has less to do.
 
-Before the exchange a task folds equal texts that it sees close together, so a
-text with very many copies isn't sent once for each of them.
+Before the exchange a task folds the equal texts of a stretch of documents and
+sends one with the smallest identifier, so a text with very many copies comes to
+its owner once for each stretch. Owners of texts with copies are laid beside the
+documents (`beside`), and a second scan names the copies; there a text is found
+by its address, 128 bits of hash within the stretch.
 
 Defined results. One row for every row that isn't the one that stays; a doc_id
 that is repeated with the same text gives a row naming itself. Null texts are
@@ -21,35 +24,56 @@ empty table gives no rows.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import batch, shared_dir, small_batches
+from tessera.llm import beside, blocks
+from tessera.llm.cluster import batch, lean, shared_dir, small_batches
 
-#: Bytes of text that one trie may hold before it spills a subtree.
+#: Bytes of text and of addresses that one trie may hold before it spills a subtree.
 TRIE_BYTES = 192 << 20
 #: Bytes of text within which a task folds equal texts before the exchange.
 FOLD_BYTES = 8 << 20
 
-_FOLDED = pa.schema([("n_bytes", pa.int64()), ("h", pa.int64()), ("content", pa.binary()), ("ids", pa.list_(pa.int64()))])
+FOLDED = "file long, row long, n_bytes long, h long, g long, content binary, none boolean, id long, at_row long, n long"
+_FOLDED = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("content", pa.binary()), ("none", pa.bool_()), ("id", pa.int64()), ("at_row", pa.int64()), ("n", pa.int64())])
+OWNED = "file long, row long, h long, g long, owner_id long, at_file long, at_row long"
+_OWNED = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("owner_id", pa.int64()), ("at_file", pa.int64()), ("at_row", pa.int64())])
 _PAIRS = pa.schema([("doc_id", pa.int64()), ("owner_id", pa.int64()), ("n_bytes", pa.int64())])
 
 
+class Found:
+    """What a terminal holds: the smallest identifier (none, id, file, row), how many rows had the text, and the addresses that it came from, four numbers (file, row, h, g) each."""
+
+    __slots__ = ("least", "n", "addresses")
+
+    def __init__(self, least: tuple, n: int, addresses):
+        self.least, self.n, self.addresses = least, n, array("q", addresses)
+
+    def take(self, other: Found) -> None:
+        self.least = min(self.least, other.least)
+        self.n += other.n
+        self.addresses.extend(other.addresses)
+
+    def copy(self) -> Found:
+        return Found(self.least, self.n, self.addresses)
+
+
 class _Node:
-    """An edge key[start:end] and what is below it. ids: the identifiers of a terminal. spilled: number of the file that the subtree went to."""
+    """An edge key[start:end] and what is below it. found: of a terminal. spilled: number of the file that the subtree went to."""
 
-    __slots__ = ("key", "start", "end", "below", "ids", "spilled")
+    __slots__ = ("key", "start", "end", "below", "found", "spilled")
 
     def __init__(self, key: bytes, start: int, end: int):
         self.key, self.start, self.end = key, start, end
         self.below: dict[int, _Node] | None = None
-        self.ids: list | None = None
+        self.found: Found | None = None
         self.spilled: int | None = None
 
 
@@ -63,7 +87,7 @@ def common(a: bytes, b: bytes, start: int, end: int) -> int:
 
 
 class PatriciaTrie:
-    """Full byte strings with identifiers. spill(number, [(key, ids)]) takes what is over the bound of bytes; None keeps all."""
+    """Full byte strings with what was found. spill(number, [(key, found)]) takes what is over the bound of bytes; None keeps all."""
 
     def __init__(self, bound: int = TRIE_BYTES, spill: Callable | None = None):
         self.root = _Node(b"", 0, 0)
@@ -71,24 +95,26 @@ class PatriciaTrie:
         self.inside: dict[int, list[int]] = {}  # numbers of subtrees spilled earlier, by the one that they are part of
         self.bound, self.spill = bound, spill
 
-    def insert(self, key: bytes, ids: list) -> None:
+    def insert(self, key: bytes, found: Found) -> None:
         node, at = self.root, 0
         while True:
             if node.spilled is not None:
-                self.spill(node.spilled, [(key, ids)])
+                self.spill(node.spilled, [(key, found)])
                 return
             if at == len(key):
-                if node.ids is None:
-                    node.ids = []
-                node.ids.extend(ids)
-                return
+                if node.found is None:
+                    node.found = found.copy()
+                else:
+                    node.found.take(found)
+                self.bytes += 8 * len(found.addresses)
+                break
             if node.below is None:
                 node.below = {}
             edge = node.below.get(key[at])
             if edge is None:
                 edge = node.below[key[at]] = _Node(key, at, len(key))
-                edge.ids = list(ids)
-                self.bytes += len(key) - at
+                edge.found = found.copy()
+                self.bytes += len(key) - at + 8 * len(found.addresses)
                 break
             to = common(key, edge.key, at, edge.end)
             if to < edge.end:  # part the edge
@@ -101,15 +127,15 @@ class PatriciaTrie:
         if self.spill and self.bytes > self.bound:
             self._spill_largest()
 
-    def entries(self, node: _Node | None = None) -> Iterator[tuple[bytes, list]]:
-        """Each text that is held, with its identifiers."""
-        stack = [(node or self.root, b"")]
+    def entries(self, node: _Node | None = None) -> Iterator[tuple[bytes, Found]]:
+        """Each text that is held, with what was found of it."""
+        stack = [node or self.root]
         while stack:
-            node, before = stack.pop()
-            if node.ids is not None:
-                yield node.key[: node.end], node.ids
+            node = stack.pop()
+            if node.found is not None:
+                yield node.key[: node.end], node.found
             if node.below:
-                stack.extend((x, before) for x in node.below.values())
+                stack.extend(node.below.values())
 
     def _spill_largest(self) -> None:
         """Empty the first subtree with at most half of what is held, going down by the largest, or the last one; a single text stays."""
@@ -117,7 +143,7 @@ class PatriciaTrie:
         for node in nodes:
             nodes.extend((node.below or {}).values())
         for node in reversed(nodes):
-            size[node] = (node.end if node.ids is not None else 0) + sum(size[x] for x in (node.below or {}).values())
+            size[node] = (node.end + 8 * len(node.found.addresses) if node.found is not None else 0) + sum(size[x] for x in (node.below or {}).values())
         best = self.root
         while best.below and (best is self.root or 2 * size[best] > size[self.root]):
             child = max(best.below.values(), key=size.get)
@@ -133,7 +159,7 @@ class PatriciaTrie:
             part.extend((node.below or {}).values())
         self.inside[number] = [node.spilled for node in part if node.spilled is not None]
         self.spill(number, list(self.entries(best)))
-        best.below, best.ids, best.spilled = None, None, number
+        best.below, best.found, best.spilled = None, None, number
         best.key = best.key[: best.end]
         self.bytes = size[self.root] - size[best]
 
@@ -142,7 +168,7 @@ class _Spills:
     """Files of spilled subtrees, in the shared folder; each call appends one file of a numbered subtree."""
 
     def __init__(self, base: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(base)
+        self.fs, self.path = beside.filesystem(base)
         self.path = f"{self.path}/trie-{uuid.uuid4().hex}"
         self.pending: dict[int, list] = {}
         self.held: dict[int, int] = {}
@@ -159,37 +185,40 @@ class _Spills:
         self.held[number] = 0
         if not rows:
             return
-        table = pa.table({"key": pa.array([k for k, _ in rows], pa.binary()), "ids": pa.array([i for _, i in rows], pa.list_(pa.int64()))})
+        none, ids, files, places = ([x.least[k] for _, x in rows] for k in range(4))
+        flat = [x.addresses for _, x in rows]
+        table = pa.table({"key": pa.array([k for k, _ in rows], pa.binary()), "none": none, "id": pa.array(ids, pa.int64()), "file": pa.array(files, pa.int64()), "row": pa.array(places, pa.int64()), "n": pa.array([x.n for _, x in rows], pa.int64()), "addresses": pa.array(flat, pa.list_(pa.int64()))})
         self.fs.create_dir(self.path, recursive=True)
         part = self.parts.get(number, 0)
         self.parts[number] = part + 1
         with self.fs.open_output_stream(f"{self.path}/{number}-{part}") as sink, pa.ipc.new_stream(sink, table.schema) as to:
             to.write_table(table, max_chunksize=1000)
 
-    def subtree(self, number: int) -> Iterator[tuple[bytes, list]]:
+    def subtree(self, number: int) -> Iterator[tuple[bytes, Found]]:
         self._flush(number)
         for part in range(self.parts.get(number, 0)):
             with self.fs.open_input_stream(f"{self.path}/{number}-{part}") as source:
                 for b in pa.ipc.open_stream(source):
-                    yield from zip(b.column("key").to_pylist(), b.column("ids").to_pylist(), strict=True)
+                    for key, none, i, file, row, n, flat in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        yield key, Found((none, i, file, row), n, flat)
 
     def clear(self) -> None:
         if self.parts:
             self.fs.delete_dir(self.path)
 
 
-def owners(entries: Iterator[tuple[bytes, list]], base: str, bound: int) -> Iterator[tuple[bytes, list]]:
-    """Each distinct text with all its identifiers, in memory bounded by `bound`, if no one text is longer."""
+def owners(entries: Iterator[tuple[bytes, Found]], base: str, bound: int) -> Iterator[tuple[bytes, Found]]:
+    """Each distinct text with what was found of it, in memory bounded by `bound`, if no one text is longer."""
     spills = _Spills(base)
     trie = PatriciaTrie(bound, spills)
-    for key, ids in entries:
-        trie.insert(key, ids)
+    for key, found in entries:
+        trie.insert(key, found)
     yield from trie.entries()
     files, inside = trie.files, trie.inside
     del trie
     within = {x for some in inside.values() for x in some}
 
-    def whole(number: int) -> Iterator[tuple[bytes, list]]:
+    def whole(number: int) -> Iterator[tuple[bytes, Found]]:
         todo = [number]
         for x in todo:
             yield from spills.subtree(x)
@@ -202,11 +231,11 @@ def owners(entries: Iterator[tuple[bytes, list]], base: str, bound: int) -> Iter
     spills.clear()
 
 
-def max_key(entries: Iterator[tuple[bytes, list]]) -> int:
+def max_key(entries: Iterator[tuple[bytes, Found]]) -> int:
     return max((len(k) for k, _ in entries), default=0)
 
 
-def list_bounded(entries: Iterator[tuple[bytes, list]], bound: int):
+def list_bounded(entries: Iterator[tuple[bytes, Found]], bound: int):
     """The entries as a list if they fit, else an iterator over all of them."""
     held, size = [], 0
     for entry in entries:
@@ -222,36 +251,48 @@ def list_bounded(entries: Iterator[tuple[bytes, list]], bound: int):
     return held
 
 
-def merge_small(entries: list) -> Iterator[tuple[bytes, list]]:
+def merge_small(entries: list) -> Iterator[tuple[bytes, Found]]:
     trie = PatriciaTrie()
-    for key, ids in entries:
-        trie.insert(key, ids)
+    for key, found in entries:
+        trie.insert(key, found)
     yield from trie.entries()
 
 
+def address(content: bytes) -> tuple[int, int]:
+    """128 bits of hash as two signed numbers."""
+    x = xxhash.xxh3_128_intdigest(content)
+    return tuple(int(v) - (1 << 64) if v >> 63 else int(v) for v in (x >> 64, x & 0xFFFFFFFFFFFFFFFF))
+
+
+def _contents(b: pa.RecordBatch) -> list[bytes]:
+    return [x.as_py() for x in b.column("text")]
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[bytes, list] = {}
-    size = 0
+    size, last = 0, None
 
     def flush() -> pa.RecordBatch:
         keys = list(held)
-        rows = {"n_bytes": [len(k) for k in keys], "h": np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64).view(np.int64), "content": keys, "ids": list(held.values())}
-        out = batch(rows, _FOLDED)
+        names = [address(k) for k in keys]
+        least, n = [v[0] for v in held.values()], [v[1] for v in held.values()]
+        rows = {"file": [last[0]] * len(keys), "row": [last[1] << beside.WINDOW] * len(keys), "n_bytes": [len(k) for k in keys], "h": [x for x, _ in names], "g": [x for _, x in names], "content": keys, "none": [x[0] for x in least], "id": [x[1] for x in least], "at_row": [x[2] for x in least], "n": n}
         held.clear()
-        return out
-
-    for b in batches:
-        texts = b.column(1).cast(pa.binary()) if b.column(1).type != pa.binary() else b.column(1)
-        for doc_id, text in zip(b.column(0).to_pylist(), texts, strict=True):
-            key = text.as_py()
+        return batch(rows, _FOLDED)
+
+    for file, window, b in beside.windows(batches):
+        if held and (last != (file, window) or size > FOLD_BYTES):
+            yield flush()
+            size = 0
+        last = (file, window)
+        for doc_id, row, key in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), _contents(b), strict=True):
+            least = (doc_id is None, doc_id or 0, row)
             if key in held:
-                held[key].append(doc_id)
+                was = held[key]
+                was[0], was[1] = min(was[0], least), was[1] + 1
             else:
-                held[key] = [doc_id]
+                held[key] = [least, 1]
                 size += len(key)
-            if size > FOLD_BYTES:
-                yield flush()
-                size = 0
     if held:
         yield flush()
 
@@ -260,21 +301,45 @@ def _own(base: str, bound: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def entries():
             for b in batches:
-                for key, ids in zip(b.column("content"), b.column("ids").to_pylist(), strict=True):
-                    yield key.as_py(), ids
-
-        doc, own, size = [], [], []
-        for key, ids in owners(entries(), base, bound):
-            if len(ids) > 1:
-                ids.sort(key=lambda x: (x is None, x))
-                doc += ids[1:]
-                own += [ids[0]] * (len(ids) - 1)
-                size += [len(key)] * (len(ids) - 1)
-                if len(doc) > 50_000:
-                    yield batch({"doc_id": doc, "owner_id": own, "n_bytes": size}, _PAIRS)
-                    doc, own, size = [], [], []
-        if doc:
-            yield batch({"doc_id": doc, "owner_id": own, "n_bytes": size}, _PAIRS)
+                for file, row, h, g, none, i, at, n, content in zip(*(b.column(c).to_pylist() for c in ("file", "row", "h", "g", "none", "id", "at_row", "n")), b.column("content"), strict=True):
+                    yield content.as_py(), Found((none, i, file, at), n, (file, row, h, g))
+
+        out: dict[str, list] = {n: [] for n in _OWNED.names}
+        for _, found in owners(entries(), base, bound):
+            if found.n > 1:
+                none, i, at_file, at_row = found.least
+                for k, name in enumerate(("file", "row", "h", "g")):
+                    out[name] += found.addresses[k::4].tolist()
+                m = len(found.addresses) // 4
+                for name, value in (("owner_id", None if none else i), ("at_file", at_file), ("at_row", at_row)):
+                    out[name] += [value] * m
+                if len(out["h"]) > 50_000:
+                    yield batch(out, _OWNED)
+                    out = {n: [] for n in _OWNED.names}
+        if out["h"]:
+            yield batch(out, _OWNED)
+
+    return run
+
+
+def _copies(side: beside.Side) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, {}
+        for file, window, b in beside.windows(batches):
+            if last != (file, window):
+                last, got = (file, window), side.read(file, window)
+                known = {} if got is None else {(h, g): rest for h, g, *rest in zip(*(got.column(c).to_pylist() for c in ("h", "g", "owner_id", "at_file", "at_row")), strict=True)}
+            if not known:
+                continue
+            doc, own, size = [], [], []
+            for doc_id, row, key in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), _contents(b), strict=True):
+                found = known.get(address(key))
+                if found and (found[1] != file or found[2] != row):
+                    doc.append(doc_id)
+                    own.append(found[0])
+                    size.append(len(key))
+            if doc:
+                yield batch({"doc_id": doc, "owner_id": own, "n_bytes": size}, _PAIRS)
 
     return run
 
@@ -283,10 +348,11 @@ def exact_copies(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """(doc_id, owner_id, n_bytes) of every row whose text another row owns."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("content"))
-    folded = texts.mapInArrow(_fold, "n_bytes long, h long, content binary, ids array<long>")
-    placed = folded.repartition("n_bytes", "h")
-    return placed.mapInArrow(_own(shared_dir(spark), trie_bytes), "doc_id long, owner_id long, n_bytes long")
+    texts = beside.placed(docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("text", F.col("text").cast("binary"))
+    parts = blocks.Layout(blocks.text_bytes(docs)).blocks
+    folded = texts.mapInArrow(lean(_fold), FOLDED).repartition(parts, "n_bytes", "h", "g")
+    side = beside.lay(folded.mapInArrow(lean(_own(shared_dir(spark), trie_bytes)), OWNED), "owners", parts)
+    return texts.mapInArrow(lean(_copies(side)), "doc_id long, owner_id long, n_bytes long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,12 @@ Every window of `size` words has an anchor, the smallest hash of the runs of
 their anchors, packed, to the owners of hash ranges; an owner merges them into a
 count-min sketch of its range, and anchors whose estimated count is below two
 are done with. A sketch never underestimates, so no repeated window is lost. The
-other anchors return to their documents, and a second pass over these groups
+other anchors are laid beside the documents, and a second pass over these groups
 exactly the windows under them, by 64 bits of a second hash within an anchor's
-block. Neighbouring windows share anchors, so they travel as runs.
+block: each stretch of documents sends a window once, with its first place, so a
+passage in very many documents is no large group. What an owner finds, the first
+place of each window that repeats, is laid beside the documents in turn, and a
+last pass makes spans of it. Texts are never shuffled.
 
 The result names maximal spans: words covered by consecutive windows that all
 are the first of their kind (is_first) or all have their first occurrence in
@@ -15,26 +18,25 @@ the same document (first_doc_id).
 
 Defined results. Spans are counted in words from 0. First is the smallest
 doc_id, nulls last, then the text's hash, then the place. Rows equal in doc_id
-and text are one document. Null texts and texts with fewer than `size` words
-have no windows. Words are compared in lower case, what separates them isn't
-compared. Windows that repeat within one document count as repeats; texts of
-any length are read whole. Other columns are passed over. An empty table gives
-no rows.
+and text are one document, and each of them gives its spans. Null texts and texts
+with fewer than `size` words have no windows. Words are compared in lower case,
+what separates them isn't compared. Windows that repeat within one document count
+as repeats; texts of any length are read whole. Other columns are passed over. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm import blocks
-from tessera.llm.cluster import doc_key, small_batches
-from tessera.llm.textcore import _Q2, Words, chunks, mix, run_starts, span_hashes
+from tessera.llm import beside, blocks
+from tessera.llm.cluster import doc_key, lean, small_batches
+from tessera.llm.textcore import _Q2, Lookup, Words, mix, run_starts, span_hashes
 
 SIZE = 50
 #: Cells of a sketch row for each anchor, and rows.
@@ -61,7 +63,6 @@ class Windows:
         self.owner = np.searchsorted(doc, self.at, "right") - 1
         if not len(self.at):
             self.anchor = self.picked = np.zeros(0, np.uint64)
-            self.picked_owner = np.zeros(0, np.int64)
             return
         total = int(doc[-1])
         fits = np.arange(total - gram + 1)
@@ -74,7 +75,6 @@ class Windows:
         most = sliding(valid, size - gram + 1, np.maximum)[: len(x)]
         place = np.flatnonzero((most == x) & (most > 0))
         self.picked = mix(x[place])
-        self.picked_owner = np.searchsorted(doc, place, "right") - 1
         self.anchor = mix(self.anchor)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -101,111 +101,196 @@ def estimated_repeats(items: np.ndarray, step: int = 1 << 18) -> np.ndarray:
     return out.astype(np.uint8)
 
 
-RUNS = "block int, ids binary, none binary, keys binary, starts binary, lengths binary, hashes binary"
-_RUNS = pa.schema([("block", pa.int32()), *((n, pa.binary()) for n in ("ids", "none", "keys", "starts", "lengths", "hashes"))])
-
-
-def _candidates(size: int, bits: int):
+def _steps(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 as planes of the bytes of their differences, modulo 2**32."""
+    d = np.diff(x.astype(np.uint32), prepend=np.uint32(0))
+    return d.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    d = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+    return np.cumsum(d, dtype=np.uint32).astype(np.int64)
+
+
+class Documents:
+    """A numbered list of documents by (doc_id, key), doc_id perhaps null, and their order."""
+
+    def __init__(self, ids: np.ndarray, none: np.ndarray, keys: np.ndarray):
+        self.ids, self.none, self.keys = ids, none, keys
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def ranks(self) -> np.ndarray:
+        """Places in the order by doc_id, nulls last, then key; equal for equal ones."""
+        order = np.lexsort((self.keys, self.ids, self.none))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(self.keys[order]) != 0) | (np.diff(self.ids[order]) != 0) | (self.none[order][1:] != self.none[order][:-1])
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
+
+    def some(self, which: np.ndarray) -> dict[str, bytes]:
+        return {"ids": self.ids[which].tobytes(), "none": self.none[which].tobytes(), "keys": self.keys[which].tobytes()}
+
+    @staticmethod
+    def joined(rows: list[dict]) -> Documents:
+        ids, none, keys = (np.frombuffer(b"".join(r[n] for r in rows), kind) for n, kind in (("ids", np.int64), ("none", bool), ("keys", np.int64)))
+        return Documents(ids, none, keys)
+
+
+#: hashes of windows; number in the row's list of documents and first word of each; whether a window recurs in another place of those sent with it; the documents
+PLACES = "file long, row long, block int, hashes binary, docs binary, starts binary, again binary, ids binary, none binary, keys binary"
+_BYTES = ("hashes", "docs", "starts", "again", "ids", "none", "keys")
+_PLACES = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("block", pa.int32()), *((n, pa.binary()) for n in _BYTES)])
+
+
+def _under(marks: blocks.Marks, texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word within it, block and hash of each window under a marked anchor, by place."""
+    w = Windows(texts, size)
+    start, length = w.runs()
+    hit, _ = marks.find(marks.layout.ids(w.anchor[start]))
+    start, length = start[hit], length[hit]
+    which = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    at, owner = w.at[which], w.owner[which]
+    block = w.anchor[which] >> np.uint64(64 - marks.layout.bits)
+    return owner, at - w.words.doc[owner], block.astype(np.int64), span_hashes(w.words.hash, at, at + size, _Q2)
+
+
+def firsts_of(hashes: np.ndarray, place: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the index of its kind's first one by place, and whether the kind has more than one place."""
+    order = np.lexsort((place, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    group = np.cumsum(new) - 1
+    head = order[np.flatnonzero(new)]
+    apart = (place[order] != place[head][group]) | again[order]
+    more = np.bincount(group[apart], minlength=len(head)) > 0
+    first, repeated = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    first[order], repeated[order] = head[group], more[group]
+    return first, repeated
+
+
+def _sent(file: int, window: int, held: list[tuple], docs: Documents) -> pa.RecordBatch:
+    """The windows of a stretch of documents, each once with its first place."""
+    doc, start, block, hashes = (np.concatenate([h[k] for h in held]) for k in range(4))
+    place = (docs.ranks()[doc] << 32) | start
+    first, repeated = firsts_of(hashes, place, np.zeros(len(hashes), bool))
+    own = np.flatnonzero(first == np.arange(len(first)))
+    own = own[np.lexsort((place[own], block[own]))]
+    cut = np.flatnonzero(np.diff(block[own], prepend=-1))
+    rows = []
+    for part in np.split(own, cut[1:]) if len(own) else []:
+        used, number = np.unique(doc[part], return_inverse=True)
+        rows.append({"file": file, "row": window << beside.WINDOW, "block": int(block[part[0]]), "hashes": hashes[part].tobytes(), "docs": _steps(number), "starts": _steps(start[part]), "again": np.packbits(repeated[part]).tobytes(), **docs.some(used)})
+    return pa.RecordBatch.from_pylist(rows, schema=_PLACES)
+
+
+def _candidates(marks: blocks.Marks, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, most=1 << 20, rows=2000):
-            w = Windows(b.column("text"), size)
-            start, length = w.runs()
-            if not len(start):
-                continue
-            code = lambda ids, owner: mix(ids + mix(owner.astype(np.uint64) + np.uint64(7)))
-            picked = code(w.picked, w.picked_owner)
-            kinds, n = np.unique(picked, return_counts=True)
-            blobs = [x or b"" for x in b.column("flags").to_pylist()]
-            flags = np.frombuffer(b"".join(blobs), np.uint64)
-            whose = np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs])
-            owner, anchor = w.owner[start], w.anchor[start]
-            hit = np.isin(code(anchor, owner), kinds[n > 1]) | np.isin(code(blocks.item_ids(anchor, bits), owner), code(flags, whose))
-            start, length, owner, anchor = start[hit], length[hit], owner[hit], anchor[hit]
-            if not len(start):
-                continue
-            block = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            start, length, owner, block = start[order], length[order], owner[order], block[order]
-            which = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-            at = w.at[which]
-            hashes = span_hashes(w.words.hash, at, at + size, _Q2)
-            ids = b.column("doc_id")
-            none = ids.is_null().to_numpy(zero_copy_only=False)[owner]
-            ids = ids.fill_null(0).to_numpy()[owner]
-            keys = b.column("key").to_numpy()[owner]
-            begin = (w.at[start] - w.words.doc[owner]).astype(np.uint32)
-            ends = np.concatenate([[0], np.cumsum(length)])
-            cut = np.flatnonzero(np.diff(block, prepend=-1))
-            rows = [
-                {"block": int(block[a]), "ids": ids[a:z].tobytes(), "none": none[a:z].tobytes(), "keys": keys[a:z].tobytes(), "starts": begin[a:z].tobytes(), "lengths": length[a:z].astype(np.uint32).tobytes(), "hashes": hashes[ends[a] : ends[z]].tobytes()}
-                for a, z in zip(cut, np.append(cut[1:], len(block)))
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_RUNS)
+        held: list[tuple] = []
+        docs: list[tuple] = []
+        many = n = 0
+        last = None
+
+        def flush() -> pa.RecordBatch:
+            nonlocal many, n
+            out = _sent(*last, held, Documents(*(np.concatenate([d[k] for d in docs]) for k in range(3))))
+            held.clear()
+            docs.clear()
+            many = n = 0
+            return out
+
+        for file, window, b in beside.windows(batches, most=1 << 20, rows=2000):
+            if held and (last != (file, window) or many > blocks.BATCH_ITEMS):
+                yield flush()
+            last = (file, window)
+            marks.go(file, window)
+            owner, start, block, hashes = _under(marks, b.column("text"), size)
+            if len(owner):
+                ids = b.column("doc_id")
+                held.append((owner + n, start, block, hashes))
+                docs.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), b.column("key").to_numpy()))
+                many, n = many + len(owner), n + b.num_rows
+        if held:
+            yield flush()
 
     return run
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups the windows of a block and gives spans of like windows within each run."""
-    held: dict[str, list] = {n: [] for n in ("ids", "none", "keys", "starts", "lengths", "hashes")}
+    """Groups the windows of a block; of those that repeat, each stretch of documents gets the first place."""
+    rows: dict[int, list[dict]] = {}
     for b in batches:
-        for n in held:
-            held[n] += b.column(n).to_pylist()
-    ids, none, keys, starts, lengths, hashes = (np.frombuffer(b"".join(held[n]), k) for n, k in (("ids", np.int64), ("none", bool), ("keys", np.int64), ("starts", np.uint32), ("lengths", np.uint32), ("hashes", np.uint64)))
-    held.clear()
-    if not len(keys):
-        return
-    order = np.lexsort((starts, keys, ids, none))
-    same = (keys[order][1:] == keys[order][:-1]) & (starts[order][1:] == starts[order][:-1])
-    order = order[np.concatenate([[True], ~same])]  # repeated rows are one document
-    first = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])[:-1][order]
-    ids, none, keys, starts, lengths = ids[order], none[order], keys[order], starts[order].astype(np.int64), lengths[order].astype(np.int64)
-    run = np.repeat(np.arange(len(keys)), lengths)
-    within = np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    hashes = hashes[np.repeat(first, lengths) + within]
-    by = np.argsort(hashes, kind="stable")
-    new = np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])
-    head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(by)))
-    owner = np.empty(len(run), np.int64)
-    owner[by] = np.repeat(run[by[head]], count)
-    status = np.empty(len(run), np.int8)
-    status[by] = np.repeat(np.where(count > 1, 2, 0), count)
-    status[by[head[count > 1]]] = 1
-    # by the document, not the run, that has the first one
-    change = np.concatenate([[True], (run[1:] != run[:-1]) | (status[1:] != status[:-1]) | (keys[owner][1:] != keys[owner][:-1])])
-    a = np.flatnonzero(change)
-    n = np.diff(np.append(a, len(run)))
-    a, n = a[status[a] > 0], n[status[a] > 0]
-    r, o = run[a], owner[a]
-    for k in range(0, len(a), 50_000):
-        s = slice(k, k + 50_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[r[s]], mask=none[r[s]]), pa.array(keys[r[s]]), pa.array(starts[r[s]] + within[a[s]]), pa.array(n[s]), pa.array(ids[o[s]], mask=none[o[s]]), pa.array(status[a[s]] == 1)],
-            ["doc_id", "key", "start", "n", "first_doc_id", "is_first"],
-        )
+        for r in b.to_pylist():
+            rows.setdefault(r["block"], []).append(r)
+    for block in list(rows):  # one, as blocks are partitions
+        mine = rows.pop(block)
+        docs = Documents.joined(mine)
+        offset = np.cumsum([0] + [len(r["ids"]) // 8 for r in mine])
+        count = [len(r["hashes"]) // 8 for r in mine]
+        hashes = np.frombuffer(b"".join(r["hashes"] for r in mine), np.uint64)
+        doc = np.concatenate([_from_steps(r["docs"]) + o for r, o in zip(mine, offset, strict=False)])
+        start = np.concatenate([_from_steps(r["starts"]) for r in mine])
+        again = np.concatenate([np.unpackbits(np.frombuffer(r["again"], np.uint8), count=n) for r, n in zip(mine, count, strict=True)]).astype(bool)
+        first, repeated = firsts_of(hashes, (docs.ranks()[doc] << 32) | start, again)
+        a = 0
+        for r, n in zip(mine, count, strict=True):
+            hit = np.flatnonzero(repeated[a : a + n]) + a
+            a += n
+            if len(hit):
+                used, number = np.unique(doc[first[hit]], return_inverse=True)
+                out = {"file": r["file"], "row": r["row"], "block": block, "hashes": hashes[hit].tobytes(), "docs": _steps(number), "starts": _steps(start[first[hit]]), "again": b"", **docs.some(used)}
+                yield pa.RecordBatch.from_pylist([out], schema=_PLACES)
+
+
+_SPANS = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64()), ("is_first", pa.bool_())])
+
+
+def _spans(marks: blocks.Marks, side: beside.Side, size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for file, window, b in beside.windows(batches, most=1 << 20, rows=2000):
+            marks.go(file, window)
+            if last != (file, window):
+                last, got = (file, window), side.read(file, window)
+                rows = [] if got is None else got.to_pylist()
+                del got
+                firsts = Documents.joined(rows)
+                offset = np.cumsum([0] + [len(r["ids"]) // 8 for r in rows])
+                known = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
+                first = np.concatenate([np.zeros(0, np.int64), *(_from_steps(r["docs"]) + o for r, o in zip(rows, offset, strict=False))])
+                begin = np.concatenate([np.zeros(0, np.int64), *(_from_steps(r["starts"]) for r in rows)])
+                rows.clear()
+                order = np.argsort(known, kind="stable")
+                table, first, begin = Lookup(known[order]), first[order], begin[order]
+            if not len(table.values):
+                continue
+            owner, start, _, hashes = _under(marks, b.column("text"), size)
+            at, which = table.find(hashes)
+            if not len(at):
+                continue
+            owner, start, doc, begun = owner[at], start[at], first[which], begin[which]
+            head = (firsts.keys[doc] == b.column("key").to_numpy()[owner]) & (begun == start)
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(owner) != 0) | (np.diff(start) != 1) | (firsts.ids[doc][1:] != firsts.ids[doc][:-1]) | (firsts.none[doc][1:] != firsts.none[doc][:-1]) | (head[1:] != head[:-1])
+            a = np.flatnonzero(new)
+            n = np.diff(np.append(a, len(at)))
+            o, f = owner[a], doc[a]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(o)), pa.array(start[a]), pa.array(n + size - 1), pa.array(firsts.ids[f], mask=firsts.none[f]), pa.array(head[a])], schema=_SPANS)
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, is_first) of all spans of repeated windows."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    keyed = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", doc_key())
-    bits = blocks.bits_for(blocks.text_bytes(docs))
-
-    def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        w = Windows(texts, size)
-        return w.picked_owner, w.picked
-
-    flags = blocks.flagged_items(blocks.judge(blocks.scatter(keyed, "key", anchors, bits), bits, estimated_repeats), bits).withColumnRenamed("ids", "flags")
-    runs = keyed.join(flags, "key", "left").select("doc_id", "key", "text", "flags").mapInArrow(_candidates(size, bits), RUNS)
-    spans = runs.repartitionById(1 << bits, F.col("block")).mapInArrow(_exact, "doc_id long, key long, start long, n long, first_doc_id long, is_first boolean")
-    within = Window.partitionBy("key").orderBy("start")
-    joins = (F.lag(F.col("start") + F.col("n")).over(within) == F.col("start")) & F.lag("is_first").over(within).eqNullSafe(F.col("is_first")) & F.lag("first_doc_id").over(within).eqNullSafe(F.col("first_doc_id"))
-    marked = spans.withColumn("fresh", F.when(joins, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(within))
-    return marked.groupBy("key", "island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start_word"), (F.sum("n") + size - 1).alias("n_words"), F.first("first_doc_id").alias("first_doc_id"), F.first("is_first").alias("is_first")
-    ).drop("key", "island")
+    small_batches(docs.sparkSession)
+    keyed = beside.placed(docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("key", doc_key())
+    layout = blocks.Layout(blocks.text_bytes(docs))
+    marks = blocks.recurring(keyed, lambda texts: layout.ids(Windows(texts, size).picked), layout, estimated_repeats, "anchors")
+    sent = keyed.mapInArrow(lean(_candidates(marks, size)), PLACES).repartitionById(layout.blocks, F.col("block"))
+    firsts = beside.lay(sent.mapInArrow(lean(_exact), PLACES), "firsts", layout.blocks)
+    return keyed.mapInArrow(lean(_spans(marks, firsts, size)), "doc_id long, start_word long, n_words long, first_doc_id long, is_first boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
