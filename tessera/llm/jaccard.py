@@ -6,11 +6,15 @@ the blocks finds each column's degree, and a document whose shared n-grams are
 fewer than the threshold's share of its size is discarded: no partner can reach
 the bound. What is left is ordered by degree, rarest first, and two documents
 that can reach the threshold then meet in the first few of their n-grams.
-Documents with the same n-grams are one row of the matrix. Rows that meet,
-directly or by others, form a row block; there the product is taken exactly,
-frequent columns by dense matrix products and the others by adding up pairs, and
-pairs whose overlap is below the bound that follows from their sizes are
-discarded. A row block with very many rows is cut into tiles by size, and tiles
+Documents with the same n-grams are one row of the matrix. Rows that meet by
+chance alone would chain a large corpus into one block. So rows that are much
+alike find each other first, by a few keys, and other pairs that meet are
+discarded unless their parities (a bit for each cell, whether an odd number of
+n-grams falls into it) leave room for the overlap that their sizes ask for; that
+test has no misses. What is left, directly or by others, forms a row block;
+there the product is taken exactly, frequent columns by dense matrix products
+and the others by adding up pairs, and pairs whose overlap is below the bound
+that follows from their sizes are discarded. A row block with very many rows is cut into tiles by size, and tiles
 too different in size are never multiplied. The n-grams of a row travel once for
 each product that it takes part in.
 
@@ -50,6 +54,10 @@ THRESHOLD = (11, 20)
 TILE = 1024
 #: Columns with at most so many documents add up pairs; the others are dense.
 SPARSE = 10
+#: Keys by which rows that are much alike find each other first.
+BANDS, WIDE = 12, 4
+#: Pairs of rows that share an n-gram but no such key are looked at one by one if an n-gram has at most so many; else they go into one row block unseen.
+CROSS = 1 << 15
 
 
 def gram_items(n: int) -> Callable:
@@ -126,25 +134,154 @@ def _survivors(marks: blocks.Marks, n: int, p: int, q: int) -> Callable:
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, a, b): the first n-grams of the kinds of a task, each once with one kind (b null), and edges that connect the kinds that share one here."""
-    gram, kind = [], []
+def size_step(size: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Sizes by steps such that only those of one step or of neighbouring ones can reach the threshold."""
+    return np.floor(np.log(size) / np.log(q / p * 1.0001)).astype(np.int64)
+
+
+def _once(gram: list[np.ndarray], kind: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(gram, a, b): each key of a task once, with one of its kinds (b null), and edges that connect the kinds that share one here."""
+    if not gram:
+        return
+    gram, kind = np.concatenate(gram).view(np.int64), np.concatenate(kind)
+    order = np.argsort(gram, kind="stable")
+    gram, kind = gram[order], kind[order]
+    met = gram[1:] == gram[:-1]
+    a, b = forest(kind[1:][met], kind[:-1][met])
+    new = np.concatenate([[True], ~met])
+    gram, kind = gram[new], kind[new]
+    for at in range(0, len(gram), 100_000):
+        s = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(kind[s]), pa.nulls(len(gram[s]), pa.int64())], ["gram", "a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), pa.array(b)], ["gram", "a", "b"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """BANDS keys of each kind, from the smallest hashes of its n-grams, WIDE at a time, and its size; kinds that are much alike share one."""
+    keys, kinds = [], []
     for b in batches:
-        for g, n, k in zip(b.column("grams").to_pylist(), b.column("prefix").to_pylist(), b.column("kind").to_pylist(), strict=True):
-            gram.append(np.frombuffer(g, np.int64)[:n])
-            kind.append(np.full(len(gram[-1]), k))
-    if gram:
-        gram, kind = np.concatenate(gram), np.concatenate(kind)
-        order = np.argsort(gram, kind="stable")
-        gram, kind = gram[order], kind[order]
-        met = gram[1:] == gram[:-1]
-        a, b = forest(kind[1:][met], kind[:-1][met])
-        new = np.concatenate([[True], ~met])
-        gram, kind = gram[new], kind[new]
-        for at in range(0, len(gram), 100_000):
-            s = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(kind[s]), pa.nulls(len(gram[s]), pa.int64())], ["gram", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), pa.array(b)], ["gram", "a", "b"])
+        if not b.num_rows:
+            continue
+        step = np.floor(4 * np.log2(b.column("size").to_numpy())).astype(np.uint64)
+        parts = [np.frombuffer(g, np.uint64) for g in b.column("grams").to_pylist()]
+        start = np.cumsum([0] + [len(x) for x in parts[:-1]])
+        ids = np.concatenate(parts)
+        for band in range(BANDS):
+            key = step + np.uint64(band << 8)
+            for k in range(WIDE):
+                key = mix(key ^ np.minimum.reduceat(mix(ids ^ np.uint64(0x9E3779B97F4A7C15 * (WIDE * band + k + 1) % 2**64)), start))
+            keys.append(key)
+            kinds.append(b.column("kind").to_numpy())
+    yield from _once(keys, kinds)
+
+
+def size_step(size: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Sizes by steps such that only those of one step or of neighbouring ones can reach the threshold."""
+    return np.floor(np.log(size) / np.log(q / p * 1.0001)).astype(np.int64)
+
+
+def _postings(side: beside.Side, p: int, q: int) -> Callable:
+    """(gram, kind, label) of the first n-grams of each kind. An n-gram counts as another one for each size step, so that kinds too different in size don't meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for file, window, b in beside.windows(batches, rows=4096, most=4 << 20, column="grams"):
+            if at != (file, window):
+                at, got = (file, window), side.read(file, window)
+                rows, labels = (None, None) if got is None else (got.column(c).to_numpy() for c in ("row", "label"))
+            if rows is None:
+                continue
+            place = b.column("row").to_numpy()
+            found = np.minimum(np.searchsorted(rows, place), len(rows) - 1)
+            mine = np.flatnonzero(rows[found] == place)  # kinds that were chosen here
+            step = size_step(b.column("size").to_numpy(), p, q).astype(np.uint64)
+            salt = [mix(step + np.uint64(1 + k)) for k in (0, 1)]
+            grams, prefix, kind = b.column("grams"), b.column("prefix").to_numpy(), b.column("kind").to_numpy()
+            first = [np.frombuffer(grams[i].as_py(), np.uint64)[: prefix[i]] for i in mine.tolist()]
+            if not first:
+                continue
+            n = [len(x) for x in first]
+            key, who = np.concatenate(first), np.repeat(mine, n)
+            for k in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key ^ salt[k][who]).view(np.int64)), pa.array(kind[who]), pa.array(labels[found[who]])], ["gram", "kind", "label"])
+
+    return run
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sure): kinds of different labels that share an n-gram. Where they would be more than CROSS pairs, edges that connect them all, sure."""
+    held = [tuple(b.column(c).to_numpy() for c in range(3)) for b in batches if b.num_rows]
+    if not held:
+        return
+    gram, kind, label = (np.concatenate([h[k] for h in held]) for k in range(3))
+    order = np.lexsort((kind, label, gram))
+    gram, kind, label = gram[order], kind[order], label[order]
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    end = np.append(start[1:], len(gram))
+    mixed = label[start] != label[end - 1]
+    two = mixed & (end - start == 2)
+    a, b, sure = [kind[start[two]]], [kind[start[two] + 1]], []
+    for x, y in zip(start[mixed & ~two].tolist(), end[mixed & ~two].tolist(), strict=True):
+        cut = np.flatnonzero(np.diff(label[x:y])) + 1
+        m = np.diff(np.concatenate([[0], cut, [y - x]]))
+        if ((y - x) ** 2 - int((m * m).sum())) // 2 > CROSS:
+            sure.append((kind[x + 1 : y], kind[x : y - 1]))
+            continue
+        group = np.repeat(np.arange(len(m)), m)
+        i, j = np.nonzero(group[:, None] < group[None, :])
+        a.append(kind[x + i])
+        b.append(kind[x + j])
+    a, b = np.concatenate(a), np.concatenate(b)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.zeros(int(new.sum()), bool))], ["a", "b", "sure"])
+    if sure:
+        a, b = forest(np.concatenate([x for x, _ in sure]), np.concatenate([y for _, y in sure]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), bool))], ["a", "b", "sure"])
+
+
+def parities(ids: np.ndarray) -> int:
+    """A bit for each of at least twice as many cells as there are ids: whether an odd number of them falls into it."""
+    bits = max(6, (2 * len(ids) - 1).bit_length())
+    odd = np.bincount((mix(ids) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return int.from_bytes(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), "little")
+
+
+def apart(x: int, n: int, y: int, m: int) -> int:
+    """At least by so many do a set of n ids with parities x and one of m with y differ."""
+    i, j = (max(6, (2 * k - 1).bit_length()) for k in (n, m))
+    if i < j:
+        x, y, i, j = y, x, j, i
+    while i > j:  # cells of the larger one, two by two
+        i -= 1
+        raw = np.unpackbits(np.frombuffer(x.to_bytes(1 << max(0, i - 2), "little"), np.uint8), bitorder="little")
+        x = int.from_bytes(np.packbits(raw[::2] ^ raw[1::2], bitorder="little").tobytes(), "little")
+    return (x ^ y).bit_count()
+
+
+SIGNED = "kind long, size long, shared long, cells binary"
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        parts = [np.frombuffer(g, np.uint64) for g in b.column("grams").to_pylist()]
+        cells = [(x := parities(g)).to_bytes(-(-x.bit_length() // 8), "little") for g in parts]
+        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("size"), pa.array([len(g) for g in parts], pa.int64()), pa.array(cells, pa.binary())], ["kind", "size", "shared", "cells"])
+
+
+def _possible(p: int, q: int) -> Callable:
+    """The pairs whose parities leave room for the overlap that they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("a_size", "b_size", "a_shared", "b_shared", "a_cells", "b_cells")), strict=True)
+            ok = [apart(int.from_bytes(c, "little"), n, int.from_bytes(d, "little"), m) <= n + m - 2 * -(-p * (x + y) // (p + q)) for x, y, n, m, c, d in rows]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +447,19 @@ def _tiled(rows: DataFrame, p: int, q: int) -> DataFrame:
     return own.select("*", F.explode(F.concat(same, above, below)).alias("g")).select("file", "row", "n", "g.group", "g.side")
 
 
+def _row_blocks(held: DataFrame, kinds: DataFrame, named: DataFrame, parts: int, p: int, q: int) -> DataFrame:
+    """(key, component) of the kinds that can be linked to another one."""
+    alike = written(components(held.select("kind", "size", "grams").mapInArrow(lean(_bands), "gram long, a long, b long").repartition(parts, "gram").mapInArrow(lean(_meetings), "a long, b long")), "alike")
+    label = F.coalesce("component", "kind").alias("label")
+    side = beside.lay(kinds.join(alike.withColumnRenamed("key", "kind"), "kind", "left").select(F.col("at.at_file").alias("file"), F.col("at.at_row").alias("row"), label), "labels", parts)
+    met = named.mapInArrow(lean(_postings(side, p, q)), "gram long, kind long, label long").repartition(parts, "gram")
+    met = written(met.mapInArrow(lean(_across), "a long, b long, sure boolean"), "met")
+    cells = written(held.select("kind", "size", "grams").mapInArrow(lean(_signatures), SIGNED), "cells").dropDuplicates(["kind"])
+    of = lambda end: cells.select(F.col("kind").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("size", "shared", "cells")))
+    near = met.where("NOT sure").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(lean(_possible(p, q)), "a long, b long")
+    return components(near.unionByName(met.where("sure").select("a", "b")).unionByName(alike.where("key <> component").select(F.col("key").alias("a"), F.col("component").alias("b"))))
+
+
 def linked(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Documents that can have a partner, of docs with doc_id, text, file and row: (file, row, doc_id, key, kind). And their kinds with at least one link: n, links, overlap, best, and the first document of the class."""
     small_batches(docs.sparkSession)
@@ -320,12 +470,12 @@ def linked(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD)
     marks = blocks.recurring(base, lambda texts: layout.distinct(*grams(texts))[1], layout, _degrees, "degrees")
     able = written(base.select("file", "row", "doc_id", "key", "text").mapInArrow(lean(_survivors(marks, n, p, q)), ABLE), "able")
     held = able.where("has")
-    postings = held.select("kind", "prefix", "grams").mapInArrow(lean(_postings), "gram long, a long, b long")
-    label = components(postings.repartition(layout.blocks, "gram").mapInArrow(lean(_meetings), "a long, b long"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "file", "row")
     stored = beside.placed(able, "at_file", "at_row")
     kinds = stored.groupBy("kind").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min(place).alias("first"), F.min(F.when(F.col("has"), F.struct("at_file", "at_row"))).alias("at"))
     kinds = written(kinds, "kinds")
+    named = stored.where("has").select(F.col("at_file").alias("file"), F.col("at_row").alias("row"), "kind", "size", "prefix", "grams")
+    label = _row_blocks(held, kinds, named, layout.blocks, p, q)
     rows = written(kinds.join(label.withColumnRenamed("key", "kind"), "kind").select("kind", "component", "n", "size", F.col("at.at_file").alias("file"), F.col("at.at_row").alias("row")), "rows")
     big = written(rows.groupBy("component").agg(F.count("*").alias("many")), "sizes")
     sized = joined_by_size(rows, big, ["component"], "many", rows.count())
@@ -333,7 +483,6 @@ def linked(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD)
     if big.where(F.col("many") > TILE).take(1):
         parts = parts.unionByName(_tiled(sized.where(F.col("many") > TILE).drop("many"), p, q))
     side = beside.lay(parts, "groups", layout.blocks)
-    named = stored.where("has").select(F.col("at_file").alias("file"), F.col("at_row").alias("row"), "kind", "size", "grams")
     placed = named.mapInArrow(lean(_beside_grams(side)), "group long, side int, kind long, n long, size long, grams binary").repartition(layout.blocks, "group").sortWithinPartitions("group", "side", "kind")
     found = written(placed.mapInArrow(lean(_products(p, q)), PRODUCT), "products")
     sums = found.where("other IS NULL").groupBy("kind").agg(F.sum("links").alias("links"), F.sum("overlap").alias("overlap"), F.max("best").alias("best"))

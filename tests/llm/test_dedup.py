@@ -61,10 +61,11 @@ def test_jaccard_against_brute_force(near):
     assert rows_of(jaccard.near_copies(docs)) == want and sum(r[2] for r in want) > 100
 
 
-@pytest.mark.parametrize("tile", [2, 4, 16])
-def test_jaccard_tiles_of_a_large_row_block(near, monkeypatch, tile):
+@pytest.mark.parametrize("tile, cross", [(2, 0), (16, 1)])
+def test_jaccard_tiles_of_a_large_row_block(near, monkeypatch, tile, cross):
     docs, rows = near
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "CROSS", cross)
     assert rows_of(jaccard.near_copies(docs)) == links_of(rows)
 
 
@@ -102,6 +103,17 @@ def test_jaccard_of_a_hot_group(make):
     assert sorted(r.doc_id for r in jaccard.keep_one(make(rows)).collect()) == [0, *range(300, 600)]
 
 
+def test_parities_never_overestimate_a_difference():
+    rng = np.random.default_rng(4)
+    for n, m, both in ((40, 40, 0), (40, 60, 30), (5, 200, 5), (300, 310, 250), (1, 1, 1)):
+        a = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
+        x, y = a[:n], a[n - both :]
+        found = jaccard.apart(jaccard.parities(x), n, jaccard.parities(y), m)
+        assert found == jaccard.apart(jaccard.parities(y), m, jaccard.parities(x), n) <= n + m - 2 * both
+        if not both:
+            assert found > 25
+
+
 def test_overlaps_dense_and_sparse():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(25)]
