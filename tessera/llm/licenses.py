@@ -8,7 +8,9 @@ Neighbouring diagonals are merged, and a merged span is verified by the share
 of the template's words that its hits cover, and by its length. Copies that
 follow each other closely are merged too; they are parted where the template
 starts over, and if two or more of the parts are licenses, or the whole isn't,
-the parts that are count instead. (The SQL doesn't part them.)
+the parts that are count instead. Templates resemble each other, so of spans of
+different licenses that overlap, one is left out if another has a higher score,
+or covers more words with an equal one, or comes first by name with both equal.
 
 Defined results. A row for each verified span, in words from 0, end exclusive.
 Rows equal in doc_id and text are one document. Null and empty texts have no
@@ -58,6 +60,12 @@ TEMPLATES = {
     "CC statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0 statement": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "reserved": "All rights reserved.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
 }
 
 
@@ -110,7 +118,23 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int
     parts = parts.groupBy(*of, "copy").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.collect_list("span").alias("parts"))
     parts = parts.withColumn("parts", F.filter("parts", good)).withColumn("span", span)
     rows = parts.withColumn("span", F.explode(F.when((F.size("parts") < 2) & good(F.col("span")), F.array("span")).otherwise(F.col("parts"))))
-    return rows.select("doc_id", "license", F.col("span.a").alias("start_word"), "span.end_word", "span.covered", (F.col("span.covered") / F.col("n_template")).alias("score"))
+    found = rows.select("doc_id", "key", "license", F.col("span.a").alias("start_word"), "span.end_word", "span.covered", (F.col("span.covered") / F.col("n_template")).alias("score"))
+    return _best(found).select("doc_id", "license", "start_word", "end_word", "covered", "score")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """Spans without those that a better one of another license overlaps. Overlapping spans of a document lie side by side, so only they are compared."""
+    by = Window.partitionBy("key").orderBy("start_word", "end_word", "license")
+    ended = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start_word") < ended, 0).otherwise(1)).over(by)
+    grouped = found.withColumn("island", island).groupBy("key", "island").agg(F.collect_list(F.struct("doc_id", "license", "start_word", "end_word", "covered", "score")).alias("spans"))
+
+    def beats(y, x):
+        better = (y["score"] > x["score"]) | (y["score"] == x["score"]) & ((y["covered"] > x["covered"]) | (y["covered"] == x["covered"]) & (y["license"] < x["license"]))
+        return (y["license"] != x["license"]) & (y["start_word"] < x["end_word"]) & (x["start_word"] < y["end_word"]) & better
+
+    spans = F.col("spans")
+    return grouped.select(F.explode(F.filter(spans, lambda x: ~F.exists(spans, lambda y: beats(y, x)))).alias("s")).select("s.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +154,20 @@ diagonals AS (SELECT DISTINCT doc_id, text, license, diagonal FROM hits),
 fresh AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, text, license ORDER BY diagonal) <= {slack} THEN 0 ELSE 1 END AS f FROM diagonals),
 copies AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, text, license ORDER BY diagonal) AS copy FROM fresh),
 placed AS (SELECT h.*, c.copy FROM hits h JOIN copies c USING (doc_id, text, license, diagonal)),
-cover AS (SELECT doc_id, text, license, copy, count(DISTINCT word) AS covered FROM (SELECT *, unnest(range(spot, spot + {k})) AS word FROM placed) GROUP BY ALL),
-spans AS (SELECT doc_id, text, license, copy, any_value(n_template) AS n_template, min(place) AS start_word, max(place) + {k} AS end_word FROM placed GROUP BY ALL)
-SELECT doc_id, license, start_word::INT AS start_word, end_word::INT AS end_word, covered::INT AS covered, covered / n_template::DOUBLE AS score
-FROM spans JOIN cover USING (doc_id, text, license, copy)
-WHERE covered / n_template::DOUBLE >= {least} AND end_word - start_word <= n_template * {longest}::DOUBLE
+again AS (SELECT *, CASE WHEN spot <= lag(spot) OVER (PARTITION BY doc_id, text, license, copy ORDER BY place, spot) THEN 1 ELSE 0 END AS again FROM placed),
+parted AS (SELECT *, sum(again) OVER (PARTITION BY doc_id, text, license, copy ORDER BY place, spot ROWS UNBOUNDED PRECEDING) AS part FROM again),
+both_ways AS (SELECT doc_id, text, license, n_template, copy, part, place, spot FROM parted UNION ALL SELECT doc_id, text, license, n_template, copy, -1, place, spot FROM parted),
+cover AS (SELECT doc_id, text, license, copy, part, count(DISTINCT word) AS covered FROM (SELECT *, unnest(range(spot, spot + {k})) AS word FROM both_ways) GROUP BY ALL),
+spans AS (SELECT doc_id, text, license, copy, part, any_value(n_template) AS n_template, min(place) AS start_word, max(place) + {k} AS end_word FROM both_ways GROUP BY ALL),
+good AS (SELECT *, covered / n_template::DOUBLE AS score FROM spans JOIN cover USING (doc_id, text, license, copy, part)
+  WHERE covered / n_template::DOUBLE >= {least} AND end_word - start_word <= n_template * {longest}::DOUBLE),
+counted AS (SELECT *, count(*) FILTER (part >= 0) OVER w AS n_parts, count(*) FILTER (part < 0) OVER w AS n_whole FROM good WINDOW w AS (PARTITION BY doc_id, text, license, copy)),
+chosen AS (SELECT * FROM counted WHERE CASE WHEN n_parts < 2 AND n_whole = 1 THEN part < 0 ELSE part >= 0 END)
+SELECT doc_id, license, start_word::INT AS start_word, end_word::INT AS end_word, covered::INT AS covered, score
+FROM chosen x
+WHERE NOT EXISTS (SELECT 1 FROM chosen y WHERE y.doc_id IS NOT DISTINCT FROM x.doc_id AND y.text = x.text AND y.license <> x.license
+  AND y.start_word < x.end_word AND x.start_word < y.end_word
+  AND (y.score > x.score OR y.score = x.score AND (y.covered > x.covered OR y.covered = x.covered AND y.license < x.license)))
 """
 
 
