@@ -41,6 +41,28 @@ def code_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return _without(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), expand)), stop_words)
 
 
+#: Words that may be compounds: those with a capital or a digit that isn't the first character.
+MAYBE_COMPOUND = r"(?<![A-Za-z0-9])([A-Za-z0-9][a-z]*+[A-Z0-9][A-Za-z0-9]*+)"
+
+
+def lower_code_text(text: Column) -> Column:
+    """code_tokens in lower case and with single spaces between: words first, then the parts of compounds.
+
+    Only plain expressions on whole strings, no function of each word, so that
+    generated code computes it once for all that a projection asks of it.
+    """
+    flat = F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
+    maybe = F.array_join(F.regexp_extract_all(flat, F.lit(MAYBE_COMPOUND), F.lit(1)), " ")
+    apart = F.regexp_replace(maybe, PARTS, "\u0001")
+    parts = F.array_join(F.regexp_extract_all(apart, F.lit("([A-Za-z0-9]+\u0001[^ ]*)"), F.lit(1)), " ")
+    return F.lower(F.trim(F.concat(flat, F.lit(" "), F.translate(parts, "\u0001", " "))))
+
+
+def lower_code_terms(text: Column) -> Column:
+    """lower_code_text as a list."""
+    return F.array_remove(F.split(lower_code_text(text), " "), "")
+
+
 def plain_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """What white space separates."""
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")

@@ -6,25 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 256
+from tessera.session import stored
+
+#: monotonically_increasing_id: the partition above these bits, the place in it below.
+PLACE_BITS = 33
 
 
 def global_rank(df: DataFrame, score: str, tie: str, rank: str) -> DataFrame:
     """df with the row number by score, highest first, then tie, as column `rank`.
 
-    Scores fall into buckets of equal width between the lowest and the highest;
-    a row's rank is the number of rows in higher buckets plus its place in its
-    own. Rows are sorted bucket by bucket, and only bucket counts are gathered.
+    Rows are parted by ranges of (score, tie), so equal scores spread as well,
+    and sorted within a part; a row's rank is its place there and the number of
+    rows in the parts before. df is computed once for the ranges' ends and once
+    to be sorted, and should be narrow; a row for each part is all that's gathered.
     """
-    ends = df.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
-    share = (F.col("_high") - F.col(score)) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    placed = df.crossJoin(F.broadcast(ends)).withColumn("_bucket", bucket).drop("_low", "_high")
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most BUCKETS rows
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_bucket", before.alias("_before"))
-    within = Window.partitionBy("_bucket").orderBy(F.col(score).desc(), F.col(tie).asc_nulls_last())
-    return placed.withColumn("_at", F.row_number().over(within)).join(F.broadcast(offsets), "_bucket").withColumn(rank, (F.col("_before") + F.col("_at")).cast("long")).drop("_bucket", "_at", "_before")
+    order = F.col(score).desc(), F.col(tie).asc_nulls_last()
+    numbered = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("_n", PLACE_BITS), F.col("_n").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))  # as many rows as the exchange has partitions
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("_part", before.alias("_before")))
+    return numbered.withColumn("_part", part).join(offsets, "_part").withColumn(rank, (F.col("_before") + place + 1).cast("long")).drop("_part", "_before", "_n")
 
 
 def top(df: DataFrame, limit: int, *order: Column, offset: int = 0) -> DataFrame:

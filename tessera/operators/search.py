@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import code_tokens
+from tessera.functions.text import lower_code_terms, lower_code_text
 from tessera.functions.vector import cosine
 from tessera.operators.ranking import global_rank, top
+from tessera.session import spread, stored
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 WEIGHTS = {"code": 0.5, "text": 0.5}
 SIMILARITY_CUT = 0.4
+#: Rows of a page that may be broadcast.
+BROADCAST_ROWS = 10_000
 KINDS = "class component constant function interface method method_def module namespace package property type_alias variable enum comment literal".split()
 VISIBILITIES = "public protected private package all".split()
 
@@ -32,28 +38,105 @@ def query_terms(query: str, tokenizer=None) -> list[str]:
     return list(dict.fromkeys(t.lower() for t in out))
 
 
-def _times(term: str) -> Column:
-    return F.size(F.filter("_tokens", lambda t: t == term))
+def _joined_terms(tokenizer, text: Column) -> Column:
+    """Terms in lower case with single spaces between, of any tokenizer whose tokens hold no space."""
+    return lower_code_text(text) if tokenizer is lower_code_terms else F.trim(F.lower(F.array_join(tokenizer(text), " ")))
 
 
-def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", score: str = "bm25", tokenizer=code_tokens) -> DataFrame:
+def _n_terms(joined: Column) -> Column:
+    return F.when(joined == "", F.lit(0)).otherwise(F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(" "), F.lit(""))) + 1).cast("double")
+
+
+def _times(spaced: Column, term: str) -> Column:
+    """How often a term is among those of `spaced`, which has spaces of its own around each."""
+    return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(f" {term} "), F.lit("")))) / F.lit(len(term.encode()) + 2)).cast("double")
+
+
+def term_weight(tf: Column, length: Column, df: float, n: float, mean: float) -> Column:
+    """What a term adds to the BM25 score of a document of this length."""
+    idf = math.log10((n - df + 0.5) / (df + 0.5) + 1.0)
+    return F.lit(idf) * (tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean))))
+
+
+def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", score: str = "bm25", tokenizer=lower_code_terms) -> DataFrame:
     """(id, score) of every document with a query term.
 
-    Term counts and the length come from the row itself, so the text is read and
-    tokenized without a shuffle; only the corpus statistics, one row, are gathered.
+    One scan tokenizes every text, once, without a shuffle: it counts the query's
+    terms, stores the documents that have any, as narrow rows, and observes the
+    corpus statistics on the way. A `TextIndex` answers without reading texts.
     """
     terms = query_terms(query)
-    tokens = F.transform(tokenizer(F.col(text_col)), lambda t: F.lower(t))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), tokens.alias("_tokens"))
-    rows = rows.select(id_col, F.size("_tokens").cast("double").alias("_len"), *[_times(term).cast("double").alias(f"_tf{i}") for i, term in enumerate(terms)])
-    stats = rows.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum(F.when(F.col(f"_tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"_df{i}") for i in range(len(terms))])
-    total: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
-        idf = F.log10((F.col("_n") - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
-        total = total + F.when(tf > 0, idf * (tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("_len") / F.col("_avg"))))).otherwise(F.lit(0.0))
-    found = rows.where(F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0.0)) > 0)
-    return found.crossJoin(F.broadcast(stats)).select(id_col, F.round(total, 8).alias(score))
+    tokens = _joined_terms(tokenizer, F.col(text_col))
+    names = [f"_tf{i}" for i in range(len(terms))]
+    spaced = F.concat(F.lit(" "), F.replace(tokens, F.lit(" "), F.lit("  ")), F.lit(" "))
+    counts = [_times(spaced, term).alias(name) for name, term in zip(names, terms, strict=True)]
+    seen = Observation()
+    rows = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)).select(F.col(id_col), _n_terms(tokens).alias("_len"), *counts)
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"), *[F.count_if(F.col(name) > 0).alias(name) for name in names])
+    found = stored(rows.where(F.greatest(*[F.col(name) for name in names], F.lit(0.0), F.lit(0.0)) > 0), "hits")
+    stats = seen.get
+    total = F.lit(0.0)
+    for name in names:
+        if stats[name]:
+            total = total + F.when(F.col(name) > 0, term_weight(F.col(name), F.col("_len"), float(stats[name]), float(stats["n"]), stats["mean"])).otherwise(F.lit(0.0))
+    return found.select(id_col, F.round(total, 8).alias(score))
+
+
+class TextIndex:
+    """An inverted index in a folder: postings (term, id, tf, length), sorted by term, so that a search reads the row groups of its terms and no text; and the corpus statistics.
+
+    A refresh writes the next version beside the last one and then names it in
+    `current`, so readers see one version or the other.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, id_col: str = "doc_id", tokenizer=lower_code_terms):
+        self.spark, self.folder, self.id_col, self.tokenizer = spark, folder.rstrip("/"), id_col, tokenizer
+
+    def _current(self) -> str | None:
+        try:
+            rows = self.spark.read.text(f"{self.folder}/current").collect()
+        except AnalysisException:
+            return None
+        return max((r.value for r in rows), default=None)
+
+    def _postings(self, docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+        terms = F.array_remove(F.split(_joined_terms(self.tokenizer, F.col(text_col)), " "), "")
+        rows = docs.where(F.col(text_col).isNotNull()).select(F.col(self.id_col), terms.alias("_terms"), F.size(terms).cast("double").alias("length"))
+        lengths = rows.select(self.id_col, "length")
+        return rows.select(self.id_col, "length", F.explode("_terms").alias("term")).groupBy("term", self.id_col).agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length")), lengths
+
+    def _write(self, postings: DataFrame, lengths: DataFrame) -> TextIndex:
+        version = f"v{uuid.uuid4().hex}"
+        postings.repartitionByRange("term", self.id_col).sortWithinPartitions("term", self.id_col).write.parquet(f"{self.folder}/{version}/postings")
+        lengths.write.parquet(f"{self.folder}/{version}/lengths")
+        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
+        return self
+
+    def build(self, docs: DataFrame, text_col: str = "text") -> TextIndex:
+        """Index all of docs; what was there before is superseded."""
+        return self._write(*self._postings(docs, text_col))
+
+    def refresh(self, changed: DataFrame, removed: DataFrame | None = None, text_col: str = "text") -> TextIndex:
+        """Replace the entries of the documents in changed, and drop those of the ids in removed."""
+        if (version := self._current()) is None:
+            return self.build(changed, text_col)
+        gone = changed.select(self.id_col) if removed is None else changed.select(self.id_col).union(removed.select(self.id_col))
+        old, sizes = (self.spark.read.parquet(f"{self.folder}/{version}/{t}").join(gone.distinct(), self.id_col, "left_anti") for t in ("postings", "lengths"))
+        postings, lengths = self._postings(changed, text_col)
+        return self._write(old.unionByName(postings), sizes.unionByName(lengths))
+
+    def scores(self, query: str, score: str = "bm25") -> DataFrame:
+        """(id, score) of every document with a term of the query, as bm25_scores gives them."""
+        if (version := self._current()) is None:
+            raise ValueError("the index has not been built")
+        terms = query_terms(query)
+        hits = self.spark.read.parquet(f"{self.folder}/{version}/postings").where(F.col("term").isin(terms))
+        n, mean = self.spark.read.parquet(f"{self.folder}/{version}/lengths").agg(F.count("*"), F.avg("length")).first()
+        df = {r.term: float(r.n) for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each term of the query
+        part = F.lit(0.0)
+        for term, count in df.items():
+            part = F.when(F.col("term") == term, term_weight(F.col("tf"), F.col("length"), count, float(n), mean)).otherwise(part)
+        return hits.groupBy(self.id_col).agg(F.round(F.sum(part), 8).alias(score))
 
 
 def cosine_scores(vectors: DataFrame, query: list[float] | Column, id_col: str = "vec_id", vector_col: str = "embedding", score: str = "similarity", cut: float = SIMILARITY_CUT) -> DataFrame:
@@ -113,7 +196,7 @@ def conditions(request: SearchRequest, columns: list[str]) -> Column:
     return found
 
 
-def search(docs: DataFrame, request: SearchRequest, id_col: str = "doc_id", text_col: str = "text", vectors: DataFrame | None = None, vector_id: str = "vec_id", vector_col: str = "embedding", factor: int = 2) -> DataFrame:
+def search(docs: DataFrame, request: SearchRequest, id_col: str = "doc_id", text_col: str = "text", vectors: DataFrame | None = None, vector_id: str = "vec_id", vector_col: str = "embedding", factor: int = 2, index: TextIndex | None = None) -> DataFrame:
     """The page of hits, `factor` times the limit for post-processing, with column rrf; by name if neither text nor vector is given."""
     request = request.checked()
     lists = {}
@@ -121,7 +204,8 @@ def search(docs: DataFrame, request: SearchRequest, id_col: str = "doc_id", text
         near = cosine_scores(vectors, request.vector, vector_id, vector_col, cut=request.similarity_cut).withColumnRenamed(vector_id, id_col)
         lists["code"] = global_rank(near, "similarity", id_col, "rank")
     if request.text:
-        lists["text"] = global_rank(bm25_scores(docs, request.text, id_col, text_col), "bm25", id_col, "rank")
+        scores = index.scores(request.text) if index else bm25_scores(docs, request.text, id_col, text_col)
+        lists["text"] = global_rank(scores, "bm25", id_col, "rank")
     keep = conditions(request, docs.columns)
     if not lists:
         order = [F.col("name").asc_nulls_last()] if "name" in docs.columns else []
@@ -129,9 +213,12 @@ def search(docs: DataFrame, request: SearchRequest, id_col: str = "doc_id", text
     boost = F.lit(1.0)
     for kind, by in request.kind_boosts.items():
         boost = F.when(F.col("kind") == kind, F.lit(float(by))).otherwise(boost)
+    if "search_boost" in docs.columns:
+        boost = boost * F.coalesce(F.col("search_boost").cast("double"), F.lit(1.0))
     if request.boost_source and request.boost_factor != 1:
         boost = boost * F.when(F.col("source") == request.boost_source, F.lit(float(request.boost_factor))).otherwise(F.lit(1.0))
-    narrow = docs.where(keep).select(id_col, *[c for c in ("name", "kind", "source") if c in docs.columns])
+    narrow = docs.where(keep).select(id_col, *[c for c in ("name", "kind", "source", "search_boost") if c in docs.columns])
     scored = narrow.join(fused(lists, id_col), id_col).withColumn("rrf", F.round(F.col("rrf") * boost, 10)).select(id_col, "rrf")
     page = top(scored, factor * request.limit, F.col("rrf").desc(), F.col(id_col).asc(), offset=request.offset)
-    return docs.join(F.broadcast(page), id_col)  # wide rows only for the page
+    small = factor * request.limit <= BROADCAST_ROWS
+    return docs.join(F.broadcast(page) if small else page, id_col)  # wide rows only for the page
