@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 
 def with_children(hits: DataFrame, nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", kind_col: str | None = None) -> DataFrame:
     """(parent, child) of the direct children of hits; literals bring none."""
@@ -13,21 +15,31 @@ def with_children(hits: DataFrame, nodes: DataFrame, id_col: str = "id", parent_
     return nodes.where(F.col(parent_col).isNotNull()).select(F.col(parent_col).alias("parent"), F.col(id_col).alias("child")).join(of, "parent", "left_semi")
 
 
-def ancestors(hits: DataFrame, nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", kind_col: str | None = None, levels: int = 32) -> DataFrame:
-    """(id, ancestor, depth) for every ancestor of the hits, level by level; a literal parent ends the climb."""
-    link = nodes.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"))
+def ancestors(hits: DataFrame, nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", kind_col: str | None = None) -> DataFrame:
+    """(id, ancestor, depth) for every ancestor of the hits; a literal parent ends the climb.
+
+    Climbs by jumps of doubling length, so a chain of any depth takes rounds that
+    grow with its logarithm. Parents that form a cycle are an error.
+    """
+    link = nodes.where(F.col(parent_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"))
     if kind_col is not None:
         real = nodes.where(~F.col(kind_col).eqNullSafe("literal")).select(F.col(id_col).alias("_parent"))
         link = link.join(real, "_parent", "left_semi").select("_id", "_parent")
-    spark = hits.sparkSession
-    link.createOrReplaceTempView("_tessera_link")
-    hits.select(F.col(id_col).alias("id")).distinct().createOrReplaceTempView("_tessera_hits")
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, ancestor, depth) MAX RECURSION LEVEL {levels} AS (
-            SELECT h.id, l._parent, 1 FROM _tessera_hits h JOIN _tessera_link l ON h.id = l._id WHERE l._parent IS NOT NULL
-            UNION ALL
-            SELECT u.id, l._parent, u.depth + 1 FROM up u JOIN _tessera_link l ON u.ancestor = l._id WHERE l._parent IS NOT NULL
-        ) SELECT id, ancestor, depth FROM up""")
+    jump = link = stored(link, "links")
+    some = hits.select(F.col(id_col).alias("id")).distinct()
+    up = stored(some.join(link, F.col("id") == F.col("_id")).select("id", F.col("_parent").alias("ancestor"), F.lit(1).alias("depth")), "up")
+    reach, many = 1, None
+    while True:
+        more = stored(up.join(jump, F.col("ancestor") == F.col("_id")).select("id", F.col("_parent").alias("ancestor"), (F.col("depth") + F.lit(reach)).alias("depth")), "up")
+        if not more.take(1):
+            return up
+        reach *= 2
+        many = link.count() if many is None else many
+        if reach > 2 * many:
+            raise ValueError("parents form a cycle")
+        up = stored(up.unionByName(more), "up")
+        ahead = jump.select(F.col("_id").alias("_parent"), F.col("_parent").alias("_next"))
+        jump = stored(jump.join(ahead, "_parent").select("_id", F.col("_next").alias("_parent")), "jump")
 
 
 def page_without_parents(page: DataFrame, limit: int, *order, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:

@@ -125,7 +125,7 @@ def suffix_stats(df: DataFrame, kind: str, seconds: str) -> DataFrame:
 
 
 class Catalog:
-    """Named Parquet tables under one folder, each a series of snapshots; the newest that is complete counts."""
+    """Named Parquet tables under one folder, each a series of snapshots. The newest manifest says which snapshots belong together; of tables that no manifest names the newest that is complete counts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -135,19 +135,41 @@ class Catalog:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self, name: str) -> list[int]:
+    def _complete(self, name: str) -> list[int]:
         fs, path = self._fs()
         at = path(f"{self.root}/{name}")
         if not fs.exists(at):
             return []
         return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v") and fs.exists(path(s.getPath(), "_SUCCESS")))
 
+    def manifest(self) -> dict[str, int]:
+        """The snapshot of each table that was published."""
+        have = self._complete("manifest")
+        if not have:
+            return {}
+        return {r.name: r.version for r in self.spark.read.parquet(f"{self.root}/manifest/v{have[-1]}").collect()}
+
+    def versions(self, name: str) -> list[int]:
+        """Snapshots of a table, up to the one that readers get."""
+        have, published = self._complete(name), self.manifest().get(name)
+        return [v for v in have if published is None or v <= published]
+
+    def _write(self, name: str, df: DataFrame, partition: list[str] | None = None) -> int:
+        version = (self._complete(name) or [0])[-1] + 1
+        df.write.mode("overwrite").partitionBy(*(partition or [])).parquet(f"{self.root}/{name}/v{version}")
+        return version
+
+    def publish(self, named: dict[str, DataFrame]) -> None:
+        """The next snapshots of several tables; readers see all of them or none."""
+        versions = {**self.manifest(), **{name: self._write(name, df) for name, df in named.items()}}
+        self._write("manifest", self.spark.createDataFrame(sorted(versions.items()), "name string, version int").coalesce(1))
+
     def write(self, name: str, df: DataFrame, partition: list[str] | None = None) -> DataFrame:
         """The next snapshot; readers of earlier ones aren't disturbed."""
-        version = (self.versions(name) or [0])[-1] + 1
-        target = f"{self.root}/{name}/v{version}"
-        df.write.mode("overwrite").partitionBy(*(partition or [])).parquet(target)
-        return self.spark.read.parquet(target)
+        version, published = self._write(name, df, partition), self.manifest()
+        if name in published:
+            self._write("manifest", self.spark.createDataFrame(sorted({**published, name: version}.items()), "name string, version int").coalesce(1))
+        return self.spark.read.parquet(f"{self.root}/{name}/v{version}")
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         have = self.versions(name)

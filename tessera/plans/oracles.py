@@ -42,7 +42,7 @@ SELECT d.doc_id, d.lang, d.source, round(s * {boost}, 10) AS rrf FROM f JOIN doc
 _GRAPH = r"""files AS (SELECT s_suppkey, 'src/' || s_name AS path FROM supplier),
 uses AS (SELECT l_suppkey AS s_suppkey, p_brand AS name, max(l_quantity) AS q, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 named AS (SELECT * FROM uses JOIN files USING (s_suppkey)),
-defs AS (SELECT path, name, CASE WHEN s_suppkey % 20 = 0 THEN 'private' ELSE 'public' END AS visibility FROM named WHERE q >= 50 AND s_suppkey % 10 = 0),
+defs AS (SELECT path, name, CASE WHEN name LIKE '%1' THEN 'private' ELSE 'public' END AS visibility FROM named WHERE q >= 50),
 refs AS (SELECT path, name FROM named WHERE n >= 2),
 dn AS (SELECT name, count(DISTINCT path) AS n_defs, max_by(visibility, path) AS visibility FROM defs GROUP BY name),
 rn AS (SELECT name, count(DISTINCT path) AS n_refs FROM refs GROUP BY name),
@@ -120,20 +120,35 @@ SELECT id, conv_id, turn FROM page WHERE id NOT IN (SELECT parent_id FROM page W
     "longest_prefix_parent": f"WITH {_URL_OWNERS} SELECT page_id, max_by(owner, length(owner)) AS owner FROM pages LEFT JOIN owners ON starts_with(url, owner || '/') GROUP BY page_id",
     "lru_trim": """SELECT event_type, user_id FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY last DESC NULLS LAST, user_id) AS nth, count(*) OVER (PARTITION BY event_type) AS n
 FROM (SELECT event_type, user_id, max(ts) AS last FROM events GROUP BY 1, 2)) WHERE nth <= CASE WHEN n > 50 THEN least(50, n - 5) ELSE n END""",
-    "cache_hit_miss": """WITH d AS (SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL), s AS (SELECT hash, max(doc_id) AS vector FROM d WHERE doc_id % 3 = 0 GROUP BY hash)
+    "cache_hit_miss": """WITH d AS (SELECT doc_id, lang, sha256(text) AS hash FROM documents WHERE text IS NOT NULL), s AS (SELECT hash, max(doc_id) AS vector FROM d WHERE lang <> 'en' GROUP BY hash)
 SELECT doc_id, vector IS NOT NULL AS hit, coalesce(vector, -1) AS vector FROM d LEFT JOIN s USING (hash)""",
-    "change_detection": """WITH d AS (SELECT doc_id, doc_id::VARCHAR AS path, n_chars::DOUBLE AS mtime, md5(coalesce(text, '')) AS hash FROM documents),
-s AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN mtime - 1 ELSE mtime END AS mtime, CASE WHEN doc_id % 10 = 0 THEN 'old' ELSE hash END AS hash FROM d WHERE doc_id % 7 <> 0),
-f AS (SELECT path, mtime, hash FROM d WHERE doc_id % 11 <> 0)
+    "change_detection": """WITH d AS (SELECT lang, doc_id::VARCHAR AS path, n_chars::DOUBLE AS mtime, md5(coalesce(text, '')) AS hash FROM documents),
+s AS (SELECT path, CASE WHEN lang IN ('fr', 'de') THEN mtime - 1 ELSE mtime END AS mtime, CASE WHEN lang = 'fr' THEN 'old' ELSE hash END AS hash FROM d WHERE lang <> 'es'),
+f AS (SELECT path, mtime, hash FROM d WHERE lang <> 'en' OR mtime > 300)
 SELECT coalesce(f.path, s.path) AS path, CASE WHEN f.path IS NULL THEN 'gone' WHEN s.path IS NULL THEN 'new' WHEN f.mtime IS NOT DISTINCT FROM s.mtime THEN 'same' WHEN f.hash IS NOT DISTINCT FROM s.hash THEN 'touched' ELSE 'changed' END AS change
 FROM s FULL JOIN f ON s.path = f.path""",
-    "upsert_snapshot": """WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders), f AS (SELECT o_orderkey + CASE WHEN o_orderkey % 8 = 0 THEN 0 ELSE 100000000 END AS o_orderkey, 'N' AS o_orderstatus, o_totalprice FROM o WHERE o_orderkey % 4 = 0)
+    "upsert_snapshot": """WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders), f AS (SELECT o_orderkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 100000000 END AS o_orderkey, 'N' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P')
 SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM f) UNION ALL SELECT * FROM f""",
-    "patch_rows": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 0 THEN 'PATCHED' ELSE c_mktsegment END AS c_mktsegment FROM customer",
-    "insert_ignore": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS p_brand FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
+    "patch_rows": "SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal < 0 THEN 'PATCHED' ELSE c_mktsegment END AS c_mktsegment FROM customer",
+    "insert_ignore": "SELECT p_partkey, CASE WHEN p_size <= 25 THEN p_brand END AS p_brand FROM part WHERE p_size <= 25 OR p_brand LIKE 'Brand#1%'",
     "stale_rows": "SELECT doc_id, source, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
-    "import_resolution": """WITH p AS (SELECT n_regionkey AS path, min(n_name) AS package FROM nation GROUP BY 1), e AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey % 7 END AS path, CASE WHEN c_custkey % 5 = 0 THEN 'KNOWN' END AS target FROM customer)
-SELECT c_custkey, coalesce(target, package) AS target FROM e LEFT JOIN p USING (path)""",
+    "import_resolution": """WITH p AS (SELECT CASE WHEN n_regionkey < 3 THEN 'v.' || n_nationkey END AS v, 'p/' || n_nationkey AS path FROM nation)
+SELECT c_custkey, coalesce(a.path, CASE WHEN c_mktsegment <> 'MACHINERY' THEN b.path END) AS to_package FROM customer
+LEFT JOIN p a ON c_mktsegment <> 'BUILDING' AND a.v = 'v.' || c_nationkey LEFT JOIN p b ON c_acctbal > 0 AND b.path = 'p/' || c_nationkey""",
+    "method_adoption": """SELECT 'n' || n_nationkey AS id, NULL::VARCHAR AS parent_id FROM nation UNION ALL
+SELECT 'c' || c_custkey, CASE WHEN c_acctbal < 0 THEN 'known' WHEN c_mktsegment <> 'FURNITURE' THEN 'n' || n_nationkey END FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "reference_resolution": "SELECT l_orderkey, l_linenumber, CASE WHEN s_acctbal > 0 THEN 'n/' || s_nationkey END AS package_path FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey",
+    "bm25_index_topk": f"WITH {_bm25_sql()} SELECT doc_id, bm25 FROM bm ORDER BY bm25 DESC, doc_id LIMIT 20",
+    "search_boosted": f"""WITH {_bm25_sql()}, rt AS (SELECT doc_id, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS r FROM bm)
+SELECT doc_id, source, round(0.5::DOUBLE / (60 + r) * CASE WHEN source = 'src1' THEN 1.8::DOUBLE ELSE 1 END, 10) AS rrf FROM rt JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY rrf DESC, doc_id LIMIT 20""",
+    "children_without_literals": f"WITH {_TURNS} SELECT p.id AS parent, c.id AS child FROM turns p JOIN turns c ON c.parent_id = p.id WHERE p.role <> 'assistant'",
+    "ancestors_below_literals": f"""WITH RECURSIVE {_TURNS},
+up(id, ancestor, depth) AS (SELECT id, parent_id, 1 FROM turns WHERE parent_id IN (SELECT id FROM turns WHERE turn <> 2)
+ UNION ALL SELECT up.id, t.parent_id, depth + 1 FROM up JOIN turns t ON t.id = up.ancestor WHERE t.parent_id IN (SELECT id FROM turns WHERE turn <> 2))
+SELECT id, ancestor, depth FROM up""",
+    "chunk_tiling": "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest, true AS numbered FROM documents WHERE text IS NOT NULL AND length(text) > 0",
+    "vectors_of_a_width": "SELECT vec_id, 100 AS n_long, 5 AS n_short, round(embedding[5]::DOUBLE, 6) AS fifth, CASE WHEN len(embedding) >= 100 THEN round(embedding[100]::DOUBLE, 6) ELSE 0 END AS last FROM embeddings",
+    "module_paths": """SELECT page_id, 'pkg.' || regexp_replace(url, '[^a-z0-9]+', '_', 'g') AS module, 'python' AS language, 'private' AS visibility FROM pages""",
     "suffix_stats": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "sliding_token_windows": """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 65, 0) + 1, 64)) AS start FROM t WHERE len(w) > 0)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as X
-from tessera.functions.vector import cosine
+from tessera.functions.vector import cosine, fitted
 from tessera.operators import chunking, graph, hierarchy, paths, search, tables
 from tessera.operators.ranking import global_rank
-from tessera.session import load
+from tessera.session import load, shared_folder
+from tessera.sources import repo
 
 SEARCH_TEXT = "that thest inou andThe"
 NEEDLE = "exa12"
@@ -105,7 +108,7 @@ def _defs_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     use = load(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(load(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     use = use.select(F.col("l_suppkey").alias("s_suppkey"), F.col("p_brand").alias("name"), "l_quantity").groupBy("s_suppkey", "name").agg(F.max("l_quantity").alias("q"), F.count("*").alias("n"))
     named = use.join(files, "s_suppkey")
-    defs = named.where("q >= 50 AND s_suppkey % 10 = 0").select("path", "name", F.when(F.col("s_suppkey") % 20 == 0, "private").otherwise("public").alias("visibility"))
+    defs = named.where("q >= 50").select("path", "name", F.when(F.col("name").endswith("1"), "private").otherwise("public").alias("visibility"))
     return files.select("path"), defs, named.where("n >= 2").select("path", "name")
 
 
@@ -224,34 +227,35 @@ def lru_trim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("hash"))
-    stored = docs.where("doc_id % 3 = 0").select("hash", F.col("doc_id").alias("vector"))
+    docs = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "lang", F.sha2("text", 256).alias("hash"))
+    stored = docs.where("lang <> 'en'").select("hash", F.col("doc_id").alias("vector"))
     probed = tables.reused(docs, stored, ["hash"], "vector")
     return probed.select("doc_id", F.col("vector").isNotNull().alias("hit"), F.coalesce("vector", F.lit(-1)).alias("vector"))
 
 
 def change_detection(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("double").alias("mtime"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
-    stored = docs.where("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")).alias("mtime"), F.when(F.col("doc_id") % 10 == 0, "old").otherwise(F.col("hash")).alias("hash"))
-    return tables.changed_files(stored, docs.where("doc_id % 11 <> 0"))
+    """Documents as files of two listings: one language is new, another is gone, one was rewritten, one only touched."""
+    docs = load(spark, d, "documents").select("lang", F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("double").alias("mtime"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
+    moved = F.when(F.col("lang").isin("fr", "de"), F.col("mtime") - 1).otherwise(F.col("mtime"))
+    stored = docs.where("lang <> 'es'").select("path", moved.alias("mtime"), F.when(F.col("lang") == "fr", "old").otherwise(F.col("hash")).alias("hash"))
+    return tables.changed_files(stored, docs.where("lang <> 'en' OR mtime > 300"))
 
 
 def upsert_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    fresh = o.where("o_orderkey % 4 = 0").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 8 == 0, 0).otherwise(100000000)).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")
-    return tables.upserted(o, fresh, ["o_orderkey"])
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    fresh = o.where("o_orderstatus = 'P'").select((F.col("o_orderkey") + F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(100000000)).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")
+    return tables.upserted(o.drop("o_orderpriority"), fresh, ["o_orderkey"])
 
 
 def patch_rows(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    patch = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "PATCHED").alias("c_mktsegment"))
-    return tables.patched(c, patch, "c_custkey")
+    c = load(spark, d, "customer")
+    patch = c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.when(F.col("c_acctbal") < 0, "PATCHED").alias("c_mktsegment"))
+    return tables.patched(c.select("c_custkey", "c_name", "c_mktsegment"), patch, "c_custkey")
 
 
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
-    p = load(spark, d, "part").select("p_partkey", "p_brand")
-    have = p.where("p_partkey % 2 = 0")
-    return tables.insert_ignore(have, p.where("p_partkey % 3 = 0").select("p_partkey"), ["p_partkey"])
+    p = load(spark, d, "part")
+    return tables.insert_ignore(p.where("p_size <= 25").select("p_partkey", "p_brand"), p.where("p_brand LIKE 'Brand#1%'").select("p_partkey"), ["p_partkey"])
 
 
 def stale_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -260,12 +264,74 @@ def stale_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Edges to packages by physical path, only those that are still open; the first package of a path counts."""
+    """Customers as imports, by virtual or physical path, and nations as packages."""
+    nation = F.col("c_nationkey").cast("string")
+    virtual = F.when(F.col("c_mktsegment") != "BUILDING", F.concat(F.lit("v."), nation)).alias("virtual_path")
+    physical = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("p/"), nation)).alias("physical_path")
+    imports = load(spark, d, "customer").select("c_custkey", F.lit("main").alias("repo"), virtual, physical, (F.col("c_mktsegment") == "MACHINERY").alias("external"))
+    packages = load(spark, d, "nation").select(F.lit("main").alias("repo"), F.when(F.col("n_regionkey") < 3, F.concat(F.lit("v."), F.col("n_nationkey").cast("string"))).alias("virtual_path"), F.concat(F.lit("p/"), F.col("n_nationkey").cast("string")).alias("package_path"))
+    return repo.resolved_imports(imports, packages).select("c_custkey", "to_package")
+
+
+def method_adoption(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as classes of their region's folder, customers as methods that may belong to one there."""
     n = load(spark, d, "nation")
-    packages = n.groupBy(F.col("n_regionkey").alias("path")).agg(F.min("n_name").alias("package"))
-    edges = load(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lit(None)).otherwise(F.col("c_nationkey") % 7).alias("path"), F.when(F.col("c_custkey") % 5 == 0, "KNOWN").alias("target"))
-    joined = edges.join(packages, "path", "left")
-    return joined.select("c_custkey", F.coalesce("target", "package").alias("target"))
+    classes = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/types.go")).alias("path"), F.lit("class").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.col("n_name").alias("fqn"))
+    c = load(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    folder = F.when(F.col("c_mktsegment") == "FURNITURE", F.lit("elsewhere")).otherwise(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    methods = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(folder, F.lit("/use.go")).alias("path"), F.lit("method").alias("kind"), F.when(F.col("c_acctbal") < 0, F.lit("known")).alias("parent_id"), F.concat_ws(".", "n_name", "c_mktsegment", "c_name").alias("fqn"))
+    nodes = classes.unionByName(methods).withColumn("repo", F.lit("main"))
+    return repo.adopted(nodes).select("id", "parent_id")
+
+
+def reference_resolution(spark: SparkSession, d: str) -> DataFrame:
+    refs = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("main").alias("repo"), F.concat(F.lit("v."), F.col("l_suppkey").cast("string")).alias("to_package"))
+    packages = load(spark, d, "supplier").where("s_acctbal > 0").select(F.lit("main").alias("repo"), F.concat(F.lit("v."), F.col("s_suppkey").cast("string")).alias("virtual_path"), F.concat(F.lit("n/"), F.col("s_nationkey").cast("string")).alias("package_path"))
+    return repo.resolved_refs(refs, packages).select("l_orderkey", "l_linenumber", "package_path")
+
+
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same as bm25_topk from an inverted index that was built without one language and then refreshed with it."""
+    docs = load(spark, d, "documents").select("doc_id", "lang", "text")
+    index = search.TextIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.build(docs.where("lang <> 'en' OR lang IS NULL")).refresh(docs.where("lang = 'en'"))
+    return index.scores(SEARCH_TEXT).orderBy(F.col("bm25").desc(), F.col("doc_id").asc()).limit(20)
+
+
+def search_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Hits by the boost that is stored with them, and of one kind only."""
+    docs = load(spark, d, "documents").withColumn("kind", F.when(F.col("lang") == "en", "method").otherwise("class")).withColumn("search_boost", F.when(F.col("source") == "src1", 1.8))
+    return search.search(docs, search.SearchRequest(text=SEARCH_TEXT, kind="METHOD", limit=10)).select("doc_id", "source", "rrf")
+
+
+def children_without_literals(spark: SparkSession, d: str) -> DataFrame:
+    turns = _turns(spark, d).withColumn("kind", F.when(F.col("role") == "assistant", "literal").otherwise("method"))
+    return hierarchy.with_children(turns, turns, kind_col="kind")
+
+
+def ancestors_below_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Ancestors up to the first one that is a literal."""
+    turns = _turns(spark, d).withColumn("kind", F.when(F.col("turn") == 2, "literal").otherwise("method"))
+    return hierarchy.ancestors(turns, turns, kind_col="kind")
+
+
+def chunk_tiling(spark: SparkSession, d: str) -> DataFrame:
+    """What chunks of every text make up together: its characters, without gap or overlap, and the text itself."""
+    chunks = chunking.chunked(load(spark, d, "documents"), most=64, least=8)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: x["chunk"]), "")
+    return chunks.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.md5(joined).alias("digest"), (F.max("chunk_no") + 1 == F.count("*")).alias("numbered"))
+
+
+def vectors_of_a_width(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings").select("vec_id", fitted(F.col("embedding"), 100).alias("long"), fitted(F.col("embedding"), 5).alias("short"))
+    return e.select("vec_id", F.size("long").alias("n_long"), F.size("short").alias("n_short"), F.round(F.col("short")[4].cast("double"), 6).alias("fifth"), F.round(F.col("long")[99].cast("double"), 6).alias("last"))
+
+
+def module_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Import name, language and visibility of paths made of pages."""
+    path = F.concat(F.lit("pkg/"), F.regexp_replace("url", "[^a-z0-9]+", "_"), F.when(F.length("url") > 30, "/__init__.py").otherwise(".py"))
+    p = load(spark, d, "pages").select("page_id", path.alias("path"))
+    return p.select("page_id", X.dotted_module(F.col("path")).alias("module"), X.language_of(F.col("path"), {".py": "python", ".go": "go"}).alias("language"), X.go_visibility(X.basename(F.col("path"))).alias("visibility"))
 
 
 def suffix_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -317,7 +383,7 @@ QUERIES = {
         full_scan, scan_filter_project, point_lookup, multi_lookup, equality_filters, name_ignoring_case, in_subquery_semi, not_in_anti, left_join_null_fill, tri_state_null, fullouter_diff,
         code_tokens, word_tokens_stopwords, trigram_index, filename_complete, glob_list, virtual_paths, collect_defs_refs, edge_weights, pagerank_uniform, pagerank_seeded, prompt_mining, token_budget_prefix,
         fts_needle_weights, bm25_topk, bm25_rank, cosine_topk, hybrid_search_rrf, rrf_repo_boost, search_unranked, hierarchy_children, ancestor_chain, topk_offset_overfetch, longest_prefix_parent,
-        lru_trim, cache_hit_miss, change_detection, upsert_snapshot, patch_rows, insert_ignore, stale_rows, import_resolution, suffix_stats, sliding_token_windows, mean_pool_vectors, name_properties, vector_pairs,
+        lru_trim, cache_hit_miss, change_detection, upsert_snapshot, patch_rows, insert_ignore, stale_rows, import_resolution, method_adoption, reference_resolution, bm25_index_topk, search_boosted, children_without_literals, ancestors_below_literals, chunk_tiling, vectors_of_a_width, module_paths, suffix_stats, sliding_token_windows, mean_pool_vectors, name_properties, vector_pairs,
         chunk_recursive, html_section_nodes,
     )
 }

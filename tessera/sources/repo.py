@@ -6,15 +6,23 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.text import code_tokens, weighted_needle
 from tessera.lang import SUFFIXES, parse
 from tessera.operators import hierarchy, tables
+from tessera.session import stored
 from tessera.sources.ignore import IgnoreRules
 
-IGNORED_FOLDERS = [".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", ".idea", ".vscode", "dist", "build", "target"]
+#: What tools leave behind, version control first.
+IGNORED_FOLDERS = ["CVS", ".bzr", ".git", ".hg", ".svn", ".cache", ".eggs", ".gradle", ".idea", ".mypy_cache", ".nox", ".pytest_cache", ".ruff_cache", ".tox", ".venv", ".vscode", "__pycache__", "bower_components", "build", "dist", "node_modules", "target", "venv"]
+#: Bytes of files that one task reads.
+TASK_BYTES = 32 << 20
 KIND_BOOSTS = {"function": 2.0, "method": 1.8, "class": 1.5, "literal": 0.6}
 FIELD_WEIGHTS = {"name": 3, "file_path": 2, "body": 1, "docstring": 1, "fqn": 1}
 
@@ -28,58 +36,69 @@ IMPORTS = "repo string, path string, ordinal int, from_package string, raw strin
 REFS = "repo string, path string, ordinal int, name string, raw string, type string, to_package string"
 
 
-def relative(path: Column, root: str) -> Column:
-    """What follows the root in a path with a scheme."""
-    return F.regexp_replace(path, "^(?:file:)?/*" + _escaped(root.removeprefix("file:").strip("/")) + "/", "")
+PACKAGES = "repo string, path string, virtual_path string, package_path string"
 
 
-def _escaped(text: str) -> str:
-    return "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in text)
+def parsed_schema() -> T.StructType:
+    """A file with all that is found in it; needs a session."""
+    lists = [T.StructField(name, T.ArrayType(T.StructType.fromDDL(ddl))) for name, ddl in (("nodes", NODES), ("imports", IMPORTS), ("refs", REFS))]
+    return T.StructType([T.StructField("path", T.StringType()), T.StructField("package", T.StringType()), *lists])
 
 
-def ignore_files(spark: SparkSession, root: str, files: DataFrame) -> list[tuple[str, str]]:
-    """(folder, content) of the ignore files in the folders of `files` and above."""
-    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    folders = {""}
-    for (name,) in files.select(folder).distinct().collect():
-        parts = name.split("/")
-        folders |= {"/".join(parts[:k]) for k in range(1, len(parts) + 1)}
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for name in sorted(folders):
-        path = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (root.rstrip("/"), name, ".gitignore") if x))
-        if fs.exists(path):
-            stream = fs.open(path)
-            try:
-                found.append((name, bytes(stream.readAllBytes()).decode("utf-8", "replace")))
-            finally:
-                stream.close()
-    return found
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's view of a folder, and its path there."""
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
+
+
+def walked(root: str, ignored_folders: list[str] = IGNORED_FOLDERS) -> tuple[list[tuple[str, float, int]], list[tuple[str, str]]]:
+    """(path, mtime, size) of every file below the root, whatever its name, and (folder, content) of the ignore files; ignored folders aren't entered."""
+    fs, top = filesystem(root)
+    files, rules, todo = [], [], [""]
+    for folder in todo:
+        for info in sorted(fs.get_file_info(pafs.FileSelector(f"{top}/{folder}" if folder else top)), key=lambda x: x.base_name):
+            path = f"{folder}/{info.base_name}" if folder else info.base_name
+            if info.type == pafs.FileType.Directory:
+                if info.base_name not in ignored_folders:
+                    todo.append(path)
+            elif info.type == pafs.FileType.File:
+                files.append((path, info.mtime_ns / 1e9, info.size))
+                if info.base_name == ".gitignore":
+                    with fs.open_input_stream(info.path) as source:
+                        rules.append((folder, source.readall().decode("utf-8", "replace")))
+    return files, rules
 
 
 def listed(spark: SparkSession, root: str, paths: list[str] | None = None, ignored_folders: list[str] = IGNORED_FOLDERS) -> DataFrame:
-    """(path, mtime, size, content) of the files that aren't ignored. The content is read only if it is asked for.
+    """(path, mtime, size) of the files that aren't ignored, those whose names begin with a dot or an underscore as well.
 
-    Rules of ignore files anywhere in the tree are compiled on the driver; they
-    are few and small. `paths` restricts the listing to those files. Files whose
-    names begin with a dot or an underscore are hidden, as for any Spark source.
+    The tree is listed on the driver, where the rules of its ignore files are
+    applied; contents are read by tasks, see `with_content`. `paths` restricts
+    the listing to those files.
     """
-    where = [f"{root.rstrip('/')}/{p}" for p in paths] if paths is not None else root
-    if paths is not None and not paths:
-        return spark.createDataFrame([], "path string, mtime double, size long, content binary")
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where)
-    files = every.select(relative(F.col("path"), root).alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), "content")
-    rules = IgnoreRules(ignore_files(spark, root, files))
-    kept = files.where(~F.arrays_overlap(F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), F.array(*[F.lit(x) for x in ignored_folders])))
-    if rules.rules:
+    files, found = walked(root, ignored_folders)
+    rules = IgnoreRules(found)
+    wanted = None if paths is None else set(paths)
+    kept = [f for f in files if (wanted is None or f[0] in wanted) and not rules.ignored(f[0])]
+    return spark.createDataFrame(kept, "path string, mtime double, size long")
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """files (path, ...) with content, read by as many tasks as their bytes ask for. Files that have gone since have null."""
+    total = files.agg(F.sum("size")).first()[0] or 0
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
 
-        @F.pandas_udf("boolean")
-        def hidden(path: pd.Series) -> pd.Series:
-            return path.map(rules.ignored)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(root)
+        for b in batches:
+            for k in range(b.num_rows):  # a file each, they may be long
+                try:
+                    with fs.open_input_stream(f"{top}/{b.column('path')[k].as_py()}") as source:
+                        content = source.readall()
+                except FileNotFoundError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, pa.array([content], pa.binary())], [*b.schema.names, "content"])
 
-        kept = kept.where(~hidden("path"))
-    return kept
+    return files.repartition(max(1, -(-total // TASK_BYTES)), "path").mapInArrow(run, schema)
 
 
 def snapshot(files: DataFrame, suffixes: dict[str, str] = SUFFIXES) -> DataFrame:
@@ -89,50 +108,43 @@ def snapshot(files: DataFrame, suffixes: dict[str, str] = SUFFIXES) -> DataFrame
     return files.select("path", "mtime", F.sha2("content", 256).alias("hash"), text.language_of(F.col("path"), suffixes).alias("language"))
 
 
-def parsed(files: DataFrame, repo: str = "main") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, imports and references of files (path, content); each file is parsed once for each table that is asked for.
+def parsed(files: DataFrame, repo: str = "main") -> dict[str, DataFrame]:
+    """Nodes, imports, refs and packages of files (path, content). Each file is parsed once; the tables are views of one stored result.
 
     Identifiers follow from repository, path and place, so a second run gives the same ones.
     """
-    some = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(sorted(SUFFIXES))).select("path", "content")
-
-    def rows(kind: str):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import hashlib
-
-            for frame in frames:
-                out = []
-                for path, content in zip(frame["path"], frame["content"], strict=True):
-                    result = parse(path, bytes(content))
-                    if kind == "nodes":
-                        ids = [hashlib.sha256(f"{repo}\0{path}\0{k}\0{n.start_byte}\0{n.kind}\0{n.name}".encode()).hexdigest()[:32] for k, n in enumerate(result.nodes)]
-                        for k, n in enumerate(result.nodes):
-                            row = asdict(n)
-                            parent = row.pop("parent")
-                            row["parameters"] = [{"name": p.get("name"), "type": p.get("type"), "default": p.get("default")} for p in n.parameters]
-                            out.append({**row, "id": ids[k], "repo": repo, "path": path, "ordinal": k, "parent_id": None if parent is None else ids[parent]})
-                    elif kind == "imports":
-                        out += [{**asdict(i), "repo": repo, "path": path, "ordinal": k, "from_package": result.package} for k, i in enumerate(result.imports)]
-                    else:
-                        out += [{**asdict(r), "repo": repo, "path": path, "ordinal": k} for k, r in enumerate(result.refs)]
-                names = [c.strip().split(" ")[0] for c in _split_schema({"nodes": NODES, "imports": IMPORTS, "refs": REFS}[kind])]
-                yield pd.DataFrame(out, columns=names)
-
-        return run
-
-    return some.mapInPandas(rows("nodes"), NODES), some.mapInPandas(rows("imports"), IMPORTS), some.mapInPandas(rows("refs"), REFS)
-
-
-def _split_schema(schema: str) -> list[str]:
-    out, depth, held = [], 0, ""
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            out.append(held)
-            held = ""
-        else:
-            held += c
-    return [*out, held]
+    some = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(sorted(SUFFIXES))).where("content IS NOT NULL").select("path", "content")
+    schema = parsed_schema()
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist([_rows_of(repo, path, content)], schema=arrow)
+
+    once = stored(some.mapInArrow(run, schema), "parsed")
+    out = {kind: once.select(F.explode(kind).alias("r")).select("r.*") for kind in ("nodes", "imports", "refs")}
+    # a package is found by the name that imports give it, and by its folder, or its file without suffix
+    package = once.where("package IS NOT NULL").select(F.lit(repo).alias("repo"), "path", F.col("package").alias("virtual_path"), F.regexp_replace("path", r"(/__init__)?\.[^./]+$", "").alias("own"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
+    named_by_file = F.col("path").rlike(r"\.py$")
+    out["packages"] = package.select("repo", "path", "virtual_path", F.when(named_by_file, F.col("own")).otherwise(F.col("folder")).alias("package_path"))
+    return out
+
+
+def _rows_of(repo: str, path: str, content: bytes) -> dict:
+    import hashlib
+
+    result = parse(path, content)
+    ids = [hashlib.sha256(f"{repo}\0{path}\0{k}\0{n.start_byte}\0{n.kind}\0{n.name}".encode()).hexdigest()[:32] for k, n in enumerate(result.nodes)]
+    nodes = []
+    for k, n in enumerate(result.nodes):
+        row = asdict(n)
+        parent = row.pop("parent")
+        row["parameters"] = [{"name": p.get("name"), "type": p.get("type"), "default": p.get("default")} for p in n.parameters]
+        nodes.append({**row, "id": ids[k], "repo": repo, "path": path, "ordinal": k, "parent_id": None if parent is None else ids[parent]})
+    imports = [{**asdict(i), "repo": repo, "path": path, "ordinal": k, "from_package": result.package} for k, i in enumerate(result.imports)]
+    refs = [{**asdict(r), "repo": repo, "path": path, "ordinal": k} for k, r in enumerate(result.refs)]
+    return {"path": path, "package": result.package, "nodes": nodes, "imports": imports, "refs": refs}
 
 
 def with_search_columns(nodes: DataFrame, boosts: dict[str, float] = KIND_BOOSTS, weights: dict[str, int] = FIELD_WEIGHTS) -> DataFrame:
@@ -152,6 +164,12 @@ def resolved_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
     return joined.withColumn("to_package", F.coalesce("_v", F.when(~F.col("external"), F.col("_p")))).drop("_v", "_p")
 
 
+def resolved_refs(refs: DataFrame, packages: DataFrame) -> DataFrame:
+    """refs with package_path: the package that the name they are bound to leads to, if it is in the repository."""
+    by_name = packages.groupBy("repo", F.col("virtual_path").alias("to_package")).agg(F.min("package_path").alias("package_path"))
+    return refs.join(by_name, ["repo", "to_package"], "left")
+
+
 def adopted(nodes: DataFrame) -> DataFrame:
     """nodes in which methods without a parent have the class or interface of their package whose qualified name is the longest prefix of theirs."""
     package = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
@@ -166,29 +184,34 @@ def adopted(nodes: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, root: str, catalog: tables.Catalog, repo: str = "main", paths: list[str] | None = None) -> dict[str, int]:
-    """Bring the catalog's files, nodes, imports and refs up to date with the tree; only new and changed files are parsed.
+    """Bring the catalog's files, nodes, imports, refs and packages up to date with the tree; only new and changed files are parsed.
 
-    Files that are gone are removed on a full scan, not if `paths` is given.
+    Methods find their class, and imports and references their package, over the
+    whole repository, as either may be in a file that didn't change. All tables
+    are published together. Files that are gone are removed on a full scan, not
+    if `paths` is given.
     """
-    found = listed(spark, root, paths)
-    now = snapshot(found).withColumn("repo", F.lit(repo))
+    found = with_content(listed(spark, root, paths), root)
+    now = stored(snapshot(found).withColumn("repo", F.lit(repo)), "snapshot")
     have = catalog.versions("files")
-    stored = catalog.read("files") if have else now.limit(0)
-    change = tables.changed_files(stored.where(F.col("repo") == repo), now)
+    before = catalog.read("files") if have else now.limit(0)
+    change = tables.changed_files(before.where(F.col("repo") == repo), now)
     if paths is not None:
         change = change.where("change <> 'gone'")
-    change = change.cache()
+    change = stored(change, "change")
     counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
     redo = change.where(F.col("change").isin("new", "changed")).select("path")
     gone = change.where(F.col("change").isin("new", "changed", "gone")).select("path", F.lit(repo).alias("repo"))
-    fresh = dict(zip(("nodes", "imports", "refs"), parsed(found.join(redo, "path", "left_semi"), repo), strict=True))
+    fresh = parsed(with_content(listed(spark, root, paths).join(redo, "path", "left_semi"), root), repo)
     fresh["nodes"] = with_search_columns(fresh["nodes"])
     fresh["files"] = now.join(redo, "path", "left_semi")
-    for name in ("nodes", "imports", "refs", "files"):
-        old = tables.without(catalog.read(name), gone, ["path", "repo"]).select(*catalog.read(name).columns) if have else None
-        table = fresh[name] if old is None else old.unionByName(fresh[name])
-        catalog.write(name, table)
-    change.unpersist()
+    whole = {}
+    for name, table in fresh.items():
+        old = tables.without(catalog.read(name).select(*table.columns), gone, ["path", "repo"]) if have else None
+        whole[name] = table if old is None else old.unionByName(table)
+    whole["nodes"] = adopted(whole["nodes"])
+    imports = resolved_imports(whole["imports"], whole["packages"])
+    whole["imports_resolved"] = imports.withColumn("external", F.col("external") & F.col("to_package").isNull())
+    whole["refs_resolved"] = resolved_refs(whole["refs"], whole["packages"])
+    catalog.publish(whole)
     return counts
-
-

@@ -6,12 +6,13 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import render
 from tessera.operators import graph, paths, search, summary
 from tessera.operators.tables import Catalog
+from tessera.sources.repo import with_content
 
 TOOLS: dict[str, Tool] = {}
 
@@ -53,17 +54,16 @@ class Project:
         return result if isinstance(result, str) else render.as_json(result) if as_json else render.as_text(result)
 
     def content(self, path: str) -> bytes | None:
-        if not self.catalog.read("files").where(F.col("path") == path).take(1):
-            return None
-        rows = self.spark.read.format("binaryFile").load(f"{self.root.rstrip('/')}/{path}").select("content").take(1)
-        return bytes(rows[0][0]) if rows else None
+        rows = self._contents([path]).take(1)
+        return None if not rows or rows[0].content is None else bytes(rows[0].content)
 
-    def summaries(self, names: list[str], mode: str) -> dict[str, str]:
-        contents = self.spark.read.format("binaryFile").load([f"{self.root.rstrip('/')}/{p}" for p in names]) if names and mode == "source" else None
-        if contents is not None:
-            from tessera.sources.repo import relative
+    def _contents(self, names: list[str]) -> DataFrame:
+        """(path, content) of known files."""
+        known = self.catalog.read("files").where(F.col("path").isin(names)).select("path", F.lit(0).cast("long").alias("size"))
+        return with_content(known, self.root).select("path", "content")
 
-            contents = contents.select(relative(F.col("path"), self.root).alias("path"), "content")
+    def summaries(self, names: list[str], mode: str) -> dict[str, str]:
+        contents = self._contents(names) if names and mode == "source" else None
         found = summary.file_summaries(self.catalog.read("files"), self.catalog.read("nodes"), names, summary.Mode(mode), contents)
         return {r.path: r.summary for r in found.collect()}
 

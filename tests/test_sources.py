@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.lang import language_of, parse
 from tessera.operators.tables import Catalog
@@ -106,7 +107,7 @@ def test_ignore_rules():
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"
-    for name, text in {".gitignore": "*.log\n", "a/one.py": "import a.two\nX = 1\ndef foo(): pass\n", "a/two.py": "def bar(): pass\n", "b/g.go": GO, "noise.log": "x", "node_modules/z.py": "x = 1\n", "b/.gitignore": "gen.py\n", "b/gen.py": "y = 1\n"}.items():
+    for name, text in {".gitignore": "*.log\n", "a/one.py": "import a.two\nX = 1\ndef foo(): pass\n", "a/two.py": "def bar(): pass\n", "b/g.go": GO, "a/__init__.py": "from a.two import bar\n", "a/_private.py": "Z = 2\n", "b/h.go": "package geo\n\nfunc (s *Square) Area() float64 {\n\treturn 1\n}\n", "b/i.go": "package geo\n\ntype Square struct {\n\tside int\n}\n", ".hidden.md": "# Title\n", "noise.log": "x", "node_modules/z.py": "x = 1\n", "b/.gitignore": "gen.py\n", "b/gen.py": "y = 1\n"}.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
@@ -115,19 +116,26 @@ def tree(tmp_path):
 
 def test_ingest_follows_the_tree(spark, tree, tmp_path):
     root, catalog = f"file://{tree}", Catalog(spark, f"file://{tmp_path}/cat")
-    assert repo.ingest(spark, root, catalog) == {"new": 3}
-    assert sorted(r.path for r in catalog.read("files").collect()) == ["a/one.py", "a/two.py", "b/g.go"]
+    tree_files = [".gitignore", ".hidden.md", "a/__init__.py", "a/_private.py", "a/one.py", "a/two.py", "b/.gitignore", "b/g.go", "b/h.go", "b/i.go"]
+    assert repo.ingest(spark, root, catalog) == {"new": len(tree_files)}
+    assert sorted(r.path for r in catalog.read("files").collect()) == tree_files
+    parents = lambda: {r.name: r.above for r in catalog.read("nodes").alias("n").join(catalog.read("nodes").selectExpr("id AS up", "name AS above"), F.col("parent_id") == F.col("up"), "left").where("kind = 'method'").collect()}
+    assert parents()["Area"] == "Square"  # its struct is in another file
+    imports = {(r.path, r.virtual_path): (r.to_package, r.external) for r in catalog.read("imports_resolved").collect()}
+    assert imports[("a/__init__.py", "a.two")] == ("a/two", False) and imports[("b/g.go", "fmt")] == (None, True)
+    assert {r.to_package: r.package_path for r in catalog.read("refs_resolved").where("to_package IS NOT NULL").collect()}["fmt"] is None
     names = lambda: {r.name for r in catalog.read("nodes").where("path = 'a/one.py' AND name IS NOT NULL").collect()}
     assert names() == {"X", "foo"}
     foo = catalog.read("nodes").where("name = 'foo'").first()
     assert foo.search_boost == 2.0 and "foo" in foo.fts_needle.split()
-    assert repo.ingest(spark, root, catalog) == {"same": 3}
+    assert repo.ingest(spark, root, catalog) == {"same": len(tree_files)}
     (tree / "a/one.py").write_text("def foo(): return 1\n")
     (tree / "a/two.py").unlink()
     assert repo.ingest(spark, root, catalog, paths=["a/one.py"]) == {"changed": 1}
-    assert names() == {"foo"} and catalog.read("files").count() == 3
+    assert names() == {"foo"} and catalog.read("files").count() == len(tree_files) and parents()["Area"] == "Square"
     assert repo.ingest(spark, root, catalog)["gone"] == 1
-    assert catalog.read("imports").where("path LIKE 'a/%'").count() == 0 and catalog.read("nodes").where("path = 'a/two.py'").count() == 0
+    left = catalog.read("imports_resolved").where("path LIKE 'a/%'").collect()
+    assert [(r.path, r.to_package, r.external) for r in left] == [("a/__init__.py", None, True)] and catalog.read("nodes").where("path = 'a/two.py'").count() == 0
 
 
 def test_methods_find_their_class(spark):
