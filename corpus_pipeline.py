@@ -4,6 +4,15 @@ Each stage takes the table that the one before it wrote. Documents whose
 language is unclear go; one document of each group of near copies stays; those
 that hold a test item go; the rest are repeated or thinned out to the target
 mix; and all are shuffled into shards.
+
+Defined results. Rows whose text is null, empty or without letters go in the
+first stage, as their language is unclear. A null doc_id is kept like any other
+and comes after all others where one of a group is chosen; of rows that are
+equal one stays. Ties between languages are unclear, ties between near copies
+go to the smallest doc_id, then the text's hash. Very long texts are read whole.
+Other columns, whatever their names, pass through all stages; `shard` and
+`position` get an underscore if these names are taken. A table without rows
+gives no rows.
 """
 
 from __future__ import annotations

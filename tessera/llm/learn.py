@@ -1,8 +1,10 @@
 """Small models fitted on the driver from features that executors compute.
 
 Training reads a bounded sample of labelled rows, chosen by the hash of the
-identifier and so the same on each run; features have a fixed width, so long
-texts cost the driver no more than short ones. Scoring reads every row.
+identifier and so the same on each run, one document for each identifier. Their
+features come to the driver: of fixed width for language ID; for mixing the
+distinct words of a text and for quality all its passages, so there a long text
+costs more, and the bound is on rows. Scoring reads every row.
 """
 
 from __future__ import annotations
@@ -31,6 +33,12 @@ def sample_by_class(rows: DataFrame, label: str, bound: int, *key: str) -> DataF
     return named.where(hash_order(*key) < cut)
 
 
+def one_each(rows: DataFrame, *key: str) -> DataFrame:
+    """One of the rows with equal keys, the one with the smallest hash of its text; rows are a bounded sample."""
+    others = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*others), F.xxhash64("text")).alias("r")).select(*key, "r.*")
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of one logistic regression per column of y (0/1), by accelerated gradient descent on all rows."""
     n, width = x.shape

@@ -18,7 +18,8 @@ gradients so far, so rates are never shuffled or stored between iterations.
 
 Domains are what `labels` can tell: "toxic" where toxic = 1, else "good" where
 quality = 1, else "poor". At most `bound` labelled documents are used to fit,
-taken evenly over the domains by the hash of doc_id.
+taken evenly over the domains by the hash of doc_id, and of these at most FEATURES
+words that tell the domains apart.
 
 Defined results. One row for each input row, repeated ones included; equal
 texts get equal rates. Null and empty texts have no tokens, the classifier's
@@ -40,8 +41,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import beside, blocks
 from tessera.llm.cluster import free_name, lean, small_batches, written
-from tessera.llm.learn import fit_softmax, hash_order, sample_by_class, softmax
+from tessera.llm.learn import fit_softmax, one_each, sample_by_class, softmax
 from tessera.llm.textcore import SHAPES, Lookup, Words, chunks, shapes, string_buffer
 
 DOMAINS = ("good", "poor", "toxic")
@@ -118,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Classifier:
     small_batches(docs.sparkSession)
     # at most about `bound` rows, by construction of the sample
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("named_id")).select("named_id", "domain", "text")
+    rows = one_each(rows, "named_id", "domain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -331,23 +334,26 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, scale: float = SCALE, bound: int = BOUND) -> DataFrame:
-    """The mix itself: each row of docs as often as its rate says, the fraction decided by the hash of doc_id and text. Columns as in docs."""
-    small_batches(docs.sparkSession)
-    model = calibrated(docs, labels, bound)
-    plan = solve(written(posterior_table(docs, model, "doc_id"), "mixing"), targets, scale)
-    shared = docs.sparkSession.sparkContext.broadcast((model, plan))
-    coin = free_name(docs, "coin")
-    tossed = docs.withColumn(coin, hash_order("doc_id", "text") / F.lit(float(1 << 30)))
+    """The mix itself: each row of docs as often as its rate says, the fraction decided by the hash of doc_id, text and the row's number in its file, so that copies aren't all kept or all dropped. Columns as in docs."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    file, row, coin = (free_name(docs, n) for n in ("in_file", "in_row", "coin"))
+    found = beside.placed(docs, file, row)
+    narrow = posterior_table(found.select(F.col(file).alias("file"), F.col(row).alias("row"), "text"), calibrated(docs, labels, bound), "file", "row")
+    side = beside.lay(narrow, "mixing", blocks.Layout(blocks.text_bytes(docs)).blocks)
+    plan = solve(spark.read.schema(narrow.schema).parquet(side.path), targets, scale)
+    tossed = found.withColumn(coin, F.pmod(F.xxhash64("doc_id", "text", row), F.lit(1 << 30)) / F.lit(float(1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, plan = shared.value
-        for b in chunks(batches):
-            p, _ = model.posteriors(b.column("text"))
-            rate = plan.rates(p)
-            whole = np.floor(rate)
-            times = (whole + (b.column(coin).to_numpy() < rate - whole)).astype(np.int64)
-            out = b.take(pa.array(np.repeat(np.arange(b.num_rows), times)))
-            yield out.drop_columns([coin])
+        at = None
+        for f, window, b in beside.windows(batches, file=file, row=row):
+            if at != (f, window):
+                at, got = (f, window), side.read(f, window)
+                rows, rate = got.column("row").to_numpy(), plan.rates(np.stack([got.column(f"p_{d}").to_numpy() for d in DOMAINS], 1))
+            mine = rate[np.searchsorted(rows, b.column(row).to_numpy())]
+            whole = np.floor(mine)
+            times = (whole + (b.column(coin).to_numpy() < mine - whole)).astype(np.int64)
+            yield b.take(pa.array(np.repeat(np.arange(b.num_rows), times))).drop_columns([file, row, coin])
 
     return tossed.mapInArrow(lean(run), docs.schema)
 

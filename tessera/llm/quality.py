@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.cluster import small_batches
-from tessera.llm.learn import sample_by_class
+from tessera.llm.learn import one_each, sample_by_class
 from tessera.llm.textcore import _WORD, SHAPES, Words, chunks, shapes, string_buffer
 
 PASSAGE = 48
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     chosen = sample_by_class(named, "quality", bound, "named_id")
     # at most about `bound` rows, by construction of the sample
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("named_id")).select("named_id", "quality", "text")
+    rows = one_each(rows, "named_id", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):

@@ -350,10 +350,3 @@ def test_pipeline_stages(spark, documents):
     got = corpus_pipeline.run(spark, SF)
     key = lambda r: (r.doc_id, r.shard, r.position)
     assert sorted(map(key, got.collect())) == sorted(map(key, docs.collect()))
-
-
-def test_pipeline_of_odd_rows(spark, odd, empty):
-    for docs in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES[:4]:
-            assert stage(spark, docs, SF).columns == docs.columns
-        corpus_pipeline.STAGES[4][1](spark, docs, SF).count()
