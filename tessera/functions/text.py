@@ -9,13 +9,19 @@ WORD = r"[A-Za-z0-9]+"
 #: Where a compound word is parted: acronym before a capitalised word, small letter or digit before a capital, letter before digit, digit before letter.
 PARTS = r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 
+#: Control flow and literals that most languages share.
+_FLOW = "if else for return import break continue true false".split()
+_BRACES = [*_FLOW, *"switch case default const".split()]
+_OBJECTS = [*_BRACES, *"while do try catch finally throw class extends new this super null void instanceof".split()]
+_SCRIPT = [*_OBJECTS, *"function let var typeof in with undefined nan infinity export".split()]
+
 #: Words of a language's syntax, which carry no meaning in a search.
 STOP_WORDS = {
-    "python": "def class self cls return import from as if elif else for while try except finally with lambda yield pass break continue none true false and or not in is".split(),
-    "go": "func package import return var const type struct interface map chan go defer if else for range switch case default break continue nil true false".split(),
-    "java": "public private protected static final void class interface enum extends implements import package return new this super if else for while try catch finally throw throws null true false".split(),
-    "javascript": "function const let var return import export from default class extends new this if else for while try catch finally async await null undefined true false".split(),
-    "typescript": "function const let var return import export from default class interface type enum extends implements new this if else for while try catch finally async await null undefined true false string number boolean any void".split(),
+    "python": sorted({*_FLOW, *"def class self del pass raise with as from elif while try except finally and or not in is none".split()}),
+    "go": sorted({*_BRACES, *"func package type struct interface map range nil var".split()}),
+    "java": sorted({*_OBJECTS, *"package implements interface enum throws public private protected static final abstract native synchronized transient volatile strictfp assert goto".split(), *"boolean byte char short int long float double".split()}),
+    "javascript": sorted(_SCRIPT),
+    "typescript": sorted({*_SCRIPT, *"public private protected static readonly abstract override declare namespace module as asserts".split()}),
 }
 
 
@@ -71,6 +77,13 @@ def plain_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
 TOKENIZERS = {"noop": plain_tokens, "word": words, "code": code_tokens}
 
 
+def auto_tokens(text: Column, language: Column, tokenizer: str = "code") -> Column:
+    """Tokens of a named tokenizer without the words of the row's language; a language without such words loses none."""
+    stop = F.create_map(*[x for name, some in STOP_WORDS.items() for x in (F.lit(name), F.array(*map(F.lit, some)))])
+    mine = F.coalesce(F.try_element_at(stop, F.coalesce(language, F.lit(""))), F.array().cast("array<string>"))
+    return F.filter(TOKENIZERS[tokenizer](text), lambda t: ~F.array_contains(mine, F.lower(t)))
+
+
 def weighted_needle(fields: list[tuple[Column, int]], tokenizer=code_tokens, stop_words: list[str] | None = None) -> Column:
     """Tokens of all fields, those of a field as often as its weight says, joined by spaces. Null fields add nothing."""
     parts = [F.flatten(F.array_repeat(F.coalesce(tokenizer(c, stop_words), F.array().cast("array<string>")), n)) for c, n in fields if n > 0]

@@ -36,23 +36,41 @@ def name_weights(defs: DataFrame, refs: DataFrame) -> DataFrame:
     return both.select("name", "n_defs", "n_refs", F.when(weight > 0, weight).otherwise(F.lit(LEAST_WEIGHT)).alias("weight"))
 
 
-def code_graph(files: DataFrame, defs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Edges (src, dst, weight): files to the names they refer to and define, names to the files that define them; a node without a way out leads to itself."""
+def symbol_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Edges (name, src, dst, weight): files to the names they refer to and define, names to the files that define them. Those of a name follow from its own definitions and references."""
     weights = name_weights(defs, refs).select("name", "weight")
     symbol = F.concat(F.lit(SYMBOL), F.col("name"))
     r = refs.select("path", "name").distinct().join(weights, "name")
     d = defs.select("path", "name").distinct().join(weights, "name")
     edges = (
-        r.select(F.col("path").alias("src"), symbol.alias("dst"), (F.col("weight") * F.lit(REF_WEIGHT)).alias("weight"))
-        .unionByName(d.select(F.col("path").alias("src"), symbol.alias("dst"), (F.col("weight") * F.lit(DEF_WEIGHT)).alias("weight")))
-        .unionByName(d.select(symbol.alias("src"), F.col("path").alias("dst"), (F.col("weight") * F.lit(DEF_WEIGHT)).alias("weight")))
+        r.select("name", F.col("path").alias("src"), symbol.alias("dst"), (F.col("weight") * F.lit(REF_WEIGHT)).alias("weight"))
+        .unionByName(d.select("name", F.col("path").alias("src"), symbol.alias("dst"), (F.col("weight") * F.lit(DEF_WEIGHT)).alias("weight")))
+        .unionByName(d.select("name", symbol.alias("src"), F.col("path").alias("dst"), (F.col("weight") * F.lit(DEF_WEIGHT)).alias("weight")))
     )
-    merged = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return edges.groupBy("name", "src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def refreshed_edges(edges: DataFrame, defs: DataFrame, refs: DataFrame, changed: DataFrame) -> DataFrame:
+    """symbol_edges after the files in changed (path) have changed, from those before: only names that these files had or have are computed anew."""
+    had = edges.join(changed.select(F.col("path").alias("src")), "src", "left_semi").select("name").union(edges.join(changed.select(F.col("path").alias("dst")), "dst", "left_semi").select("name"))
+    have = defs.select("path", "name").union(refs.select("path", "name")).join(changed.select("path"), "path", "left_semi").select("name")
+    names = had.union(have).distinct()
+    return edges.join(names, "name", "left_anti").unionByName(symbol_edges(defs.join(names, "name", "left_semi"), refs.join(names, "name", "left_semi")).select(*edges.columns))
+
+
+def with_loops(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight), with one from each node without a way out to itself."""
+    merged = edges.select("src", "dst", "weight")
     nodes = files.select(F.col("path").alias("src")).union(merged.select("dst")).distinct()
     ends = nodes.join(merged.select("src").distinct(), "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(SELF_WEIGHT).alias("weight"))
     return merged.unionByName(ends)
 
 
+def code_graph(files: DataFrame, defs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight): files to the names they refer to and define, names to the files that define them; a node without a way out leads to itself."""
+    return with_loops(files, symbol_edges(defs, refs))
+
+
 def pagerank(edges: DataFrame, seeds: list[str] | None = None, restart: float = RESTART, rounds: int = 20, cut_every: int = 10) -> DataFrame:
     """(node, score) of a random walk with restart, at the seeds or anywhere. Seeds that are not in the graph don't count; if none is, ValueError."""
     total = F.sum("weight").over(Window.partitionBy("src"))

@@ -99,6 +99,9 @@ class TextIndex:
             return None
         return max((r.value for r in rows), default=None)
 
+    def built(self) -> bool:
+        return self._current() is not None
+
     def _postings(self, docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
         terms = F.array_remove(F.split(_joined_terms(self.tokenizer, F.col(text_col)), " "), "")
         rows = docs.where(F.col(text_col).isNotNull()).select(F.col(self.id_col), terms.alias("_terms"), F.size(terms).cast("double").alias("length"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,3 +178,15 @@ class Catalog:
         if not have:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.root}/{name}/v{version or have[-1]}")
+
+    def migrate(self, steps: list[tuple[str, Callable[[Catalog], None]]]) -> list[str]:
+        """Run the named steps that haven't run on this catalog, in order of name, and record each; the names of those that ran."""
+        done = {r.name for r in self.read("migrations").collect()} if self.versions("migrations") else set()
+        ran = []
+        for name, step in sorted(steps, key=lambda s: s[0]):
+            if name in done or name in ran:
+                continue
+            step(self)
+            ran.append(name)
+            self.write("migrations", self.spark.createDataFrame([(n,) for n in sorted(done.union(ran))], "name string").coalesce(1))
+        return ran

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.functions.text import code_tokens, weighted_needle
+from tessera.functions.text import auto_tokens, language_of, weighted_needle
 from tessera.lang import SUFFIXES, parse
 from tessera.operators import hierarchy, tables
 from tessera.session import stored
@@ -103,9 +103,7 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
 
 def snapshot(files: DataFrame, suffixes: dict[str, str] = SUFFIXES) -> DataFrame:
     """(path, mtime, hash, language) of listed files."""
-    from tessera.functions import text
-
-    return files.select("path", "mtime", F.sha2("content", 256).alias("hash"), text.language_of(F.col("path"), suffixes).alias("language"))
+    return files.select("path", "mtime", F.sha2("content", 256).alias("hash"), language_of(F.col("path"), suffixes).alias("language"))
 
 
 def parsed(files: DataFrame, repo: str = "main") -> dict[str, DataFrame]:
@@ -148,12 +146,34 @@ def _rows_of(repo: str, path: str, content: bytes) -> dict:
 
 
 def with_search_columns(nodes: DataFrame, boosts: dict[str, float] = KIND_BOOSTS, weights: dict[str, int] = FIELD_WEIGHTS) -> DataFrame:
-    """nodes with fts_needle and search_boost. A signature takes the place of the name."""
+    """nodes with fts_needle, without the words of their language's syntax, and search_boost. A signature takes the place of the name."""
     source = {"name": F.coalesce("signature", "name"), "file_path": F.col("path"), "body": F.col("body"), "docstring": F.col("docstring"), "fqn": F.col("fqn")}
     boost = F.lit(1.0)
     for kind, by in boosts.items():
         boost = F.when(F.col("kind") == kind, F.lit(by)).otherwise(boost)
-    return nodes.withColumn("fts_needle", weighted_needle([(source[k], n) for k, n in weights.items()], code_tokens)).withColumn("search_boost", boost)
+    language = language_of(F.col("path"), SUFFIXES)
+    return nodes.withColumn("fts_needle", weighted_needle([(source[k], n) for k, n in weights.items()], lambda c, _: auto_tokens(c, language))).withColumn("search_boost", boost)
+
+
+def go_modules(files: DataFrame, repo: str = "main") -> DataFrame:
+    """(repo, path, module) of the go.mod files among files (path, content)."""
+    text = F.decode("content", "UTF-8")
+    found = files.where(F.col("path").rlike("(^|/)go\\.mod$")).select(F.lit(repo).alias("repo"), "path", F.regexp_extract(text, r"(?m)^\s*module\s+(\S+)", 1).alias("module"))
+    return found.where("module <> ''")
+
+
+def within_modules(packages: DataFrame, modules: DataFrame) -> DataFrame:
+    """packages in which a Go package's virtual path is that of the nearest module above it and the folders between."""
+    folder = lambda path: F.concat(F.lit("./"), F.regexp_replace(path, "[^/]*$", ""))
+    above = modules.groupBy("repo", folder(F.col("path")).alias("_root")).agg(F.min("module").alias("_module")).withColumn("_owner", F.regexp_replace("_root", "/$", ""))
+    go = F.col("path").rlike("\\.go$")
+    placed = packages.withColumn("_folder", folder(F.col("path")))
+    names = placed.where(go).select("repo", "_folder").distinct()
+    found = hierarchy.longest_prefix(names, above, "_folder", "_owner", "/", ["repo"]).join(above, ["repo", "_owner"]).select("repo", "_folder", "_root", "_module")
+    inner = F.regexp_replace(F.expr("substring(_folder, length(_root) + 1)"), "/$", "")
+    name = F.when(inner == "", F.col("_module")).otherwise(F.concat("_module", F.lit("/"), inner))
+    joined = placed.join(found, ["repo", "_folder"], "left")
+    return joined.withColumn("virtual_path", F.when(go & F.col("_module").isNotNull(), name).otherwise(F.col("virtual_path"))).select(*packages.columns)
 
 
 def resolved_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
@@ -184,7 +204,7 @@ def adopted(nodes: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, root: str, catalog: tables.Catalog, repo: str = "main", paths: list[str] | None = None) -> dict[str, int]:
-    """Bring the catalog's files, nodes, imports, refs and packages up to date with the tree; only new and changed files are parsed.
+    """Bring the catalog's files, nodes, imports, refs, packages and modules up to date with the tree; only new and changed files are parsed. `changes` names them.
 
     Methods find their class, and imports and references their package, over the
     whole repository, as either may be in a file that didn't change. All tables
@@ -202,7 +222,9 @@ def ingest(spark: SparkSession, root: str, catalog: tables.Catalog, repo: str =
     counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
     redo = change.where(F.col("change").isin("new", "changed")).select("path")
     gone = change.where(F.col("change").isin("new", "changed", "gone")).select("path", F.lit(repo).alias("repo"))
-    fresh = parsed(with_content(listed(spark, root, paths).join(redo, "path", "left_semi"), root), repo)
+    again = with_content(listed(spark, root, paths).join(redo, "path", "left_semi"), root)
+    fresh = parsed(again, repo)
+    fresh["modules"] = go_modules(again, repo)
     fresh["nodes"] = with_search_columns(fresh["nodes"])
     fresh["files"] = now.join(redo, "path", "left_semi")
     whole = {}
@@ -210,8 +232,11 @@ def ingest(spark: SparkSession, root: str, catalog: tables.Catalog, repo: str =
         old = tables.without(catalog.read(name).select(*table.columns), gone, ["path", "repo"]) if have else None
         whole[name] = table if old is None else old.unionByName(table)
     whole["nodes"] = adopted(whole["nodes"])
-    imports = resolved_imports(whole["imports"], whole["packages"])
+    packages = stored(within_modules(whole["packages"], whole["modules"]), "packages")
+    imports = resolved_imports(whole["imports"], packages)
     whole["imports_resolved"] = imports.withColumn("external", F.col("external") & F.col("to_package").isNull())
-    whole["refs_resolved"] = resolved_refs(whole["refs"], whole["packages"])
+    whole["refs_resolved"] = resolved_refs(whole["refs"], packages)
+    whole["packages_resolved"] = packages
+    whole["changes"] = change.where("change <> 'same'").withColumn("repo", F.lit(repo))
     catalog.publish(whole)
     return counts

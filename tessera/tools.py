@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.components import CodeGraph, SymbolIndex
 from tessera.functions import render
 from tessera.operators import graph, paths, search, summary
 from tessera.operators.tables import Catalog
@@ -98,7 +99,8 @@ def summarize_files(p: Project, paths: list[str] = (), summary_mode: str = "defi
 def search_symbols(p: Project, query: str | None = None, symbol_name: str | None = None, kind: str | None = None, visibility: str | None = None, limit: int = 10, offset: int = 0) -> list[dict]:
     nodes = p.catalog.read("nodes").withColumn("source", F.col("repo"))
     request = search.SearchRequest(text=query, name=symbol_name, kind=kind, visibility=visibility, limit=limit, offset=offset, boost_source=p.repo)
-    page = search.search(nodes, request, id_col="id", text_col="fts_needle")
+    index = SymbolIndex.of(p.catalog)
+    page = search.search(nodes, request, id_col="id", text_col="fts_needle", index=index if index.built() else None)
     order = [F.col("rrf").desc(), "id"] if query else [F.col("name").asc_nulls_last(), "id"]
     from tessera.operators.hierarchy import page_without_parents
 
@@ -116,7 +118,7 @@ def repo_map(p: Project, symbol_names: list[str] = (), file_paths: list[str] = (
         every = defs.select("name").union(refs.select("name")).distinct()
         names |= {r.name for r in graph.mentioned_names(every, prompt).collect()}
     seeds = [graph.SYMBOL + n for n in sorted(names)] + sorted(places)
-    ranks = graph.pagerank(graph.code_graph(files.select("path"), defs, refs.select("path", "name")), seeds or None, rounds=50)
+    ranks = graph.pagerank(CodeGraph.read(p.catalog), seeds or None, rounds=50)
     best = graph.top_files(ranks, limit).collect()
     texts = p.summaries([r.path for r in best], summary_mode)
     out, used = [], 0
