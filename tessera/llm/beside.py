@@ -27,6 +27,8 @@ from tessera.llm.textcore import chunks
 
 #: Rows of a window, as a power of two.
 WINDOW = 14
+#: Bytes of a row group of a slot, about what a window has, so that reading one window doesn't read its neighbours.
+ROW_GROUP = 8 << 20
 #: Plans in which a row of the result is a row of a file.
 _PLAIN = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
 
@@ -102,6 +104,6 @@ def lay(df: DataFrame, name: str, slots: int) -> Side:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     slot = F.pmod(F.col("file").bitwiseXOR(F.shiftright("row", WINDOW)), F.lit(slots)).cast("int")
     placed = df.withColumn("slot", slot).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "file", "row")
-    placed.write.option("compression", "zstd").partitionBy("slot").parquet(path)
+    placed.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("slot").parquet(path)
     kept(spark, path)
     return Side(path, slots, df.columns)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import beside, blocks
-from tessera.llm.cluster import free_name, lean, small_batches, written
+from tessera.llm.cluster import free_name, lean, small_batches, with_small_side, written
 from tessera.llm.learn import fit_softmax, one_each, sample_by_class, softmax
 from tessera.llm.textcore import SHAPES, Lookup, Words, chunks, shapes, string_buffer
 
@@ -118,8 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Classifier:
     named = labels.select(F.col("doc_id").cast("long").alias("named_id"), domain.alias("domain")).where("named_id IS NOT NULL AND domain IS NOT NULL").distinct()
     chosen = sample_by_class(named, "domain", bound, "named_id")
     small_batches(docs.sparkSession)
-    # at most about `bound` rows, by construction of the sample
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("named_id")).select("named_id", "domain", "text")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(with_small_side(chosen, 10 * bound), F.col("doc_id") == F.col("named_id")).select("named_id", "domain", "text")
     rows = one_each(rows, "named_id", "domain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.cluster import small_batches
+from tessera.llm.cluster import small_batches, with_small_side
 from tessera.llm.learn import one_each, sample_by_class
 from tessera.llm.textcore import _WORD, SHAPES, Words, chunks, shapes, string_buffer
 
@@ -157,8 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     small_batches(docs.sparkSession)
     named = labels.select(F.col("doc_id").cast("long").alias("named_id"), F.col("quality").cast("int").alias("quality")).where("named_id IS NOT NULL AND quality IN (0, 1)").distinct()
     chosen = sample_by_class(named, "quality", bound, "named_id")
-    # at most about `bound` rows, by construction of the sample
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("named_id")).select("named_id", "quality", "text")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(with_small_side(chosen, 10 * bound), F.col("doc_id") == F.col("named_id")).select("named_id", "quality", "text")
     rows = one_each(rows, "named_id", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,8 +183,11 @@ def test_pipeline_by_hand(spark, documents):
                 by.setdefault(r.shard, []).append(r.position)
             assert all(sorted(p) == list(range(len(p))) for p in by.values())
         assert kept == want, name
+        assert out.columns == (documents.columns if k < 4 else [*documents.columns, "shard", "position"])
         docs = out
     assert sum(kept.values()) > 100
+    key = lambda r: (r.doc_id, r.shard, r.position)
+    assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, docs.collect()))
 
 
 def test_pipeline_executes_on_odd_rows(spark, odd, empty):

@@ -7,7 +7,6 @@ import pytest
 from conftest_llm import SF, rows_of, sentence
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tessera.llm import decontaminate, langid, licenses, mixing, quality, sharding
 from tessera.llm.registry import ORACLES, QUERIES
 
@@ -92,9 +91,8 @@ def test_mixing_of_odd_rows(odd, empty, labels):
     same = [r.rate for r in got if r.doc_id in (1, 2)]
     assert max(same) == min(same)
     assert all(r.n_tokens == 0 for r in got if r.doc_id in (3, 4, 5, 7))
-    assert mixing.mixed(odd, labels).columns == odd.columns
     assert mixing.mixing_rates(empty, labels).count() == 0 and mixing.mixed(empty, labels).count() == 0
-    none = mixing.mixing_rates(odd, labels.where("doc_id = 999")).collect()
+    none = mixing.posterior_table(odd, mixing.calibrated(odd, labels.where("doc_id = 999")), "doc_id").collect()
     assert all(abs(r.p_good - 1 / 3) < 0.7 for r in none)
 
 
@@ -333,20 +331,3 @@ def test_fisher_yates_is_uniform():
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
-
-
-def test_pipeline_stages(spark, documents):
-    docs = documents
-    sizes = [docs.count()]
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SF)
-        if k < 4:
-            assert out.columns == documents.columns
-        path = f"{corpus_pipeline.written.__globals__['shared_dir'](spark)}/test-{k}"
-        out.write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
-        sizes.append(docs.count())
-    assert sizes[1] <= sizes[0] and sizes[2] < sizes[1] and sizes[3] < sizes[2] and sizes[5] == sizes[4]
-    got = corpus_pipeline.run(spark, SF)
-    key = lambda r: (r.doc_id, r.shard, r.position)
-    assert sorted(map(key, got.collect())) == sorted(map(key, docs.collect()))
