@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import graph
+from tessera.operators import embed, graph
 from tessera.operators.search import TextIndex
 from tessera.operators.tables import Catalog
 from tessera.sources.repo import ingest
@@ -75,6 +75,21 @@ class SymbolIndex(Component):
         self.of(catalog).refresh(some(have[-1]), some(have[-2]), "fts_needle")
 
 
+class NodeVectors(Component):
+    """Vectors of the symbols, from a cache by content where they were computed before; the cache keeps the newest `size`."""
+
+    name = "vectors"
+
+    def __init__(self, provider: embed.EmbeddingProvider, size: int = 1_000_000):
+        self.provider, self.size = provider, size
+
+    def initialize(self, catalog: Catalog) -> None:
+        nodes = catalog.read("nodes").select("id", embed.node_text().alias("text"))
+        cache = catalog.read("vector_cache") if catalog.versions("vector_cache") else catalog.spark.createDataFrame([], embed.CACHE)
+        rows, kept = embed.with_vectors(nodes.where("text <> ''"), "text", self.provider, cache)
+        catalog.publish({"vectors": rows.select("id", "vector"), "vector_cache": embed.trimmed(kept, self.size)})
+
+
 class Workspace:
     """Repositories in one catalog, and the components that follow them.
 

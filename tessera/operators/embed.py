@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vector import WIDTH
 from tessera.operators import tables
+from tessera.session import stored
 
 MAX_TOKENS, OVERLAP = 512, 64
 CACHE = "model string, hash string, vector array<float>, last_used timestamp"
@@ -96,7 +97,7 @@ def with_vectors(rows: DataFrame, text: str, provider: EmbeddingProvider, cache:
     keyed = rows.withColumn("_hash", F.sha2(F.col(text), 256))
     wanted = keyed.where(F.col("_hash").isNotNull()).select(F.col("_hash").alias("hash"), F.col(text).alias("text")).dropDuplicates(["hash"])
     mine = cache.where(F.col("model") == provider.name)
-    fresh = encoded(wanted.join(mine.select("hash"), "hash", "left_anti"), provider)
+    fresh = stored(encoded(wanted.join(mine.select("hash"), "hash", "left_anti"), provider), "encoded")
     vectors = mine.select("hash", "vector").unionByName(fresh)
     out = keyed.join(vectors.withColumnRenamed("hash", "_hash"), "_hash", "left").drop("_hash")
     used = wanted.select("hash", F.lit(1).alias("_used"))
@@ -105,6 +106,11 @@ def with_vectors(rows: DataFrame, text: str, provider: EmbeddingProvider, cache:
     return out, touched.select("model", "hash", "vector", "last_used").unionByName(added)
 
 
+def query_vector(provider: EmbeddingProvider, text: str, width: int = WIDTH) -> list[float]:
+    """A query as the stored vectors are."""
+    return fitted(np.asarray(provider.encode([text]))[0], width).tolist()
+
+
 def trimmed(cache: DataFrame, size: int, batch: int = 0) -> DataFrame:
     """The newest vectors of each model."""
     return tables.newest(cache, size, "last_used", ["model"], "hash", batch=batch)

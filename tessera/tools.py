@@ -6,12 +6,14 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.components import CodeGraph, SymbolIndex
 from tessera.functions import render
+from tessera.lang import language_of
 from tessera.operators import graph, paths, search, summary
+from tessera.operators.embed import EmbeddingProvider, query_vector
 from tessera.operators.tables import Catalog
 from tessera.sources.repo import with_content
 
@@ -41,8 +43,9 @@ def tool(name: str, about: str, **arguments: dict) -> Callable:
 class Project:
     """A catalog with the tree that it was made from."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, root: str, repo: str = "main"):
+    def __init__(self, spark: SparkSession, catalog: Catalog, root: str, repo: str = "main", provider: EmbeddingProvider | None = None, count_tokens: Callable[[str], int] = lambda text: len(text.split())):
         self.spark, self.catalog, self.root, self.repo = spark, catalog, root, repo
+        self.provider, self.count_tokens = provider, count_tokens
 
     def run(self, name: str, arguments: dict | str | None = None, as_json: bool = False) -> str:
         """Call a tool with a dict or JSON text; ValueError for unknown tools and arguments."""
@@ -69,7 +72,20 @@ class Project:
         return {r.path: r.summary for r in found.collect()}
 
 
-_TEXT, _MANY, _NUMBER = {"type": "string"}, {"type": "array", "items": {"type": "string"}}, {"type": "integer"}
+    def hit_texts(self, hits: list[Row], mode: summary.Mode) -> list[str | None]:
+        """What is shown of each hit: nothing, its source, or its definition within its ancestors and with its members."""
+        if mode is summary.Mode.SKIP or not hits:
+            return [None] * len(hits)
+        if mode is summary.Mode.SOURCE:
+            return [r.body for r in hits]
+        some = self.catalog.read("nodes").where(F.col("path").isin(sorted({r.path for r in hits})))  # of the files of one page
+        by: dict[tuple, list[dict]] = {}
+        for r in some.collect():
+            by.setdefault((r.repo, r.path), []).append(r.asDict(recursive=True))
+        return [summary.hit_text(r.id, by[r.repo, r.path], language_of(r.path), mode is summary.Mode.DOCUMENTATION) for r in hits]
+
+
+_TEXT, _MANY, _NUMBER, _FLAG = {"type": "string"}, {"type": "array", "items": {"type": "string"}}, {"type": "integer"}, {"type": "boolean"}
 
 
 @tool("list_files", "Paths that match any of the patterns.", patterns=_MANY)
@@ -95,36 +111,40 @@ def summarize_files(p: Project, paths: list[str] = (), summary_mode: str = "defi
     return [{"path": n, "summary": found[n]} for n in paths if n in found]
 
 
-@tool("search_symbols", "Symbols by text, name, kind and visibility.", query=_TEXT, symbol_name=_TEXT, kind=_TEXT, visibility=_TEXT, limit=_NUMBER, offset=_NUMBER)
-def search_symbols(p: Project, query: str | None = None, symbol_name: str | None = None, kind: str | None = None, visibility: str | None = None, limit: int = 10, offset: int = 0) -> list[dict]:
+@tool("search_symbols", "Symbols by text, name, kind and visibility; of all repositories if global_search is set.", query=_TEXT, symbol_name=_TEXT, kind=_TEXT, visibility=_TEXT, limit=_NUMBER, offset=_NUMBER, global_search=_FLAG, summary_mode=_TEXT)
+def search_symbols(p: Project, query: str | None = None, symbol_name: str | None = None, kind: str | None = None, visibility: str | None = None, limit: int = 10, offset: int = 0, global_search: bool = False, summary_mode: str = "source") -> list[dict]:
     nodes = p.catalog.read("nodes").withColumn("source", F.col("repo"))
-    request = search.SearchRequest(text=query, name=symbol_name, kind=kind, visibility=visibility, limit=limit, offset=offset, boost_source=p.repo)
+    sources = () if global_search else (p.repo,)
+    vector = query_vector(p.provider, query) if p.provider is not None and query and p.catalog.versions("vectors") else None
+    request = search.SearchRequest(text=query, vector=vector, name=symbol_name, kind=kind, visibility=visibility, sources=sources, limit=limit, offset=offset, boost_source=p.repo)
     index = SymbolIndex.of(p.catalog)
-    page = search.search(nodes, request, id_col="id", text_col="fts_needle", index=index if index.built() else None)
+    vectors = p.catalog.read("vectors") if vector is not None else None
+    page = search.search(nodes, request, id_col="id", text_col="fts_needle", vectors=vectors, vector_id="id", vector_col="vector", index=index if index.built() else None)
     order = [F.col("rrf").desc(), "id"] if query else [F.col("name").asc_nulls_last(), "id"]
     from tessera.operators.hierarchy import page_without_parents
 
-    kept = page_without_parents(page, limit, *order)
-    return [{k: r[k] for k in ("name", "kind", "visibility", "path", "body")} for r in kept.collect()]
+    kept = page_without_parents(page, limit, *order).collect()
+    bodies = p.hit_texts(kept, summary.Mode(summary_mode))
+    return [{**{k: r[k] for k in ("name", "kind", "visibility", "path")}, "body": body} for r, body in zip(kept, bodies, strict=True)]
 
 
-@tool("repo_map", "The files that matter most for symbols, files or a prompt.", symbol_names=_MANY, file_paths=_MANY, prompt=_TEXT, limit=_NUMBER, token_limit=_NUMBER, summary_mode=_TEXT)
-def repo_map(p: Project, symbol_names: list[str] = (), file_paths: list[str] = (), prompt: str | None = None, limit: int = 20, token_limit: int | None = None, summary_mode: str = "skip") -> list[dict]:
+@tool("repo_map", "The files that matter most for symbols, files or a prompt.", symbol_names=_MANY, file_paths=_MANY, prompt=_TEXT, limit=_NUMBER, token_limit=_NUMBER, summary_mode=_TEXT, skip_mentioned_summary=_FLAG)
+def repo_map(p: Project, symbol_names: list[str] = (), file_paths: list[str] = (), prompt: str | None = None, limit: int = 20, token_limit: int | None = None, summary_mode: str = "skip", skip_mentioned_summary: bool = False) -> list[dict]:
     files, nodes, refs = p.catalog.read("files"), p.catalog.read("nodes"), p.catalog.read("refs")
-    defs = nodes.where("name IS NOT NULL").select("path", "name", "visibility")
     names, places = set(symbol_names), set(file_paths)
     if prompt:
         places |= {r.path for r in graph.mentioned_files(files, prompt).select("path").collect()}
-        every = defs.select("name").union(refs.select("name")).distinct()
+        every = nodes.where("name IS NOT NULL").select("name").union(refs.select("name")).distinct()
         names |= {r.name for r in graph.mentioned_names(every, prompt).collect()}
     seeds = [graph.SYMBOL + n for n in sorted(names)] + sorted(places)
     ranks = graph.pagerank(CodeGraph.read(p.catalog), seeds or None, rounds=50)
     best = graph.top_files(ranks, limit).collect()
-    texts = p.summaries([r.path for r in best], summary_mode)
+    shown = [r.path for r in best if not (skip_mentioned_summary and r.path in places)]
+    texts = p.summaries(shown, summary_mode)
     out, used = [], 0
     for r in best:
         row = {"file_path": r.path, "score": round(r.score, 6), "summary": texts.get(r.path)}
-        used += len(render.as_text(row).split())
+        used += p.count_tokens(render.as_text(row))
         if token_limit is not None and used > token_limit:
             break
         out.append(row)

@@ -1,8 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
-from tessera.components import CodeGraph, Component, SymbolIndex, Workspace
+from tessera.components import CodeGraph, Component, NodeVectors, SymbolIndex, Workspace
 from tessera.functions import text as X
-from tessera.operators import graph, search
+from tessera.operators import embed, graph, search
 from tessera.operators.tables import Catalog
 from tessera.tools import Project
 
@@ -103,3 +105,22 @@ def test_go_packages_lie_in_the_nearest_module(spark, tmp_path):
     assert {(r.path, r.virtual_path) for r in catalog.read("packages_resolved").collect()} == {("main.go", "example.com/m"), ("util/u.go", "example.com/m/util"), ("sub/x/x.go", "example.com/inner/x")}
     assert {(r.path, r.to_package, r.external) for r in catalog.read("imports_resolved").collect()} == {("main.go", "util", False), ("sub/x/x.go", "util", False)}
     assert {(r.name, r.package_path) for r in catalog.read("refs_resolved").where("path = 'main.go'").collect()} >= {("Do", "util")}
+
+
+def test_symbols_are_found_by_their_vectors(spark, tmp_path):
+    provider = embed.HashedNgrams()
+    root = tmp_path / "tree"
+    written(root, {"a.py": "class Loader:\n    def load_matrix(self, path):\n        return path\n\n\ndef unrelated():\n    return 12345\n", "b.py": "def load_matrices(paths):\n    return paths\n"})
+    catalog = Catalog(spark, f"file://{tmp_path}/cat")
+    Workspace(spark, catalog, {"main": f"file://{root}"}, [SymbolIndex(), NodeVectors(provider)]).refresh()
+    project = Project(spark, catalog, f"file://{root}", provider=provider)
+    found = json.loads(project.run("search_symbols", {"query": "def load_matrices(paths):\n    return paths"}, as_json=True))
+    assert found[0]["name"] == "load_matrices"
+    shown = json.loads(project.run("search_symbols", {"symbol_name": "load_matrix", "summary_mode": "definition"}, as_json=True))
+    assert shown[0]["body"] == "class Loader:\n    def load_matrix(self, path):\n        ..."
+    assert json.loads(project.run("search_symbols", {"symbol_name": "unrelated", "summary_mode": "skip"}, as_json=True))[0].get("body") is None
+    other = Project(spark, catalog, f"file://{root}", "elsewhere")
+    assert other.run("search_symbols", {"symbol_name": "unrelated"}, as_json=True) == "[]"
+    assert '"unrelated"' in other.run("search_symbols", {"symbol_name": "unrelated", "global_search": True}, as_json=True)
+    mapped = json.loads(project.run("repo_map", {"file_paths": ["b.py"], "summary_mode": "definition", "skip_mentioned_summary": True}, as_json=True))
+    assert {r["file_path"]: r.get("summary") is None for r in mapped} == {"a.py": False, "b.py": True}
