@@ -79,7 +79,8 @@ TOKENIZERS = {"noop": plain_tokens, "word": words, "code": code_tokens}
 
 def auto_tokens(text: Column, language: Column, tokenizer: str = "code") -> Column:
     """Tokens of a named tokenizer without the words of the row's language; a language without such words loses none."""
-    stop = F.create_map(*[x for name, some in STOP_WORDS.items() for x in (F.lit(name), F.array(*map(F.lit, some)))])
+    quoted = lambda some: ", ".join(f"'{x}'" for x in some)
+    stop = F.expr("map(" + ", ".join(f"'{name}', array({quoted(some)})" for name, some in STOP_WORDS.items()) + ")")
     mine = F.coalesce(F.try_element_at(stop, F.coalesce(language, F.lit(""))), F.array().cast("array<string>"))
     return F.filter(TOKENIZERS[tokenizer](text), lambda t: ~F.array_contains(mine, F.lower(t)))
 
