@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import kept, shared_dir, written
+from tessera.llm.cluster import ease, kept, shared_dir, written
 from tessera.llm.textcore import chunks
 
 #: Rows of a window, as a power of two.
@@ -106,4 +106,5 @@ def lay(df: DataFrame, name: str, slots: int) -> Side:
     placed = df.withColumn("slot", slot).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "file", "row")
     placed.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("slot").parquet(path)
     kept(spark, path)
+    ease(spark)
     return Side(path, slots, df.columns)

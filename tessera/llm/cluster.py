@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     kept(spark, path)
+    ease(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,15 +79,42 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library
-                pass
+            _trim()
 
     return wrapped
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def _trim_jvm(spark: SparkSession) -> None:
+    """What jcmd's System.trim_native_heap does; by reflection, as the class of the server isn't exported."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
+def ease(spark: SparkSession, part: float = 0.5) -> None:
+    """Give back what the driver has freed. It makes many plans and lives through all stages: a heap grown beyond `part` of its bound is collected, which also shrinks it, and what the C library of the JVM and of Python holds back is returned."""
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > part * heap.maxMemory():
+        gc.collect()  # Python's handles keep plans alive
+        jvm.java.lang.System.gc()
+    try:
+        _trim_jvm(spark)
+    except Py4JJavaError:  # another JVM or C library
+        pass
+    _trim()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what Spark holds for a Python worker at once; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

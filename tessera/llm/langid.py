@@ -66,6 +66,18 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, letters
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Which cells of a row aren't zero, as bits, and these."""
+    some = x != 0
+    return np.packbits(some).tobytes() + x[some].tobytes()
+
+
+def unpack(data: pa.Buffer, to: np.ndarray) -> None:
+    """The reverse of packed(), into a row of zeros."""
+    some = np.unpackbits(np.frombuffer(data, np.uint8, WIDTH // 8)).view(bool)
+    to[some] = np.frombuffer(data, np.float32, offset=WIDTH // 8)
+
+
 def codewords(k: int) -> np.ndarray:
     """A row of -1/+1 for each of k languages."""
     if k <= 1:
@@ -114,7 +126,7 @@ def fit(docs: DataFrame, bound: int = BOUND, margin: float = MARGIN) -> Model:
         for b in chunks(batches):
             x, letters = grams(b.column("text"))
             ids, langs = b.column("doc_id"), b.column("lang")
-            yield pa.RecordBatch.from_arrays([ids, langs, pa.array([r.tobytes() for r in x], pa.binary()), pa.array(letters)], ["doc_id", "lang", "x", "letters"])
+            yield pa.RecordBatch.from_arrays([ids, langs, pa.array([packed(r) for r in x], pa.binary()), pa.array(letters)], ["doc_id", "lang", "x", "letters"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(features, f"doc_id {kind}, lang string, x binary, letters long").where("letters > 0").toArrow().sort_by([("doc_id", "ascending")]).slice(0, 2 * bound)
@@ -122,7 +134,10 @@ def fit(docs: DataFrame, bound: int = BOUND, margin: float = MARGIN) -> Model:
     names = sorted(set(langs))
     if len(names) < 2:
         return Model(names, np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32), np.zeros(0), margin)
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(langs), WIDTH)
+    x = np.zeros((len(langs), WIDTH), np.float32)
+    for to, value in zip(x, got.column("x"), strict=True):
+        unpack(value.as_buffer(), to)
+    del got
     which = np.array([names.index(v) for v in langs])
     y = (codewords(len(names))[which] > 0).astype(np.float32)
     each = 1.0 / np.bincount(which)[which]
@@ -135,8 +150,8 @@ def reliability(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     held = np.arange(len(x)) % 5 == 0
     if held.all():
         return np.ones(y.shape[1])
-    w, b = fit_logistic(x[~held], y[~held], weight[~held])
-    right = ((x[held] @ w + b > 0) == (y[held] > 0)).sum(0)
+    w, b = fit_logistic(x, y, np.where(held, 0.0, weight))  # no copy of the others
+    right = ((x @ w.astype(x.dtype) + b > 0) == (y > 0))[held].sum(0)
     share = (right + 0.5) / (held.sum() + 1)
     return np.maximum(1e-3, np.log(share / (1 - share)) / 2)
 

@@ -43,12 +43,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     """Weights and biases of one logistic regression per column of y (0/1), by accelerated gradient descent on all rows."""
     n, width = x.shape
     weight = np.full((n, 1), 1 / max(1, n), np.float32) if weight is None else (weight / weight.sum()).astype(np.float32)[:, None]
-    top = float((weight * x * x).sum()) + 1.0
+    top = float(weight[:, 0] @ np.einsum("ij,ij->i", x, x)) + 1.0
     step = 4.0 / top
     w, b = np.zeros((width, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     vw, vb, was = w, b, 1.0
     for _ in range(rounds):
-        miss = weight * (1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30))) - y).astype(np.float32)
+        z = x @ vw.astype(x.dtype) + vb  # the momentum is of float64, and so x would be copied
+        miss = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y).astype(np.float32)
         nw, nb = vw - step * (x.T @ miss + decay * vw), vb - step * miss.sum(0)
         now = (1 + np.sqrt(1 + 4 * was * was)) / 2
         vw, vb = nw + (was - 1) / now * (nw - w), nb + (was - 1) / now * (nb - b)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import beside, blocks
-from tessera.llm.cluster import free_name, lean, small_batches, with_small_side, written
+from tessera.llm.cluster import ease, free_name, lean, small_batches, with_small_side, written
 from tessera.llm.learn import fit_softmax, one_each, sample_by_class, softmax
 from tessera.llm.textcore import SHAPES, Lookup, Words, chunks, shapes, string_buffer
 
@@ -167,19 +167,18 @@ def rates_after(p: np.ndarray, start: float, step: float, gradients: list[np.nda
 
 
 def _sums(narrow: DataFrame, of: Callable, size: int) -> np.ndarray:
-    """Sum over all rows of the vectors that `of` gives for a batch (p, n); a row for each task goes to the driver, through one partial aggregation."""
+    """Sum over all rows of the vectors that `of` gives for a batch (p, n). A vector for each task goes to the driver, without an exchange: there are many passes, and what the driver does for each adds up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             p = np.stack([b.column(f"p_{d}").to_numpy() for d in DOMAINS], 1)
             total += of(p, b.column("n_tokens").to_numpy().astype(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["at", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    got = narrow.mapInArrow(lean(run), "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
     out = np.zeros(size)
-    for at, total in got:
-        out[at] = total
+    for (total,) in narrow.mapInArrow(lean(run), "total binary").collect():
+        out += np.frombuffer(total)
     return out
 
 
@@ -229,6 +228,7 @@ def _finish(narrow: DataFrame, start: float, want: np.ndarray, weight: np.ndarra
         return _sums(narrow, of, len(lengths) * (1 + k + k * k)).reshape(len(lengths), -1)
 
     while pull >= 1e-14:
+        ease(narrow.sparkSession)
         at = tried(v, along, lengths[:1])[0]
         while True:
             reached = at[1 : 1 + k]
@@ -276,7 +276,9 @@ def solve(narrow: DataFrame, targets: dict[str, float] = TARGETS, scale: float =
     root = np.sqrt(weight)
     step = 1 / max(np.linalg.eigvalsh(gram * root[:, None] * root[None, :]).max(), 1e-12)
     gradients: list[np.ndarray] = []
-    for _ in range(rounds):
+    for done in range(rounds):
+        if done % 10 == 0:
+            ease(narrow.sparkSession)
         # the gradient at the point ahead
         start, held = scale, list(gradients)
         at = _sums(narrow, lambda p, n: np.concatenate([(r := rates_after(p, start, step, held))[1] * n @ p, r[0] * n @ p]), 2 * k)

@@ -1,13 +1,15 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import SF, rows_of, sentence
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, licenses, mixing, quality, sharding
+from tessera.llm import cluster, decontaminate, langid, licenses, mixing, quality, sharding
 from tessera.llm.registry import ORACLES, QUERIES
 
 
@@ -328,6 +330,47 @@ def test_fisher_yates_is_uniform():
 # registry and pipeline
 
 
+def test_a_pass_over_rates_is_one_job(spark, tmp_path):
+    spark.range(1000).selectExpr("0.5D AS p_good", "0.25D AS p_poor", "0.25D AS p_toxic", "id AS n_tokens").repartition(5).write.parquet(f"{tmp_path}/narrow")
+    narrow, context = spark.read.parquet(f"{tmp_path}/narrow"), spark.sparkContext
+    context.setJobGroup("pass", "")
+    got = mixing._sums(narrow, lambda p, n: n @ p, 3)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got.tolist() == [249750.0, 124875.0, 124875.0]
+    assert len(context.statusTracker().getJobIdsForGroup("pass")) == 1
+
+
+def test_fits_of_languages_hold_no_copies_of_the_features():
+    rng = np.random.default_rng(3)
+    x, y = rng.random((1000, langid.WIDTH), np.float32), rng.integers(0, 2, (1000, 7)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        langid.reliability(x, y, np.ones(1000))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < x.nbytes / 4
+
+
+def test_packed_features_come_back():
+    x, _ = langid.grams(pa.array(["some words", "", None, "andere Wörter " * 300]))
+    for row in x:
+        to = np.zeros(langid.WIDTH, np.float32)
+        langid.unpack(pa.py_buffer(langid.packed(row)), to)
+        assert to.tobytes() == row.tobytes()
+
+
+def test_written_tables_shrink_a_grown_heap(spark):
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    piece = 64 << 20
+    held = [jvm.java.nio.ByteBuffer.allocate(piece) for _ in range(int(0.7 * heap.maxMemory()) // piece)]
+    grown = heap.totalMemory()
+    del held
+    cluster.written(spark.range(3), "small")
+    assert heap.totalMemory() < grown / 2
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
