@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +65,20 @@ def chunk_spans(text: str, most: int = MOST, least: int | None = None, count: Ca
     return split(0, len(text), 0)
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, least: int | None = LEAST) -> DataFrame:
-    """(id, chunk_no, start, end, chunk) of every text; null texts have none."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, least: int | None = LEAST, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns beside it, chunk_no, start, end, chunk) of every text; null and empty texts have none. Identifiers may be null or repeated."""
+    names = [id_col, *beside]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, n, a, z, t[a:z]) for i, t in zip(frame[id_col], frame[text_col], strict=True) for n, (a, z) in enumerate(chunk_spans(t, most, least))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "start", "end", "chunk"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(row, n, a, z, t[a:z]) for row, t in enumerate(batch.column(text_col).to_pylist()) for n, (a, z) in enumerate(chunk_spans(t, most, least)) if z > a]
+            at, *columns = zip(*found, strict=True) if found else [()] * 5
+            rows = pa.array(at, pa.int64())
+            parts = [pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in names), *parts], [*names, "chunk_no", "start", "end", "chunk"])
 
-    return docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk_no int, start int, end int, chunk string")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.where(F.col(text_col).isNotNull()).select(*names, text_col).mapInArrow(run, f"{kinds}, chunk_no int, start int, end int, chunk string")
 
 
 def token_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 128, overlap: int = 64) -> DataFrame:

@@ -316,10 +316,11 @@ def ancestors_below_literals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_tiling(spark: SparkSession, d: str) -> DataFrame:
-    """What chunks of every text make up together: its characters, without gap or overlap, and the text itself."""
-    chunks = chunking.chunked(load(spark, d, "documents"), most=64, least=8)
+    """What chunks of every text make up together: its characters, without gap or overlap, and the text itself. Rows are told apart by their place, as identifiers may recur."""
+    docs = load(spark, d, "documents").withColumn("row", F.monotonically_increasing_id())
+    chunks = chunking.chunked(docs, most=64, least=8, beside=("row",))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: x["chunk"]), "")
-    return chunks.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.md5(joined).alias("digest"), (F.max("chunk_no") + 1 == F.count("*")).alias("numbered"))
+    return chunks.groupBy("row", "doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.md5(joined).alias("digest"), (F.max("chunk_no") + 1 == F.count("*")).alias("numbered")).drop("row")
 
 
 def vectors_of_a_width(spark: SparkSession, d: str) -> DataFrame:

@@ -148,3 +148,15 @@ def test_token_budget_over_all_documents(spark, tmp_path):
 
     got = token_budget_prefix(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.running) for r in got) == [(i, i + 1) for i in range(1500)]
+
+
+def test_chunk_tiling_of_odd_rows(spark, tmp_path):
+    import hashlib
+
+    from tessera.plans.queries import chunk_tiling
+
+    big = 2**53 + 1
+    rows = [(1, "one two. three"), (1, "one two. three"), (1, "another"), (None, "no name"), (None, "none"), (2, ""), (3, None), (4, " \n"), (big, "word " * 200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, len(t), hashlib.md5(t.encode()).hexdigest(), True) for i, t in rows if t]
+    assert rows_of(chunk_tiling(spark, str(tmp_path))) == sorted(want, key=repr)
