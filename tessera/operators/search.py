@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lower_code_terms, lower_code_text
+from tessera.functions.text import MAYBE_COMPOUND, PARTS, WORD, lower_code_terms, lower_code_text
 from tessera.functions.vector import cosine
 from tessera.operators.ranking import global_rank, top
 from tessera.session import spread, stored
@@ -21,21 +28,19 @@ WEIGHTS = {"code": 0.5, "text": 0.5}
 SIMILARITY_CUT = 0.4
 #: Rows of a page that may be broadcast.
 BROADCAST_ROWS = 10_000
+#: Postings that a worker lays together before it sends them, and segments of an index before they are merged.
+STRETCH, SEGMENTS = 2_000_000, 8
+#: ASCII letters in lower case, digits, all other bytes to spaces; MAYBE_COMPOUND for bytes.
+LOWER = bytes(ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
+COMPOUND = re.compile(MAYBE_COMPOUND.encode())
+POSTING = ["term", "ids", "tfs", "lengths"]
 KINDS = "class component constant function interface method method_def module namespace package property type_alias variable enum comment literal".split()
 VISIBILITIES = "public protected private package all".split()
 
 
 def query_terms(query: str, tokenizer=None) -> list[str]:
     """Distinct lower-case terms of a query, in order."""
-    import re
-
-    from tessera.functions.text import PARTS, WORD
-
-    out: list[str] = []
-    for word in re.findall(WORD, query):
-        parts = re.sub(PARTS, " ", word).split(" ")
-        out += [word, *parts] if len(parts) > 1 else [word]
-    return list(dict.fromkeys(t.lower() for t in out))
+    return list(dict.fromkeys(t for word in re.findall(WORD, query) for t in _word_terms(word)))
 
 
 def _joined_terms(tokenizer, text: Column) -> Column:
@@ -82,64 +87,138 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
     return found.select(id_col, F.round(total, 8).alias(score))
 
 
+def _word_terms(word: str) -> list[str]:
+    """The word and, if it is a compound, its parts, in lower case."""
+    parts = re.sub(PARTS, " ", word).split(" ")
+    return [w.lower() for w in ([word, *parts] if len(parts) > 1 else [word])]
+
+
+def _inverted(batches: Iterator[pa.RecordBatch], joined: bool = False) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (term, ids, tfs, lengths): lists for stretches of documents, those of the empty term hold every document. Terms are those of lower_code_terms, or what single spaces part if the text is joined."""
+    codes: defaultdict[bytes, int] = defaultdict()
+    codes.default_factory = codes.__len__
+    parts: dict[bytes, list[bytes]] = {}
+    at, tfs, lengths, counts, ids = array("i"), array("i"), array("i"), array("i"), []
+
+    def lists() -> pa.RecordBatch:
+        words = sorted(codes)
+        place = np.empty(len(words), np.int32)
+        place[[codes[w] for w in words]] = np.arange(len(words), dtype=np.int32)
+        term = place[np.frombuffer(at, np.int32)]
+        order = np.argsort(term, kind="stable")
+        row = np.repeat(np.arange(len(counts)), np.frombuffer(counts, np.int32))[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(words)))]).astype(np.int32)
+        values = pa.concat_arrays(ids).take(pa.array(row)), pa.array(np.frombuffer(tfs, np.int32)[order]), pa.array(np.frombuffer(lengths, np.int32)[row])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), *(pa.ListArray.from_arrays(ends, v) for v in values)], POSTING)
+
+    for batch in batches:
+        begun = 0
+        for n, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            found = Counter(filter(None, text.split(b" ")) if joined else text.translate(LOWER).split())
+            for word in () if joined else COMPOUND.findall(text):
+                if (more := parts.get(word)) is None:
+                    more = parts[word] = [t.encode() for t in _word_terms(word.decode())[1:]]
+                for part in more:
+                    found[part] += 1
+            lengths.append(found.total())
+            found[b""] = 0
+            at.extend(map(codes.__getitem__, found))
+            tfs.extend(found.values())
+            counts.append(len(found))
+            if len(at) >= STRETCH:
+                ids.append(batch.column(0).slice(begun, n + 1 - begun))
+                yield lists()
+                begun = n + 1
+                codes.clear(), parts.clear(), ids.clear()
+                at, tfs, lengths, counts = array("i"), array("i"), array("i"), array("i")
+        ids.append(batch.column(0).slice(begun))
+    if len(at):
+        yield lists()
+
+
 class TextIndex:
-    """An inverted index in a folder: postings (term, id, tf, length), sorted by term, so that a search reads the row groups of its terms and no text; and the corpus statistics.
+    """An inverted index in a folder, of segments. A segment holds postings (term, ids, tfs, lengths), lists for stretches of documents sorted by term, so that a search reads the row groups of its terms and no text; those of the empty term hold all its documents. Beside them are the ids `gone`, which earlier segments have no more.
 
-    A refresh writes the next version beside the last one and then names it in
-    `current`, so readers see one version or the other.
+    A refresh writes a segment of what changed, and merges them all when there
+    are more than SEGMENTS; then it names them in `current`, so readers see one
+    version or the other.
     """
 
     def __init__(self, spark: SparkSession, folder: str, id_col: str = "doc_id", tokenizer=lower_code_terms):
         self.spark, self.folder, self.id_col, self.tokenizer = spark, folder.rstrip("/"), id_col, tokenizer
 
-    def _current(self) -> str | None:
+    def _current(self) -> list[str] | None:
         try:
             rows = self.spark.read.text(f"{self.folder}/current").collect()
         except AnalysisException:
             return None
-        return max((r.value for r in rows), default=None)
+        return max((r.value for r in rows)).split(" ") if rows else None
 
     def built(self) -> bool:
         return self._current() is not None
 
-    def _postings(self, docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-        terms = F.array_remove(F.split(_joined_terms(self.tokenizer, F.col(text_col)), " "), "")
-        rows = docs.where(F.col(text_col).isNotNull()).select(F.col(self.id_col), terms.alias("_terms"), F.size(terms).cast("double").alias("length"))
-        lengths = rows.select(self.id_col, "length")
-        return rows.select(self.id_col, "length", F.explode("_terms").alias("term")).groupBy("term", self.id_col).agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length")), lengths
-
-    def _write(self, postings: DataFrame, lengths: DataFrame) -> TextIndex:
-        version = f"v{uuid.uuid4().hex}"
-        postings.repartitionByRange("term", self.id_col).sortWithinPartitions("term", self.id_col).write.parquet(f"{self.folder}/{version}/postings")
-        lengths.write.parquet(f"{self.folder}/{version}/lengths")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
+    def _postings(self, docs: DataFrame, text_col: str) -> DataFrame:
+        kind = docs.schema[self.id_col].dataType.simpleString()
+        rows, joined = spread(docs.where(F.col(text_col).isNotNull()).select(self.id_col, text_col)), self.tokenizer is not lower_code_terms
+        if joined:
+            rows = rows.select(self.id_col, _joined_terms(self.tokenizer, F.col(text_col)))
+        return rows.mapInArrow(partial(_inverted, joined=joined), f"term string, ids array<{kind}>, tfs array<int>, lengths array<int>")
+
+    def _write(self, before: list[str], postings: DataFrame, gone: DataFrame | None = None) -> TextIndex:
+        segment = f"v{uuid.uuid4().hex}"
+        narrow = stored(postings, "postings")  # else texts would be read once more for the ranges' ends
+        narrow.repartitionByRange("term", F.col("ids")[0]).sortWithinPartitions("term").write.parquet(f"{self.folder}/{segment}/postings")
+        if gone is not None:
+            gone.write.parquet(f"{self.folder}/{segment}/gone")
+        self.spark.createDataFrame([(" ".join([*before, segment]),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
         return self
 
+    def _entries(self, segments: list[str], terms: list[str] | None) -> DataFrame:
+        """(term, id, tf, length) of these terms, or of all, for the documents that there are."""
+        parts = []
+        for k, segment in enumerate(segments):
+            lists = self.spark.read.parquet(f"{self.folder}/{segment}/postings")
+            lists = lists if terms is None else lists.where(F.col("term").isin(terms))
+            rows = lists.select("term", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).toDF("term", self.id_col, "tf", "length")
+            if later := [f"{self.folder}/{x}/gone" for x in segments[k + 1 :]]:
+                rows = rows.join(self.spark.read.parquet(*later), self.id_col, "left_anti").select("term", self.id_col, "tf", "length")
+            parts.append(rows)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _merged(self, segments: list[str]) -> DataFrame:
+        rows = stored(self._entries(segments, None), "entries")
+        stretch = F.pmod(F.xxhash64(self.id_col), F.lit(1 + rows.where("term = ''").count() // STRETCH))
+        entries = rows.groupBy("term", stretch.alias("_stretch")).agg(F.collect_list(F.struct(F.col(self.id_col).alias("ids"), "tf", "length")).alias("e"))
+        return entries.select("term", F.col("e.ids").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.length").alias("lengths"))
+
     def build(self, docs: DataFrame, text_col: str = "text") -> TextIndex:
         """Index all of docs; what was there before is superseded."""
-        return self._write(*self._postings(docs, text_col))
+        return self._write([], self._postings(docs, text_col))
 
     def refresh(self, changed: DataFrame, removed: DataFrame | None = None, text_col: str = "text") -> TextIndex:
         """Replace the entries of the documents in changed, and drop those of the ids in removed."""
-        if (version := self._current()) is None:
+        if (segments := self._current()) is None:
             return self.build(changed, text_col)
         gone = changed.select(self.id_col) if removed is None else changed.select(self.id_col).union(removed.select(self.id_col))
-        old, sizes = (self.spark.read.parquet(f"{self.folder}/{version}/{t}").join(gone.distinct(), self.id_col, "left_anti") for t in ("postings", "lengths"))
-        postings, lengths = self._postings(changed, text_col)
-        return self._write(old.unionByName(postings), sizes.unionByName(lengths))
+        self._write(segments, self._postings(changed, text_col), gone)
+        if len(segments := self._current()) > SEGMENTS:
+            self._write([], self._merged(segments))
+        return self
 
     def scores(self, query: str, score: str = "bm25") -> DataFrame:
         """(id, score) of every document with a term of the query, as bm25_scores gives them."""
-        if (version := self._current()) is None:
+        if (segments := self._current()) is None:
             raise ValueError("the index has not been built")
         terms = query_terms(query)
-        hits = self.spark.read.parquet(f"{self.folder}/{version}/postings").where(F.col("term").isin(terms))
-        n, mean = self.spark.read.parquet(f"{self.folder}/{version}/lengths").agg(F.count("*"), F.avg("length")).first()
+        n, mean = self._entries(segments, [""]).agg(F.count("*"), F.avg("length")).first()
+        hits = stored(self._entries(segments, terms), "hits")
         df = {r.term: float(r.n) for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each term of the query
-        part = F.lit(0.0)
-        for term, count in df.items():
-            part = F.when(F.col("term") == term, term_weight(F.col("tf"), F.col("length"), count, float(n), mean)).otherwise(part)
-        return hits.groupBy(self.id_col).agg(F.round(F.sum(part), 8).alias(score))
+        total = F.lit(0.0)
+        for term in terms:
+            if term in df:
+                weight = term_weight(F.col("tf").cast("double"), F.col("length").cast("double"), df[term], float(n), mean)
+                total = total + F.coalesce(F.sum(F.when(F.col("term") == term, weight)), F.lit(0.0))
+        return hits.groupBy(self.id_col).agg(F.round(total, 8).alias(score))
 
 
 def cosine_scores(vectors: DataFrame, query: list[float] | Column, id_col: str = "vec_id", vector_col: str = "embedding", score: str = "similarity", cut: float = SIMILARITY_CUT) -> DataFrame:

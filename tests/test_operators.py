@@ -160,3 +160,29 @@ def test_chunk_tiling_of_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     want = [(i, len(t), hashlib.md5(t.encode()).hexdigest(), True) for i, t in rows if t]
     assert rows_of(chunk_tiling(spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_text_index_adds_segments(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(search, "STRETCH", 50)  # lists of several stretches, and several of a merge
+    monkeypatch.setattr(search, "SEGMENTS", 2)
+    odd = ["readFile reads HTTPServer2Go", "", "naïve file_1 x", "File FILE file", "\u0001 tab\tfile\nfile"]
+    docs = spark.createDataFrame([(i, odd[i % len(odd)] + f" w{i % 7} plain" * (i % 3)) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    query = "readFile http file w3 plain nowhere"
+    index = search.TextIndex(spark, f"file://{tmp_path}/index")
+    segments = lambda: len(list((tmp_path / "index").glob("v*")))
+    index.build(docs.where("doc_id < 40"))
+    before = {p: os.stat(p).st_mtime_ns for p in (tmp_path / "index").rglob("postings/*.parquet")}
+    index.refresh(docs.where("doc_id >= 40"))
+    assert segments() == 2 and len(index._current()) == 2  # the first segment is still read, not written anew
+    assert all(os.stat(p).st_mtime_ns == at for p, at in before.items())
+    assert rows_of(index.scores(query)) == rows_of(search.bm25_scores(docs, query))
+    changed = docs.where("doc_id % 10 = 0").withColumn("text", F.lit("another file"))
+    index.refresh(changed, docs.where("doc_id % 10 = 1").select("doc_id"))
+    assert len(index._current()) == 1  # merged
+    left = docs.where("doc_id % 10 > 1").unionByName(changed)
+    assert rows_of(index.scores(query)) == rows_of(search.bm25_scores(left, query))
+    spaced = lambda text: F.split(text, r"\s+")
+    other = search.TextIndex(spark, f"file://{tmp_path}/other", tokenizer=spaced).build(docs)
+    assert rows_of(other.scores("file plain")) == rows_of(search.bm25_scores(docs, "file plain", tokenizer=spaced))
