@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import basename, descriptiveness
-from tessera.session import saved
+from tessera.session import stored
 
 DEF_WEIGHT, REF_WEIGHT = 3.0, 1.0
 SELF_WEIGHT, LEAST_WEIGHT = 0.3, 1e-9
@@ -18,6 +18,8 @@ HIDDEN = 0.1
 MANY_DEFS, MANY_DEFS_FACTOR = 5, 0.1
 RESTART = 0.15
 SYMBOL = "sym::"
+#: Ways out of a node that are kept in one row.
+LIST = 4096
 
 
 def name_weights(defs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -71,25 +73,36 @@ def code_graph(files: DataFrame, defs: DataFrame, refs: DataFrame) -> DataFrame:
     return with_loops(files, symbol_edges(defs, refs))
 
 
+def _lists(edges: DataFrame) -> DataFrame:
+    """(src, to): the ways out of a node with their shares, in lists of about LIST, so that a node that many lead to and from is in many tasks."""
+    ways = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.ceil(F.count("*") / F.lit(LIST)).alias("n"))
+    part = F.pmod(F.xxhash64("dst"), F.col("n")).alias("part")
+    shares = edges.join(ways, "src").select("src", part, "dst", (F.col("weight") / F.col("total")).alias("p"))
+    return shares.groupBy("src", "part").agg(F.collect_list(F.struct("dst", "p")).alias("to")).select("src", "to")
+
+
 def pagerank(edges: DataFrame, seeds: list[str] | None = None, restart: float = RESTART, rounds: int = 20, cut_every: int = 10) -> DataFrame:
-    """(node, score) of a random walk with restart, at the seeds or anywhere. Seeds that are not in the graph don't count; if none is, ValueError."""
-    total = F.sum("weight").over(Window.partitionBy("src"))
-    steps = saved(edges.select("src", "dst", (F.col("weight") / total).alias("p")))
-    nodes = steps.select(F.col("src").alias("node")).union(steps.select("dst")).distinct()
+    """(node, score) of a random walk with restart, at the seeds or anywhere. Seeds that are not in the graph don't count; if none is, ValueError.
+
+    A round joins the ranks to lists of ways out, a row for a node but for large ones, and shuffles what they add up to by task.
+    """
+    steps = stored(_lists(edges), "steps")
+    nodes = steps.select(F.col("src").alias("node")).union(steps.select(F.explode("to.dst"))).distinct()
     if seeds:
         wanted = nodes.withColumn("mass", F.when(F.col("node").isin(sorted(set(seeds))), 1.0).otherwise(0.0))
     else:
         wanted = nodes.withColumn("mass", F.lit(1.0))
+    wanted = stored(wanted, "nodes")
     count, mass = wanted.agg(F.count("*"), F.sum("mass")).first()
     if not mass:
         raise ValueError("no seed is in the graph")
-    base = saved(wanted.select("node", (F.col("mass") / F.lit(mass)).alias("home")))
+    base = wanted.select("node", (F.col("mass") / F.lit(mass)).alias("home"))
     rank = base.select("node", F.lit(1.0 / count).alias("r"))
     for i in range(rounds):
-        moved = steps.join(rank, steps.src == rank.node).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("s"))
+        moved = steps.join(rank, steps.src == rank.node).select("r", F.inline("to")).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("s"))
         rank = base.join(moved, base.node == moved.dst, "left").select("node", (F.lit(restart) * F.col("home") + F.lit(1 - restart) * F.coalesce("s", F.lit(0.0))).alias("r"))
         if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            rank = saved(rank)
+            rank = stored(rank, "ranks")
     return rank.select("node", F.col("r").alias("score"))
 
 

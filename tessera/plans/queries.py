@@ -12,7 +12,7 @@ from tessera.functions import text as X
 from tessera.functions.vector import cosine, fitted
 from tessera.operators import chunking, graph, hierarchy, paths, search, tables
 from tessera.operators.ranking import global_rank
-from tessera.session import load, shared_folder
+from tessera.session import load, shared_folder, stored
 from tessera.sources import repo
 
 SEARCH_TEXT = "that thest inou andThe"
@@ -107,7 +107,7 @@ def _defs_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     files = load(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("src/"), F.col("s_name")).alias("path"))
     use = load(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(load(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     use = use.select(F.col("l_suppkey").alias("s_suppkey"), F.col("p_brand").alias("name"), "l_quantity").groupBy("s_suppkey", "name").agg(F.max("l_quantity").alias("q"), F.count("*").alias("n"))
-    named = use.join(files, "s_suppkey")
+    named = stored(use.join(files, "s_suppkey"), "uses")  # definitions and references are read several times, lines once
     defs = named.where("q >= 50").select("path", "name", F.when(F.col("name").endswith("1"), "private").otherwise("public").alias("visibility"))
     return files.select("path"), defs, named.where("n >= 2").select("path", "name")
 

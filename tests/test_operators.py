@@ -186,3 +186,25 @@ def test_text_index_adds_segments(spark, tmp_path, monkeypatch):
     spaced = lambda text: F.split(text, r"\s+")
     other = search.TextIndex(spark, f"file://{tmp_path}/other", tokenizer=spaced).build(docs)
     assert rows_of(other.scores("file plain")) == rows_of(search.bm25_scores(docs, "file plain", tokenizer=spaced))
+
+
+def test_walks_with_large_nodes(spark, monkeypatch):
+    from tessera.plans.queries import _defs_refs
+
+    monkeypatch.setattr(graph, "LIST", 3)
+    edges = [(f"f{i}", "hub", 1.0 + i) for i in range(40)] + [("hub", f"f{i}", 2.0) for i in range(30)] + [("f1", "f2", 0.5), ("f1", "f2", 0.25)] + [("end", "end", 0.3)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    lists = graph._lists(df).where("src = 'hub'").collect()
+    assert len(lists) > 3 and sum(len(r.to) for r in lists) == 30  # no row holds all ways out of the hub
+    nodes = sorted({x for e in edges for x in e[:2]})
+    for seeds in (None, ["f3", "end", "nowhere"]):
+        home = {n: float(seeds is None or n in seeds) for n in nodes}
+        rank, all_mass = dict.fromkeys(nodes, 1 / len(nodes)), sum(home.values())
+        for _ in range(12):
+            total = {n: sum(w for s, _, w in edges if s == n) for n in nodes}
+            rank = {n: 0.15 * home[n] / all_mass + 0.85 * sum(rank[s] * w / total[s] for s, t, w in edges if t == n) for n in nodes}
+        got = {r.node: r.score for r in graph.pagerank(df, seeds, rounds=12).collect()}
+        assert got.keys() == rank.keys() and all(math.isclose(got[n], rank[n], abs_tol=1e-12) for n in nodes)
+    _, defs, refs = _defs_refs(spark, "/root/testdata/sf0.001")
+    plan = defs.join(refs, "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_quantity" not in plan  # lines are read and summed up once, not by everything that looks at names
