@@ -70,8 +70,8 @@ def lower_code_terms(text: Column) -> Column:
 
 
 def plain_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """What white space separates."""
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    """What white space separates: blanks, tabs, ends of lines and pages; Java's own class has vertical tabs besides."""
+    return F.filter(F.split(text, r"[ \t\n\f\r]+"), lambda t: t != "")
 
 
 TOKENIZERS = {"noop": plain_tokens, "word": words, "code": code_tokens}

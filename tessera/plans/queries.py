@@ -139,10 +139,10 @@ def prompt_mining(spark: SparkSession, d: str) -> DataFrame:
 def token_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "n_chars", F.size(X.plain_tokens(F.col("text"))).cast("bigint").alias("cost"))
     # only documents of lengths that begin within the budget, all of them, are ranked one by one
-    before = F.coalesce(F.sum("total").over(Window.orderBy(F.col("n_chars").asc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("total").over(Window.orderBy(F.col("n_chars").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lengths = docs.groupBy("n_chars").agg(F.sum("cost").alias("total")).withColumn("before", before).where(F.col("before") <= BUDGET).select(F.col("n_chars").alias("length"))
     page = docs.join(lengths, F.col("n_chars").eqNullSafe(F.col("length")), "left_semi")
-    return graph.within_budget(page, "cost", BUDGET, F.col("n_chars").asc(), F.col("doc_id").asc()).select("doc_id", "cost", "running")
+    return graph.within_budget(page, "cost", BUDGET, F.col("n_chars").asc_nulls_last(), F.col("doc_id").asc_nulls_last()).select("doc_id", "cost", "running")
 
 
 def fts_needle_weights(spark: SparkSession, d: str) -> DataFrame:

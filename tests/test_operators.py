@@ -208,3 +208,11 @@ def test_walks_with_large_nodes(spark, monkeypatch):
     _, defs, refs = _defs_refs(spark, "/root/testdata/sf0.001")
     plan = defs.join(refs, "name")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_quantity" not in plan  # lines are read and summed up once, not by everything that looks at names
+
+
+def test_token_budget_of_rows_without_length(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c", None), (None, "d", 1), (2, "e f", 1), (3, "", 0), (4, None, 0), (5, "g\x0bh", 2)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from tessera.plans.queries import token_budget_prefix
+
+    got = token_budget_prefix(spark, str(tmp_path)).collect()
+    assert sorted((r.running, r.doc_id, r.cost) for r in got) == [(0, 3, 0), (2, 2, 2), (3, None, 1), (4, 5, 1), (7, 1, 3)]
